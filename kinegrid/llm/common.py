@@ -40,6 +40,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded_broadcast(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df``, of a few numbers a row, marked for a broadcast if it has at most ``rows`` rows; else Spark joins it by shuffle."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound the Arrow batches that Python workers hold, as texts can be long."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:

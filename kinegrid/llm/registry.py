@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from . import quality_forest, source_mix, url_filter
+from . import ann, chat, quality_forest, sentencepiece, source_mix, toxicity, url_filter, warc
 
 QUERIES = {
+    "op1_cross_polytope": ann.op1_cross_polytope,
+    "op2_warc": warc.op2_warc,
+    "op3_chat_masks": chat.op3_chat_masks,
+    "op4_sentencepiece": sentencepiece.op4_sentencepiece,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_source_mix": source_mix.op6_source_mix,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op10_quality_forest": quality_forest.op10_quality_forest,
 }
 
 ORACLES = {
+    "op2_warc": warc.OP2_SQL,
+    "op3_chat_masks": chat.OP3_SQL,
     "op5_url_filter": url_filter.OP5_SQL,
     "op6_source_mix": source_mix.OP6_SQL,
 }
