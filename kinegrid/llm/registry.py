@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, quality_forest, sentencepiece, source_mix, toxicity, url_filter, warc
+from . import ann, chat, minhash_dedup, quality_forest, sentencepiece, source_mix, suffix_dedup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_cross_polytope": ann.op1_cross_polytope,
@@ -11,7 +11,9 @@ QUERIES = {
     "op4_sentencepiece": sentencepiece.op4_sentencepiece,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_source_mix": source_mix.op6_source_mix,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_minhash_dedup": minhash_dedup.op9_minhash_dedup,
     "op10_quality_forest": quality_forest.op10_quality_forest,
 }
 

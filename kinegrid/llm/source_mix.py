@@ -67,12 +67,12 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_rate: int =
     """
     sizes = docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
     targets = cut(source_targets(sizes, weights, max_rate))
-    named = targets.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "rate")
+    named = targets.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("rate").alias("_rate"))
     return (
         docs.withColumn("_size", word_count(F.col(text)))
-        .join(named, F.col(source).eqNullSafe(F.col("_source")))
-        .withColumn("_copies", copies_of(F.col("rate"), F.col(key), seed))
-        .drop("_source", "rate")
+        .join(named, F.col(f"`{source}`").eqNullSafe(F.col("_source")))
+        .withColumn("_copies", copies_of(F.col("_rate"), F.col(key), seed))
+        .drop("_source", "_rate")
     )
 
 

@@ -42,7 +42,7 @@ SECOND_PERSON = ("you", "your", "yours", "yourself", "u", "ur", "tu", "te", "toi
 DISGUISE = str.maketrans("013457@$!", "oieastasi")
 
 FEATURES = ("hits", "hit_share", "weight_share", "top_weight", "seed_share", "near_you_share", "you_share", "capital_share", "shouted_share", "exclaim_share", "question_share", "run_share", "disguised_share", "disguised_hits", "log_words")
-_SHOUTED, _RUNS, _DISGUISED = re.compile(r"\b[A-Z]{3,}\b"), re.compile(r"[!?]{2,}"), re.compile(r"[A-Za-z]+[0134578@$!*]+[A-Za-z]+|[013457@$!]+[A-Za-z]{2,}")
+_SHOUTED, _RUNS, _DISGUISED = re.compile(r"\b[A-Z]{3,}\b"), re.compile(r"[!?]{2,}"), re.compile(r"[A-Za-z][0134578@$!*]+[A-Za-z]")
 _NEAR = 5
 
 
@@ -90,7 +90,7 @@ def text_features(text: str | None, automaton: ahocorasick.Automaton) -> tuple[f
         gaps = np.minimum(np.abs(places[np.minimum(after, len(places) - 1)] - ordinals), np.abs(places[np.maximum(after - 1, 0)] - ordinals))
         near = int((gaps <= _NEAR).sum())
     data = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256) if text else np.zeros(256, int)
-    disguised = _DISGUISED.findall(text)
+    disguised = [w for w in text.split() if _DISGUISED.search(w)] if _DISGUISED.search(text) else []
     plain = " " + " ".join(w.translate(DISGUISE).replace("*", "").lower() for w in disguised) + " "
     length = max(len(text), 1)
     return (
