@@ -1,11 +1,11 @@
 """Near-duplicate documents by b-bit MinHash and a multi-index Hamming join.
 
-A document's signature has 64 components of b bits, and the distance of two is
-the number of components that differ. The signature is split into 16 chunks of
-4 components. Signatures within 31 of each other differ by at most one
-component in some chunk (pigeonhole: 16 chunks with two or more would make 32).
+A document's signature has 90 components of b bits, and the distance of two is
+the number of components that differ. The signature is split into 18 chunks of
+5 components. Signatures within 35 of each other differ by at most one
+component in some chunk (pigeonhole: 18 chunks with two or more would make 36).
 So every chunk is filed once for each of its components that may differ, under
-the other three; whoever shares such a key is a candidate, and no pair within
+the other four; whoever shares such a key is a candidate, and no pair within
 the distance is missed. Candidates are confirmed on their full shingle sets.
 """
 
@@ -16,19 +16,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_broadcast, cut, small_batches, table
 
-COMPONENTS, CHUNK, BITS = 64, 4, 16
-#: The greatest distance that the chunks guarantee: at a similarity of 0.8 a pair exceeds it once in 3e8.
+COMPONENTS, CHUNK, BITS = 90, 5, 16
+#: The greatest distance that the chunks guarantee: at a similarity of 0.8 a pair exceeds it twice in a million.
 RADIUS = 2 * (COMPONENTS // CHUNK) - 1
 SEED = 29
 #: Shingles that meet all components at once in memory.
 BLOCK = 4096
-#: Rounds in which each member of a bucket meets one other, before what is left meets in full.
-ROUNDS = 3
+#: Documents in a block whose full sets meet.
+DOCS = 48
+#: Members of a bucket from which on it pays to count what they share, before they meet in full.
+LARGE = 16
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -142,14 +144,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     ``texts`` the (key, text) of all documents. Only sets of documents in some
     pair move; their classes follow from the sets themselves.
     """
-    used = bounded_broadcast(pairs.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct())
-
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [s for t in b.column(0).to_pylist() if len(s := shingle_hashes(t, width))]
-            yield pa.RecordBatch.from_pydict({"id": pa.array([class_id(set_id(s)) for s in sets], pa.int64()), "s": pa.array([s.tobytes() for s in sets], pa.binary())})
-
-    sets = texts.join(used, "key", "left_semi").select("text").mapInArrow(shingled, "id long, s binary")
+    sets = _sets(texts, pairs.select(F.explode(F.array("key_a", "key_b")).alias("key")), width)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,6 +159,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return pairs.join(one, "a").join(two, "b").select("a", "b", "s_a", "s_b").mapInArrow(compare, "a long, b long")
 
 
+def _texts_of(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """The texts of some keys; no text is shuffled unless the keys are too many to broadcast."""
+    return texts.join(bounded_broadcast(keys.select("key").distinct()), "key", "left_semi").select("text")
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(id, component): for each of ``nodes`` the smallest id that it reaches over ``links`` (a, b).
 
@@ -186,25 +186,27 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def linked_classes(classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(id, component) for document classes (id, key, sig), one row per different shingle set.
-
-    Buckets can be large, so their members don't all meet. In each of a few
-    rounds a member meets one other of its bucket, the one that comes first in
-    an order of that round, and confirmed pairs join their components. After
-    these, only members of different components of a bucket can still have a
-    link that matters, and all such pairs meet. So no pair within the radius
-    that would join two components is left out, and a group of alike documents
-    costs a few pairs for each of its members.
+    """(id, component) for document classes (id, key, sig, n_shingles), one row per different shingle set.
+
+    Buckets can be large, so their members don't all meet at once. First each
+    meets one other of its bucket, and confirmed pairs join their components.
+    Then the members of large buckets count the shingles that others of them
+    hold too: that bounds the similarity of any pair. Each meets the member with
+    the fewest shingles of its own. After that only pairs in different
+    components that the bound allows to link can matter: those of small buckets
+    meet as pairs, and members of large ones in blocks, set by set. So no pair
+    within the radius that would join two components is left out, and a group of
+    alike documents costs a few pairs for each of its members.
     """
     members = bucket_keys(classes)
-    crowded = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    crowded = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     members = cut(members.join(crowded, "bucket"))
     keys = classes.select("id", "key")
-    nothing = classes.limit(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
-    links, tried, labels = nothing, nothing, classes.select("id", F.col("id").alias("component"))
-    for turn in range(ROUNDS + 1):
-        placed = members.join(labels, "id") if turn else members.withColumn("component", F.col("id"))
-        met = _first_of_bucket(placed, turn) if turn < ROUNDS else _across_components(placed)
+    tried = links = classes.limit(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
+    labels = classes.select("id", F.col("id").alias("component"))
+
+    def meet(met: DataFrame) -> None:
+        nonlocal tried, links, labels
         pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         pairs = cut(within_radius(pairs, classes))
         if pairs.limit(1).count():
@@ -212,26 +214,105 @@ def linked_classes(classes: DataFrame, texts: DataFrame, width: int, percent: in
             named = pairs.join(keys.select(F.col("id").alias("a"), F.col("key").alias("key_a")), "a").join(keys.select(F.col("id").alias("b"), F.col("key").alias("key_b")), "b")
             links = cut(links.union(confirmed(named, texts, width, percent)).distinct())
             labels = cut(components(classes, links))
-    return labels
+
+    meet(_first_of_bucket(members.withColumn("component", F.col("id")), F.xxhash64("id")))
+    open_ = cut(_mixed(members.join(labels, "id")).select("bucket", "size", "id"))
+    large = open_.filter(F.col("size") > LARGE).select("id").distinct().join(classes.select("id", "key", "n_shingles"), "id")
+    shared = cut(_shared_shingles(large, texts, width))
+    # a document that shares less than that with all others can't link with any of them
+    bounded = open_.join(shared, "id", "left").filter(F.col("shared").isNull() | (F.col("size") <= LARGE) | (100 * F.col("shared") >= percent * F.col("n_shingles")))
+    bounded = cut(bounded.select("bucket", "size", "id", "n_shingles", F.when(F.col("size") > LARGE, F.col("shared")).alias("shared")))
+    meet(_first_of_bucket(bounded.join(labels, "id"), F.coalesce(F.col("n_shingles") - F.col("shared"), F.lit(0))))
+    left = cut(_mixed(bounded.join(labels, "id")))
+    meet(_across_components(left.filter(F.col("size") <= LARGE)))
+    more = cut(_links_in_blocks(left.filter(F.col("size") > LARGE).select("bucket", "id"), labels, keys, texts, width, percent))
+    return cut(components(classes, links.union(more)))
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The rows of buckets with several components, with the ``largest`` of them."""
+    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
+    return placed.join(mixed.select("bucket", F.col("m.component").alias("largest")), "bucket")
 
 
-def _first_of_bucket(placed: DataFrame, turn: int) -> DataFrame:
-    """(x, y): each member x with the first y of its bucket, in an order by ``turn``, unless they are connected."""
-    order = F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id", "component")
-    firsts = placed.groupBy("bucket").agg(F.min(order).alias("first"))
+def _first_of_bucket(placed: DataFrame, order: Column) -> DataFrame:
+    """(x, y): each member x with the first y of its bucket in ``order``, unless they are connected."""
+    firsts = placed.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.xxhash64("id").alias("h"), "id", "component")).alias("first"))
     return placed.join(firsts, "bucket").filter(F.col("component") != F.col("first.component")).select(F.col("id").alias("x"), F.col("first.id").alias("y"))
 
 
-def _across_components(placed: DataFrame) -> DataFrame:
-    """(x, y): all members of a bucket in different components; those of its largest component meet the others only."""
-    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts")).filter("parts > 1").select("bucket", F.col("m.component").alias("largest"))
-    still = cut(placed.join(mixed, "bucket"))
-    minor = still.filter("component <> largest").select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"))
-    other = still.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy"), (F.col("component") == F.col("largest")).alias("major"))
+def _sets(texts: DataFrame, keys: DataFrame, width: int) -> DataFrame:
+    """(id, s): the shingle set of each document with one of ``keys``, under its class."""
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [s for t in b.column(0).to_pylist() if len(s := shingle_hashes(t, width))]
+            yield pa.RecordBatch.from_pydict({"id": pa.array([class_id(set_id(s)) for s in sets], pa.int64()), "s": pa.array([s.tobytes() for s in sets], pa.binary())})
+
+    return _texts_of(texts, keys).mapInArrow(shingled, "id long, s binary")
+
+
+def _shared_shingles(some: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(id, n_shingles, shared): how many shingles of each class in ``some`` another class in it has too."""
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in (shingle_hashes(t, width) for t in b.column(0).to_pylist()):
+                if len(s):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), class_id(set_id(s)), np.int64)), pa.array(s.view(np.int64))], ["id", "shingle"])
+
+    held = _texts_of(texts, some).mapInArrow(listed, "id long, shingle long")
+    alone = held.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last")).filter("id = last").groupBy("id").agg(F.count("*").alias("alone"))
+    return some.join(alone, "id", "left").select("id", "n_shingles", (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+
+def _across_components(mixed: DataFrame) -> DataFrame:
+    """(x, y): members of a bucket in different components; those of its largest component meet the others only."""
+    minor = mixed.filter("component <> largest").select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"))
+    other = mixed.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy"), (F.col("component") == F.col("largest")).alias("major"))
     return minor.join(other, "bucket").filter("cx <> cy and (major or x < y)").select("x", "y")
 
 
+def _links_in_blocks(members: DataFrame, labels: DataFrame, keys: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): links between components among all (bucket, id) in ``members`` whose buckets overlap.
+
+    Buckets that share members form a cluster, which is cut into blocks by a
+    hash. A row is a pair of blocks with the full sets of their members; only
+    links come out of it. No task holds more than two blocks at a time.
+    """
+    firsts = members.groupBy("bucket").agg(F.min("id").alias("a"))
+    star = members.join(firsts, "bucket").select("a", F.col("id").alias("b")).filter("a <> b").distinct()
+    ids = members.select("id").distinct()
+    clusters = components(ids, star).withColumnRenamed("component", "cluster")
+    named = cut(clusters.join(labels, "id").join(keys, "id"))
+    sizes = named.groupBy("cluster").agg(F.ceil(F.count("*") / DOCS).cast("int").alias("blocks"))
+    sets = _sets(texts, named.select("key"), width).join(named, "id").join(sizes, "cluster")
+    packed = (
+        sets.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        .groupBy("cluster", "block", "blocks")
+        .agg(F.collect_list(F.struct("id", "component", "s")).alias("docs"))
+    )
+    packed = cut(packed)
+    one = packed.select("cluster", F.col("docs").alias("docs_a"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
+    both = one.join(packed.select("cluster", "block", F.col("docs").alias("docs_b")), ["cluster", "block"]).select("docs_a", "docs_b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for left, right in zip(batch.column(0), batch.column(1), strict=True):
+                ones, twos = ([(d["id"], d["component"], np.frombuffer(d["s"], np.uint64)) for d in x.as_py()] for x in (left, right))
+                for x, cx, one_set in ones:
+                    for y, cy, two_set in twos:
+                        small, large = sorted((len(one_set), len(two_set)))
+                        if cx != cy and 100 * small >= percent * large:
+                            shared = len(np.intersect1d(one_set, two_set, assume_unique=True))
+                            if 100 * shared >= percent * (small + large - shared):
+                                found.append((min(x, y), max(x, y)))
+            yield pa.RecordBatch.from_pydict({k: pa.array([f[n] for f in found], pa.int64()) for n, k in enumerate("ab")})
+
+    return both.mapInArrow(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row of ``docs``.
 
@@ -247,7 +328,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     sets = signed.filter(F.col("set").isNotNull() & own.isNotNull())
     named = F.conv(F.hex(F.substring("set", 1, 8)), 16, -10).cast("long")
     # equal sets are one class; only its row goes on, however many copies there are
-    classes = cut(sets.groupBy("set").agg(F.min(own).alias("key"), F.min("sig").alias("sig")).select(named.alias("id"), "key", "sig", "set"))
+    classes = cut(sets.groupBy("set").agg(F.min(own).alias("key"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n_shingles")).select(named.alias("id"), "key", "sig", "set", "n_shingles"))
     texts = docs.select(own.alias("key"), F.col(text).alias("text"))
     labels = linked_classes(classes, texts, width, percent)
     placed = classes.join(labels, "id")
