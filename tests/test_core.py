@@ -539,8 +539,8 @@ def live_samples(spark, n=8):
 
 def test_streams_equal_replays(spark, tmp_path):
     rows = live_samples(spark)
-    rows.filter("frame < 300").write.parquet(str(tmp_path / "in/1"))
-    rows.filter("frame >= 300").write.parquet(str(tmp_path / "in/2"))
+    rows.filter("frame < 300").coalesce(1).write.parquet(str(tmp_path / "in/1"))
+    rows.filter("frame >= 300").coalesce(1).write.parquet(str(tmp_path / "in/2"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
     judged = sq.replay_sessions(rows).orderBy("rep_index").collect()
     assert len(judged) == 8 and [r.errors for r in judged if r.errors] == [["lumbar_arch"]]
