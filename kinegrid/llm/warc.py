@@ -127,14 +127,14 @@ def read_archive(stream) -> Iterator[bytes]:
             raise ValueError("the leading frame holds no dictionary")
         dictionary, head = zstandard.ZstdCompressionDict(raw), b""
     decoder = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
-    frame, parts, data = decoder.decompressobj(), [], head
+    frame, parts, data, begun = decoder.decompressobj(), [], head, False
     while data or (data := stream.read(CHUNK)):
         parts.append(frame.decompress(data))
-        data = b""
+        data, begun = b"", True
         if frame.eof:
             yield b"".join(parts)
-            data, frame, parts = frame.unused_data, decoder.decompressobj(), []
-    if any(parts):
+            data, frame, parts, begun = frame.unused_data, decoder.decompressobj(), [], False
+    if begun:
         raise ValueError("the last frame is cut short")
 
 
