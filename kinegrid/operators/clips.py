@@ -7,7 +7,7 @@ side if it is small.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -135,21 +135,32 @@ def boundary_points(masks: DataFrame) -> DataFrame:
 
 
 def floor_points(masks: DataFrame, static: str | None = None, frames: int = 30, least: int = 8, top: float = 0.80) -> DataFrame:
-    """The points a floor is fitted to: of at most ``frames`` static frames, or of all if these give too few; then only the lowest fifth, if enough."""
-    chosen = F.col(static) if static else F.lit(True)
-    nth = F.row_number().over(Window.partitionBy(KEY, "_static").orderBy(FRAME))
-    marked = masks.withColumn("_static", F.coalesce(chosen, F.lit(False))).withColumn("_first", F.col("_static") & (nth <= frames))
-    points = marked.select(KEY, FRAME, "_first", F.posexplode("bottom").alias("x", "y")).filter(F.col("y").isNotNull())
-    here = Window.partitionBy(KEY)
-    some = points.withColumn("_n", F.count_if("_first").over(here)).filter(F.col("_first") | (F.col("_n") < least))
-    high = some.withColumn("_cut", F.percentile("y", top).over(here)).withColumn("_n", F.count_if(F.col("y") >= F.col("_cut")).over(here))
-    return high.filter((F.col("y") >= F.col("_cut")) | (F.col("_n") < least)).select(KEY, FRAME, "x", "y")
+    """The points a floor is fitted to: of all frames, or of the first ``frames`` static ones if these give enough; then only the lowest fifth, if enough."""
+    points = F.posexplode("bottom").alias("x", "y")
+    if static is None:
+        some = masks.select(KEY, FRAME, points).filter(F.col("y").isNotNull())
+    else:
+        nth = F.row_number().over(Window.partitionBy(KEY, "_static").orderBy(FRAME))
+        marked = masks.withColumn("_static", F.coalesce(F.col(static), F.lit(False))).withColumn("_first", F.col("_static") & (nth <= frames))
+        known = marked.select(KEY, FRAME, "_first", points).filter(F.col("y").isNotNull())
+        some = _of_clip(known, known.groupBy(KEY).agg(F.count_if("_first").alias("_n"))).filter(F.col("_first") | (F.col("_n") < least)).select(KEY, FRAME, "x", "y")
+    heights = some.groupBy(KEY, "y").agg(F.count("*").alias("_c"))
+    cut = heights.groupBy(KEY).agg(F.percentile("y", top, F.col("_c")).alias("_cut"))
+    high = _of_clip(heights, cut).groupBy(KEY).agg(F.first("_cut").alias("_cut"), F.sum(F.when(F.col("y") >= F.col("_cut"), F.col("_c")).otherwise(0)).alias("_n"))
+    return _of_clip(some, high).filter((F.col("y") >= F.col("_cut")) | (F.col("_n") < least)).select(KEY, FRAME, "x", "y")
+
+
+def _of_clip(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """``rows`` with what their clip shares; clips may be null."""
+    return rows.join(shared.withColumnRenamed(KEY, "_clip"), F.col(KEY).eqNullSafe(F.col("_clip"))).drop("_clip")
 
 
 def floor_percentile(points: DataFrame, p: float = 0.95, within: float = 3.0, least: int = 8) -> DataFrame:
     """(entity, a, b, inlier_ratio, n_points): a level floor at a percentile; fewer than ``least`` points give NULL and 0."""
-    fitted = points.withColumn("b", F.percentile("y", p).over(Window.partitionBy(KEY)))
-    out = fitted.groupBy(KEY).agg(F.first("b").alias("b"), F.avg((F.abs(F.col("y") - F.col("b")) <= within).cast("int")).alias("inlier_ratio"), F.count("*").alias("n_points"))
+    heights = points.groupBy(KEY, "y").agg(F.count("*").alias("_c"))
+    fitted = _of_clip(heights, heights.groupBy(KEY).agg(F.percentile("y", p, F.col("_c")).alias("b")))
+    near = F.when(F.abs(F.col("y") - F.col("b")) <= within, F.col("_c")).otherwise(0)
+    out = fitted.groupBy(KEY).agg(F.first("b").alias("b"), (F.sum(near) / F.sum("_c")).alias("inlier_ratio"), F.sum("_c").alias("n_points"))
     fine = F.col("n_points") >= least
     return out.select(KEY, F.when(fine, F.lit(0.0)).alias("a"), F.when(fine, F.col("b")).alias("b"), F.when(fine, F.col("inlier_ratio")).otherwise(0.0).alias("inlier_ratio"), "n_points")
 
@@ -177,19 +188,70 @@ def fit_line(x: np.ndarray, y: np.ndarray, trials: int = 200, within: float = 3.
     return float(a), float(b), float(inside.mean())
 
 
+def drawn(sizes: DataFrame, trials: int = 200, seed: int = 0) -> DataFrame:
+    """(entity, trial, i, j): the draws of ``fit_line`` for clips of ``n_points`` points."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, n in zip(batch[KEY], batch["n_points"], strict=True):
+                rng = np.random.default_rng(seed)
+                pairs = np.array([rng.integers(int(n), size=2) for _ in range(trials)]).reshape(-1, 2)
+                yield pd.DataFrame({KEY: pd.Series([key] * trials, dtype=object), "trial": np.arange(trials), "i": pairs[:, 0], "j": pairs[:, 1]})
+
+    return sizes.select(KEY, "n_points").mapInPandas(run, f"{KEY} {sizes.schema[KEY].dataType.simpleString()}, trial long, i long, j long")
+
+
 def floor_ransac(points: DataFrame, trials: int = 200, within: float = 3.0, least: int = 8, seed: int = 0) -> DataFrame:
-    """(entity, a, b, inlier_ratio, n_points) by consensus, a grouped function per clip over its (few) floor points."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["x", "y"])
-        if len(rows) < least:
-            a, b, inside = None, None, 0.0
-        else:
-            a, b, inside = fit_line(rows["x"].to_numpy(float), rows["y"].to_numpy(float), trials, within, least, seed)
-        return pd.DataFrame({KEY: [key[0]], "a": pd.array([a], "Float64"), "b": pd.array([b], "Float64"), "inlier_ratio": [inside], "n_points": [len(rows)]})
-
-    kind = points.schema[KEY].dataType.simpleString()
-    return points.select(KEY, "x", "y").groupBy(KEY).applyInPandas(run, f"{KEY} {kind}, a double, b double, inlier_ratio double, n_points long")
+    """(entity, a, b, inlier_ratio, n_points) by consensus: ``fit_line`` for each clip, its points counted by aggregates.
+
+    No clip is held by one task. Equal points count together; the points that a
+    trial draws are found by their ranks in the order of x and y, which add up
+    from the sizes of the columns.
+    """
+    from ..session import checkpointed
+
+    tally = checkpointed(points.groupBy(KEY, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).agg(F.count("*").alias("_c")))
+    sizes = checkpointed(tally.groupBy(KEY).agg(F.sum("_c").alias("n_points"), F.percentile("y", 0.5, F.col("_c")).alias("_level")))
+    enough = sizes.filter(F.col("n_points") >= least)
+
+    columns = tally.groupBy(KEY, "x").agg(F.sum("_c").alias("_c"))
+    before = columns.select(F.col(KEY).alias("_clip"), F.col("x").alias("_x"), (F.sum("_c").over(Window.partitionBy(KEY).orderBy("x")) - F.col("_c")).alias("_before"))
+    ranked = tally.withColumn("_below", F.sum("_c").over(Window.partitionBy(KEY, "x").orderBy("y")) - F.col("_c")).join(before, F.col(KEY).eqNullSafe(F.col("_clip")) & (F.col("x") == F.col("_x")))
+    first = F.col("_before") + F.col("_below")
+    draws = drawn(enough, trials, seed)
+    # the ranks drawn in a clip are an array, so that points meet a row per clip
+    wanted = draws.groupBy(KEY).agg(F.collect_set("i").alias("_i"), F.collect_set("j").alias("_j")).select(KEY, F.array_union("_i", "_j").alias("_ranks"))
+    hit = F.filter("_ranks", lambda r: (r >= first) & (r < first + F.col("_c")))
+    found = checkpointed(_of_clip(ranked.drop("_clip"), wanted).select(F.col(KEY).alias("_clip"), F.explode(hit).alias("_rank"), "x", "y"))
+    ends = draws
+    for end, suffix in (("i", "0"), ("j", "1")):
+        at = found.select("_clip", "_rank", F.col("x").alias(f"x{suffix}"), F.col("y").alias(f"y{suffix}"))
+        ends = ends.join(at, F.col(KEY).eqNullSafe(F.col("_clip")) & (F.col(end) == F.col("_rank"))).drop("_clip", "_rank")
+    sloped = ends.filter("x0 <> x1").select(KEY, "trial", "x0", "y0", ((F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0"))).alias("slope"))
+    level = enough.select(KEY, F.lit(-1).cast("long").alias("trial"), F.lit(0.0).alias("x0"), F.col("_level").alias("y0"), F.lit(0.0).alias("slope"))
+    lines = checkpointed(sloped.unionByName(level).groupBy(KEY).agg(F.collect_list(F.struct("trial", "x0", "y0", "slope")).alias("_lines")))
+
+    gap = F.col("y") - (F.col("_l.slope") * (F.col("x") - F.col("_l.x0")) + F.col("_l.y0"))
+    tried = _of_clip(tally, lines).select(KEY, "x", "y", "_c", F.explode("_lines").alias("_l"))
+    agreed = tried.groupBy(KEY, "_l").agg(F.sum(F.when(F.abs(gap) <= within, F.col("_c")).otherwise(0)).alias("_agree"))
+    # of lines that equally many points agree with, the first
+    best = checkpointed(agreed.groupBy(KEY).agg(F.min_by(F.struct("_l", "_agree"), F.struct((-F.col("_agree")).alias("n"), "_l.trial")).alias("_b")).select(KEY, "_b._l", "_b._agree"))
+
+    # least squares of the gaps to that line, as these are small numbers
+    dx = F.col("x") - F.col("_l.x0")
+    inside = _of_clip(tally, best).filter(F.abs(gap) <= within)
+    total = lambda c: F.sum(F.col("_c") * c)
+    sums = inside.groupBy(KEY).agg(total(F.lit(1.0)).alias("n"), total(dx).alias("x"), total(gap).alias("g"), total(dx * dx).alias("xx"), total(dx * gap).alias("xg"), (F.max("x") > F.min("x")).alias("wide"))
+    tilt = ratio(F.col("xg") - F.col("x") * F.col("g") / F.col("n"), F.col("xx") - F.col("x") * F.col("x") / F.col("n"))
+    refit = sums.filter((F.col("n") >= least) & F.col("wide")).select(F.col(KEY).alias("_clip"), tilt.alias("_tilt"), (F.col("g") / F.col("n")).alias("_g"), (F.col("x") / F.col("n")).alias("_x"))
+    known = best.join(refit, F.col(KEY).eqNullSafe(F.col("_clip")), "left").drop("_clip")
+    a = F.col("_l.slope") + F.coalesce("_tilt", F.lit(0.0))
+    b = F.col("_l.y0") - F.col("_l.slope") * F.col("_l.x0") + F.coalesce(F.col("_g") - F.col("_tilt") * (F.col("_x") + F.col("_l.x0")), F.lit(0.0))
+    fitted = checkpointed(known.select(KEY, a.alias("a"), b.alias("b"), F.when(F.col("_tilt").isNull(), F.col("_agree")).alias("_agree")))
+    near = F.sum(F.when(F.abs(F.col("y") - (F.col("a") * F.col("x") + F.col("b"))) <= within, F.col("_c")).otherwise(0))
+    counted = _of_clip(tally, fitted).groupBy(KEY).agg(F.first("a").alias("a"), F.first("b").alias("b"), F.coalesce(F.first("_agree"), near).alias("_agree")).withColumnRenamed(KEY, "_clip")
+    out = sizes.join(counted, F.col(KEY).eqNullSafe(F.col("_clip")), "left")
+    return out.select(KEY, "a", "b", F.coalesce(F.col("_agree") / F.col("n_points"), F.lit(0.0)).alias("inlier_ratio"), "n_points")
 
 
 def sparc(speed: np.ndarray, fs: float, padding: int = 4, cutoff: float = 10.0, amplitude: float = 0.05) -> float | None:

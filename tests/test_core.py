@@ -358,6 +358,31 @@ def test_floor_fits(spark):
     assert level["c"].a == 0 and level["d"].b is None
 
 
+def test_floor_takes_all_frames_unless_static_ones_are_known(spark):
+    rng = np.random.default_rng(5)
+    bottom = np.round(rng.normal(100, 20, (100, 16)) + 0.8 * np.arange(16), 1)
+    rows = [(c, f, [float(v) if v > 70 else None for v in bottom[f] + 5 * f * (c == "c")]) for c in ("c", "d") for f in range(100)]
+    masks = spark.createDataFrame(rows + [(None, 0, [1.0] * 3)], "entity string, frame int, bottom array<double>").repartition(4)
+
+    def brute(clip, frames):
+        known = sorted((float(x), y) for c, f, b in rows if c == clip and f in frames for x, y in enumerate(b) if y is not None)
+        cut = np.percentile([y for _, y in known], 80)
+        return np.array([p for p in known if p[1] >= cut]).T
+
+    points = clips.floor_points(masks)
+    level, tilted = ({r.entity: r for r in f(points).collect()} for f in (clips.floor_percentile, clips.floor_ransac))
+    for clip in "cd":
+        x, y = brute(clip, range(100))
+        b = np.percentile(y, 95)
+        assert (level[clip].n_points, tilted[clip].n_points) == (len(y), len(y))
+        assert (level[clip].b, level[clip].inlier_ratio) == pytest.approx((b, np.mean(np.abs(y - b) <= 3)))
+        assert (tilted[clip].a, tilted[clip].b, tilted[clip].inlier_ratio) == pytest.approx(clips.fit_line(x, y))
+    assert (level[None].b, level[None].n_points, tilted[None].a, tilted[None].inlier_ratio) == (None, 3, None, 0)
+    still = masks.withColumn("still", F.when(F.col("entity") == "d", F.col("frame") % 2 == 1).otherwise(False))
+    some = clips.floor_points(still, "still").groupBy("entity").count().collect()
+    assert {r.entity: r["count"] for r in some} == {"c": len(brute("c", range(100))[0]), "d": len(brute("d", range(1, 60, 2))[0]), None: 3}
+
+
 def test_smoothness(spark):
     t = np.linspace(0, 1, 60)
     smooth = 30 * t**2 * (1 - t) ** 2
