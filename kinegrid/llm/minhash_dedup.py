@@ -325,24 +325,49 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     """
     own = F.col(key).cast("long")
     signed = cut(with_signatures(docs, width, key, text))
-    sets = signed.filter(F.col("set").isNotNull() & own.isNotNull())
-    named = F.conv(F.hex(F.substring("set", 1, 8)), 16, -10).cast("long")
-    # equal sets are one class; only its row goes on, however many copies there are
-    classes = cut(sets.groupBy("set").agg(F.min(own).alias("key"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n_shingles")).select(named.alias("id"), "key", "sig", "set", "n_shingles"))
-    texts = docs.select(own.alias("key"), F.col(text).alias("text"))
-    labels = linked_classes(classes, texts, width, percent)
-    placed = classes.join(labels, "id")
+    placed = _placed(signed.withColumn("_own", own), docs.select(own.alias("key"), F.col(text).alias("text")), width, percent)
     smallest = placed.groupBy("component").agg(F.min("key").alias("component_id"))
     found = placed.join(smallest, "component").select(F.col("set").alias("_set"), "component_id")
     out = signed.join(found, (F.col("set") == F.col("_set")) & own.isNotNull(), "left").withColumn("component_id", F.coalesce("component_id", own))
     return out.select(key, "n_shingles", "component_id", F.col("component_id").eqNullSafe(own).alias("kept"))
 
 
+def _placed(signed: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(set, key, component) for every set of rows (_own, n_shingles, set, sig) with a key ``_own``; ``texts`` has the (key, text) of all rows."""
+    sets = signed.filter(F.col("set").isNotNull() & F.col("_own").isNotNull())
+    named = F.conv(F.hex(F.substring("set", 1, 8)), 16, -10).cast("long")
+    # equal sets are one class; only its row goes on, however many copies there are
+    classes = cut(sets.groupBy("set").agg(F.min("_own").alias("key"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n_shingles")).select(named.alias("id"), "key", "sig", "set", "n_shingles"))
+    return classes.join(linked_classes(classes, texts, width, percent), "id").select("set", "key", "component")
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=80)
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group, the one with the smallest doc_id; a doc_id is kept once."""
-    kept = near_duplicates(docs.select("doc_id", "text"), width, percent).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """``docs`` with one row of each group of linked rows: that with the smallest doc_id, null last.
+
+    Every row is a document of its own, also one without a doc_id or with that
+    of another row. Among rows that repeat a doc_id a hash of all columns
+    decides, and of rows that are equal in all columns one stays. Texts without
+    words link with nothing, so their rows all stay.
+    """
+    words = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    others = F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")))
+    row = F.substring(F.unhex(F.sha2(F.concat(words, others).cast("binary"), 256)), 1, 16)
+    # the operators' keys have to be known for every row, so the text gives them
+    own = F.xxhash64("text")
+    signed = cut(with_signatures(docs.select(F.struct("doc_id", row.alias("row"), own.alias("own")).alias("_id"), "text"), width, "_id"))
+    placed = _placed(signed.withColumn("_own", F.col("_id.own")), docs.select(own.alias("key"), "text"), width, percent)
+    rows = signed.filter("set is not null").groupBy("set", "_id").agg(F.count("*").alias("n"))
+    first = rows.groupBy("set").agg(F.min(F.struct(F.col("_id.doc_id").isNull().alias("unnamed"), F.col("_id.doc_id").alias("doc_id"), F.col("_id.row").alias("row"), "n")).alias("f"))
+    chosen = first.join(placed, "set").groupBy("component").agg(F.min("f").alias("f")).select("f.row", "f.n")
+    wordless = signed.filter("set is null").select("_id.row", F.lit(1).cast("long").alias("n")).distinct()
+    kept = cut(chosen.union(wordless).select(F.col("row").alias("_kept"), "n"))
+    keyed = docs.withColumn("_row", row)
+    once = keyed.join(kept.filter("n = 1").select("_kept"), F.col("_row") == F.col("_kept"), "left_semi").drop("_row")
+    repeated = kept.filter("n > 1").select("_kept")
+    if repeated.isEmpty():
+        return once
+    return once.unionByName(keyed.join(bounded_broadcast(repeated), F.col("_row") == F.col("_kept"), "left_semi").dropDuplicates(["_row"]).drop("_row"))

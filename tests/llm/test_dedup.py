@@ -144,6 +144,24 @@ def test_repeats_of_odd_rows(spark):
     assert sorted((r.text or "", r.n_chars or 0, r.key) for r in out) == [("", 0, "k")] * 3 + [("hello", 5, "k")]
 
 
+def test_a_repeated_row_stays_once_through_both_stages(spark):
+    rng = random.Random(21)
+    text = {k: " ".join(words(rng, 60, 90_000)) for k in "abcde"}
+    near = text["d"].split()
+    near[3] = "other"
+    rows = [(1, text["a"], "x")] * 5 + [(2, text["a"], "x"), (3, text["b"], "y"), (3, text["b"], "x"), (4, text["c"], "x"), (4, text["a"], "x")]
+    rows += [(None, text["d"], "x"), (None, text["d"], "x"), (None, " ".join(near), "x"), (None, text["e"], "x"), (9, text["e"], "x"), (7, None, "x"), (8, "", "x")]
+    docs = spark.createDataFrame(rows, DOCS + ", source string").repartition(3)
+    kept = mh.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    got = [tuple(r) for r in kept.collect()]
+    assert sorted((r[0] or 0, r[1] or "") for r in got if r[0] is not None) == sorted([(1, text["a"]), (3, text["b"]), (4, text["c"]), (9, text["e"]), (7, ""), (8, "")])
+    assert [r[1] in (text["d"], " ".join(near)) for r in got if r[0] is None] == [True]
+    assert sorted(map(str, got)) == sorted(str(tuple(r)) for r in mh.drop_near_duplicates(docs.repartition(2)).collect())
+    left = [r.text for r in sd.drop_repeats(spark.createDataFrame(got, docs.schema)).collect()]
+    assert sorted(t or "" for t in left) == sorted(r[1] or "" for r in got)
+
+
 def test_characters_stay_whole():
     data = "aé€b".encode()
     assert sd.whole_characters(data, [(2, 5)]) == [(3, 3)] or sd.whole_characters(data, [(2, 5)]) == []
