@@ -383,6 +383,28 @@ def test_floor_takes_all_frames_unless_static_ones_are_known(spark):
     assert {r.entity: r["count"] for r in some} == {"c": len(brute("c", range(100))[0]), "d": len(brute("d", range(1, 60, 2))[0]), None: 3}
 
 
+def test_leaks_and_components_take_all_rows(spark, sf_dir):
+    from kinegrid.plans import duplicates, evaluation
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id").collect()
+    sides = [{r.user_id for r in events if (r.event_id % 3 == 0) == side} for side in (True, False)]
+    assert {r.user_id for r in evaluation.leak_check(spark, sf_dir).collect()} == sides[0] & sides[1]
+
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderdate", F.floor(F.col("o_totalprice") / 20_000).alias("p")).collect()
+    parent = {r.c_custkey: r.c_custkey for r in spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey").collect()}
+
+    def find(c):
+        while parent[c] != c:
+            c = parent[c]
+        return c
+
+    met: dict = {}
+    for o in orders:
+        a, b = find(met.setdefault((o.o_orderdate, o.p), o.o_custkey)), find(o.o_custkey)
+        parent[max(a, b)] = min(a, b)
+    assert {r.id: r.component for r in duplicates.dedup_components(spark, sf_dir).collect()} == {c: find(c) for c in parent}
+
+
 def test_smoothness(spark):
     t = np.linspace(0, 1, 60)
     smooth = 30 * t**2 * (1 - t) ** 2
