@@ -405,6 +405,15 @@ def test_leaks_and_components_take_all_rows(spark, sf_dir):
     assert {r.id: r.component for r in duplicates.dedup_components(spark, sf_dir).collect()} == {c: find(c) for c in parent}
 
 
+def test_the_registered_forest_has_300_trees(spark, sf_dir, monkeypatch):
+    from kinegrid.plans import duplicates
+
+    grown, forest = [], models.RandomForestClassifier
+    monkeypatch.setattr(models, "RandomForestClassifier", lambda **named: grown.append(named["numTrees"]) or forest(**named))
+    assert duplicates.model_rf_summary(spark, sf_dir).filter("y_pred is null").count() == 0
+    assert grown == [300]
+
+
 def test_smoothness(spark):
     t = np.linspace(0, 1, 60)
     smooth = 30 * t**2 * (1 - t) ** 2
