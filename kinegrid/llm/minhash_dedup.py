@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import bounded_broadcast, cut, small_batches, table
 
 COMPONENTS, CHUNK, BITS = 90, 5, 16
-#: The greatest distance that the chunks guarantee: at a similarity of 0.8 a pair exceeds it twice in a million.
+#: The greatest distance that the chunks guarantee: at a similarity of 0.8 a pair exceeds it with a chance of 1.1e-5.
 RADIUS = 2 * (COMPONENTS // CHUNK) - 1
 SEED = 29
 #: Shingles that meet all components at once in memory.
