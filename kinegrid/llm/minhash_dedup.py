@@ -22,15 +22,18 @@ from pyspark.sql import functions as F
 from .common import bounded_broadcast, cut, small_batches, table
 
 COMPONENTS, CHUNK, BITS = 90, 5, 16
-#: The greatest distance that the chunks guarantee: at a similarity of 0.8 a pair exceeds it with a chance of 1.1e-5.
+#: The greatest distance that the chunks guarantee. Pairs beyond it meet if they share a bucket all the same: of pairs
+#: at a similarity of 0.8 all but 3.6e-11 do, that is (1 - 0.8 ** 5 - 5 * 0.2 * 0.8 ** 4) ** 18.
 RADIUS = 2 * (COMPONENTS // CHUNK) - 1
+#: Pairs at a greater distance are not confirmed: a pair at a similarity of 0.8 exceeds it with a chance of 5.1e-11.
+FAR = 45
 SEED = 29
 #: Shingles that meet all components at once in memory.
 BLOCK = 4096
-#: Documents in a block whose full sets meet.
-DOCS = 48
-#: Members of a bucket from which on it pays to count what they share, before they meet in full.
-LARGE = 16
+#: Bytes of the full sets of a block of documents, two of which meet in a task.
+BLOCK_BYTES = 2_000_000
+#: Ids or links that a task takes where they are few beside the documents.
+ROWS = 50_000
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -124,27 +127,25 @@ def bucket_keys(sets: DataFrame) -> DataFrame:
     return sets.select("id", "sig").mapInArrow(run, "bucket long, id long")
 
 
-def within_radius(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures differ in at most ``RADIUS`` components."""
+def not_far(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The pairs (x, y) whose signatures differ in at most ``FAR`` components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, COMPONENTS) for k in (2, 3))
-                yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array((one != two).sum(axis=1) <= RADIUS))
+                yield pa.RecordBatch.from_arrays(batch.columns[:2], ["x", "y"]).filter(pa.array((one != two).sum(axis=1) <= FAR))
 
-    one, two = (sigs.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    one, two = (sigs.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "xy")
+    return pairs.join(one, "x").join(two, "y").select("x", "y", "sig_x", "sig_y").mapInArrow(run, "x long, y long")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union of the full shingle sets.
+def confirmed(pairs: DataFrame, keys: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (x, y) with 100 * intersection >= percent * union of the full shingle sets.
 
-    ``pairs`` also has the keys key_a and key_b of a document of each class, and
-    ``texts`` the (key, text) of all documents. Only sets of documents in some
-    pair move; their classes follow from the sets themselves.
+    ``keys`` has the (id, key) of a document of each class, and ``texts`` the
+    (key, text) of all documents. Only sets of documents in some pair move.
     """
-    sets = _sets(texts, pairs.select(F.explode(F.array("key_a", "key_b")).alias("key")), width)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,164 +154,179 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                 one, two = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 keep.append(100 * both >= percent * (len(one) + len(two) - both))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    one, two = (sets.select(F.col("id").alias(x), F.col("s").alias(f"s_{x}")) for x in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "s_a", "s_b").mapInArrow(compare, "a long, b long")
+    def side(c: str) -> DataFrame:
+        return _sets(texts, pairs.select(F.col(c).alias("id")).distinct().join(keys, "id"), width).select(F.col("id").alias(c), F.col("s").alias(f"s_{c}"))
 
+    return pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "s_x", "s_y").mapInArrow(compare, "x long, y long")
 
-def _texts_of(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """The texts of some keys; no text is shuffled unless the keys are too many to broadcast."""
-    return texts.join(bounded_broadcast(keys.select("key").distinct()), "key", "left_semi").select("text")
 
+def _sets(texts: DataFrame, keys: DataFrame, width: int) -> DataFrame:
+    """(id, s): the shingle set of each document with one of ``keys`` (key), under its class, which follows from the set.
+
+    No text is shuffled unless the keys are too many to broadcast.
+    """
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [s for t in b.column(0).to_pylist() if len(s := shingle_hashes(t, width))]
+            yield pa.RecordBatch.from_pydict({"id": pa.array([class_id(set_id(s)) for s in sets], pa.int64()), "s": pa.array([s.tobytes() for s in sets], pa.binary())})
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, component): for each of ``nodes`` the smallest id that it reaches over ``links`` (a, b).
+    wanted = bounded_broadcast(keys.select("key").distinct())
+    return texts.join(wanted, "key", "left_semi").select("text").mapInArrow(shingled, "id long, s binary")
 
-    Each round, a node takes the smallest label among itself and its neighbours,
+
+def components(links: DataFrame) -> DataFrame:
+    """(id, component): for each id in ``links`` (x, y) the smallest id that it reaches.
+
+    Each round, an id takes the smallest label among itself and its neighbours,
     and then the label of that label, so that chains halve. Labels are written
     each round. They only ever decrease, so the rounds end when their sum stays.
+    Ids are few beside documents, so a task takes ``ROWS`` of them, however many
+    partitions a shuffle has.
     """
-    edges = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = edges.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("component"))
+    links = cut(links.select("x", "y").filter("x <> y").distinct())
+    tasks = 1 + 2 * links.count() // ROWS
+    edges = links.coalesce(tasks)
+    edges = edges.union(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    labels = cut(edges.groupBy(F.col("x").alias("id")).agg(F.least(F.first("x"), F.min("y")).alias("component")).coalesce(tasks))
     before = None
-    while True:
-        heard = edges.join(labels, edges.b == labels.id).select(F.col("a").alias("id"), "component")
-        near = labels.union(heard).groupBy("id").agg(F.min("component").alias("near"))
-        jump = near.select(F.col("id").alias("key"), F.col("near").alias("component"))
-        labels = cut(near.join(jump, F.col("near") == F.col("key")).select("id", "component"))
-        after = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
-        if after == before:
-            return nodes.select("id").join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    while (after := labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]) != before:
+        heard = edges.join(labels, edges.y == labels.id).select(F.col("x").alias("id"), "component").coalesce(tasks)
+        near = labels.union(heard).groupBy("id").agg(F.min("component").alias("near")).coalesce(tasks)
+        jump = labels.select(F.col("id").alias("key"), "component")
+        labels = cut(near.join(jump, F.col("near") == F.col("key")).select("id", "component").coalesce(tasks))
         before = after
+    return labels
+
+
+def _crowded(classes: DataFrame) -> DataFrame:
+    """(bucket, hub, id) for the buckets with several classes; the hub is the member with the smallest hash."""
+    filed = bucket_keys(classes)
+    hub = F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("hub")
+    several = filed.groupBy("bucket").agg(hub, F.count("*").alias("size")).filter("size > 1").select("bucket", F.col("hub.id").alias("hub"))
+    return filed.join(bounded_broadcast(several, 500_000), "bucket").select("bucket", "hub", "id")
 
 
 def linked_classes(classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(id, component) for document classes (id, key, sig, n_shingles), one row per different shingle set.
-
-    Buckets can be large, so their members don't all meet at once. First each
-    meets one other of its bucket, and confirmed pairs join their components.
-    Then the members of large buckets count the shingles that others of them
-    hold too: that bounds the similarity of any pair. Each meets the member with
-    the fewest shingles of its own. After that only pairs in different
-    components that the bound allows to link can matter: those of small buckets
-    meet as pairs, and members of large ones in blocks, set by set. So no pair
-    within the radius that would join two components is left out, and a group of
-    alike documents costs a few pairs for each of its members.
+    """(id, component) for the classes (id, key, sig) that link with another one.
+
+    Buckets can be large, so their members don't all meet. First each meets its
+    bucket's hub, and confirmed pairs make components: a group of alike
+    documents costs a few pairs for each of its members. Only pairs of a bucket
+    in different components can matter after that, and of these only members
+    that share enough of their shingles with others to link with any.
+    ``_links_in_blocks`` compares those in full.
     """
-    members = bucket_keys(classes)
-    crowded = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    members = cut(members.join(crowded, "bucket"))
+    members = cut(_crowded(classes))
+    tasks = 1 + members.count() // ROWS
+    members = members.coalesce(tasks)
     keys = classes.select("id", "key")
-    tried = links = classes.limit(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
-    labels = classes.select("id", F.col("id").alias("component"))
-
-    def meet(met: DataFrame) -> None:
-        nonlocal tried, links, labels
-        pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = cut(within_radius(pairs, classes))
-        if pairs.limit(1).count():
-            tried = cut(tried.union(pairs))
-            named = pairs.join(keys.select(F.col("id").alias("a"), F.col("key").alias("key_a")), "a").join(keys.select(F.col("id").alias("b"), F.col("key").alias("key_b")), "b")
-            links = cut(links.union(confirmed(named, texts, width, percent)).distinct())
-            labels = cut(components(classes, links))
-
-    meet(_first_of_bucket(members.withColumn("component", F.col("id")), F.xxhash64("id")))
-    open_ = cut(_mixed(members.join(labels, "id")).select("bucket", "size", "id"))
-    large = open_.filter(F.col("size") > LARGE).select("id").distinct().join(classes.select("id", "key", "n_shingles"), "id")
-    shared = cut(_shared_shingles(large, texts, width))
-    # a document that shares less than that with all others can't link with any of them
-    bounded = open_.join(shared, "id", "left").filter(F.col("shared").isNull() | (F.col("size") <= LARGE) | (100 * F.col("shared") >= percent * F.col("n_shingles")))
-    bounded = cut(bounded.select("bucket", "size", "id", "n_shingles", F.when(F.col("size") > LARGE, F.col("shared")).alias("shared")))
-    meet(_first_of_bucket(bounded.join(labels, "id"), F.coalesce(F.col("n_shingles") - F.col("shared"), F.lit(0))))
-    left = cut(_mixed(bounded.join(labels, "id")))
-    meet(_across_components(left.filter(F.col("size") <= LARGE)))
-    more = cut(_links_in_blocks(left.filter(F.col("size") > LARGE).select("bucket", "id"), labels, keys, texts, width, percent))
-    return cut(components(classes, links.union(more)))
+    met = cut(not_far(members.filter("id <> hub").select(F.col("id").alias("x"), F.col("hub").alias("y")).distinct(), classes))
+    labels = components(confirmed(met, keys, texts, width, percent))
+    placed = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")).select("bucket", "id", "component").coalesce(tasks)
+    open_ = cut(_mixed(placed).coalesce(tasks))
+    able = cut(_able(open_.select("id").distinct().join(classes.select("id", "key", "n_shingles"), "id"), texts, width, percent))
+    left = cut(_mixed(open_.drop("first").join(able, "id")).coalesce(tasks))
+    bridges = _links_in_blocks(left, keys, texts, width, percent)
+    merged = components(bridges).select(F.col("id").alias("component"), F.col("component").alias("merged"))
+    known = labels.unionByName(left.select("id", "component").distinct()).distinct()
+    return known.join(merged, "component", "left").select("id", F.coalesce("merged", "component").alias("component"))
 
 
 def _mixed(placed: DataFrame) -> DataFrame:
-    """The rows of buckets with several components, with the ``largest`` of them."""
-    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
-    return placed.join(mixed.select("bucket", F.col("m.component").alias("largest")), "bucket")
+    """The rows of ``placed`` in buckets with several components, with the ``first`` id of the bucket."""
+    several = placed.groupBy("bucket").agg(F.min("id").alias("first"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    return placed.join(several.select("bucket", "first"), "bucket")
 
 
-def _first_of_bucket(placed: DataFrame, order: Column) -> DataFrame:
-    """(x, y): each member x with the first y of its bucket in ``order``, unless they are connected."""
-    firsts = placed.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.xxhash64("id").alias("h"), "id", "component")).alias("first"))
-    return placed.join(firsts, "bucket").filter(F.col("component") != F.col("first.component")).select(F.col("id").alias("x"), F.col("first.id").alias("y"))
+def _able(some: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(id, n_shingles) of the classes in ``some`` of whose shingles others in it hold ``percent`` %: the rest can't link with any."""
 
-
-def _sets(texts: DataFrame, keys: DataFrame, width: int) -> DataFrame:
-    """(id, s): the shingle set of each document with one of ``keys``, under its class."""
-
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [s for t in b.column(0).to_pylist() if len(s := shingle_hashes(t, width))]
-            yield pa.RecordBatch.from_pydict({"id": pa.array([class_id(set_id(s)) for s in sets], pa.int64()), "s": pa.array([s.tobytes() for s in sets], pa.binary())})
-
-    return _texts_of(texts, keys).mapInArrow(shingled, "id long, s binary")
-
-
-def _shared_shingles(some: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """(id, n_shingles, shared): how many shingles of each class in ``some`` another class in it has too."""
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in (shingle_hashes(t, width) for t in b.column(0).to_pylist()):
-                if len(s):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), class_id(set_id(s)), np.int64)), pa.array(s.view(np.int64))], ["id", "shingle"])
+            for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s) // 8, k, np.int64)), pa.array(np.frombuffer(s, np.int64))], ["id", "shingle"])
 
-    held = _texts_of(texts, some).mapInArrow(listed, "id long, shingle long")
+    held = _sets(texts, some, width).mapInArrow(listed, "id long, shingle long")
     alone = held.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last")).filter("id = last").groupBy("id").agg(F.count("*").alias("alone"))
-    return some.join(alone, "id", "left").select("id", "n_shingles", (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("shared"))
-
-
-def _across_components(mixed: DataFrame) -> DataFrame:
-    """(x, y): members of a bucket in different components; those of its largest component meet the others only."""
-    minor = mixed.filter("component <> largest").select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"))
-    other = mixed.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy"), (F.col("component") == F.col("largest")).alias("major"))
-    return minor.join(other, "bucket").filter("cx <> cy and (major or x < y)").select("x", "y")
+    own = F.coalesce("alone", F.lit(0))
+    return some.join(alone, "id", "left").filter(100 * (F.col("n_shingles") - own) >= percent * F.col("n_shingles")).select("id", "n_shingles")
 
 
-def _links_in_blocks(members: DataFrame, labels: DataFrame, keys: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b): links between components among all (bucket, id) in ``members`` whose buckets overlap.
+def _links_in_blocks(left: DataFrame, keys: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(x, y): links between components in ``left`` (bucket, first, id, component, n_shingles), no more than it takes to join them.
 
-    Buckets that share members form a cluster, which is cut into blocks by a
-    hash. A row is a pair of blocks with the full sets of their members; only
-    links come out of it. No task holds more than two blocks at a time.
+    Buckets that share members form a cluster. Its documents are dealt into
+    blocks of ``BLOCK_BYTES`` of shingles by a hash, those of its largest
+    component into blocks of their own, which needn't meet each other. A task
+    holds two blocks; only links between components leave it.
     """
-    firsts = members.groupBy("bucket").agg(F.min("id").alias("a"))
-    star = members.join(firsts, "bucket").select("a", F.col("id").alias("b")).filter("a <> b").distinct()
-    ids = members.select("id").distinct()
-    clusters = components(ids, star).withColumnRenamed("component", "cluster")
-    named = cut(clusters.join(labels, "id").join(keys, "id"))
-    sizes = named.groupBy("cluster").agg(F.ceil(F.count("*") / DOCS).cast("int").alias("blocks"))
-    sets = _sets(texts, named.select("key"), width).join(named, "id").join(sizes, "cluster")
-    packed = (
-        sets.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .groupBy("cluster", "block", "blocks")
-        .agg(F.collect_list(F.struct("id", "component", "s")).alias("docs"))
+    clusters = components(left.select(F.col("first").alias("x"), F.col("id").alias("y"))).withColumnRenamed("component", "cluster")
+    docs = cut(left.select("id", "component", "n_shingles").distinct().join(clusters, "id"))
+    parts = docs.groupBy("cluster", "component").agg(F.sum(8 * F.col("n_shingles")).alias("bytes"))
+    sizes = parts.groupBy("cluster").agg(F.max(F.struct("bytes", "component")).alias("major"), F.sum("bytes").alias("bytes"))
+    blocks = lambda c: F.ceil(c / BLOCK_BYTES).cast("int")
+    minor, every = F.col("minor"), F.col("minor") + F.col("majors")
+    dealt = (
+        docs.join(sizes.select("cluster", F.col("major.component").alias("largest"), blocks(F.col("bytes") - F.col("major.bytes")).alias("minor"), blocks(F.col("major.bytes")).alias("majors")), "cluster")
+        .withColumn("block", F.when(F.col("component") == F.col("largest"), minor + F.pmod(F.xxhash64("id"), F.col("majors"))).otherwise(F.pmod(F.xxhash64("id"), minor)).cast("int"))
+        .join(keys, "id")
+    )
+    dealt = cut(dealt.select("id", "key", "component", "cluster", "block", minor.alias("minor"), every.alias("every")))
+    others = F.filter(F.sequence(F.lit(0), F.col("every") - 1), lambda o: (F.col("block") < F.col("minor")) | (o < F.col("minor")))
+    rows = (
+        dealt.join(_sets(texts, dealt, width), "id")
+        .select("id", "component", "cluster", "block", "s", F.explode(others).alias("other"))
+        .select("id", "component", "cluster", "s", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).alias("upper"))
     )
-    packed = cut(packed)
-    one = packed.select("cluster", F.col("docs").alias("docs_a"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
-    both = one.join(packed.select("cluster", "block", F.col("docs").alias("docs_b")), ["cluster", "block"]).select("docs_a", "docs_b")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for left, right in zip(batch.column(0), batch.column(1), strict=True):
-                ones, twos = ([(d["id"], d["component"], np.frombuffer(d["s"], np.uint64)) for d in x.as_py()] for x in (left, right))
-                for x, cx, one_set in ones:
-                    for y, cy, two_set in twos:
-                        small, large = sorted((len(one_set), len(two_set)))
-                        if cx != cy and 100 * small >= percent * large:
-                            shared = len(np.intersect1d(one_set, two_set, assume_unique=True))
-                            if 100 * shared >= percent * (small + large - shared):
-                                found.append((min(x, y), max(x, y)))
-            yield pa.RecordBatch.from_pydict({k: pa.array([f[n] for f in found], pa.int64()) for n, k in enumerate("ab")})
+    def compare(group: pa.Table) -> pa.Table:
+        found = _bridges(group.column("s").to_pylist(), group.column("component").to_numpy(), group.column("upper").to_numpy(), group.column("low")[0].as_py() == group.column("high")[0].as_py(), percent)
+        return pa.table({"x": pa.array(found[0], pa.int64()), "y": pa.array(found[1], pa.int64())})
+
+    return rows.groupBy("cluster", "low", "high").applyInArrow(compare, "x long, y long")
 
-    return both.mapInArrow(compare, "a long, b long").distinct()
+
+def _bridges(sets: list[bytes], component: np.ndarray, upper: np.ndarray, one_block: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y): components, each with the smallest that it reaches over links of two blocks, or inside one.
+
+    What a document of one block shares with each of the other is counted along
+    the sorted shingles of the other.
+    """
+    sizes = np.fromiter((len(s) // 8 for s in sets), np.int64, len(sets))
+    ones = np.arange(len(sets)) if one_block else np.flatnonzero(~upper)
+    twos = ones if one_block else np.flatnonzero(upper)
+    none = np.zeros(0, np.int64)
+    if not len(ones) or not len(twos):
+        return none, none
+    held = np.frombuffer(b"".join(sets[k] for k in ones), np.uint64)
+    order = np.argsort(held, kind="stable")
+    holder, held = np.repeat(np.arange(len(ones)), sizes[ones])[order], held[order]
+    linked = []
+    for at in twos:
+        s = np.frombuffer(sets[at], np.uint64)
+        low, times = np.searchsorted(held, s, "left"), np.searchsorted(held, s, "right")
+        times -= low
+        places = np.arange(times.sum()) + np.repeat(low - np.cumsum(times) + times, times)
+        shared = np.bincount(holder[places], minlength=len(ones))
+        hit = np.flatnonzero((100 * shared >= percent * (sizes[ones] + sizes[at] - shared)) & (component[ones] != component[at]))
+        linked.append(np.stack([component[ones[hit]], np.full(len(hit), component[at])]))
+    pairs = np.unique(np.concatenate(linked, axis=1), axis=1)
+    names, ends = np.unique(pairs, return_inverse=True)
+    u, v = ends.reshape(pairs.shape)
+    label = np.arange(len(names))
+    while len(u):
+        near = np.minimum(label[u], label[v])
+        after = label.copy()
+        np.minimum.at(after, u, near)
+        np.minimum.at(after, v, near)
+        after = after[after]
+        if (after == label).all():
+            break
+        label = after
+    return names[label != np.arange(len(names))], names[label[label != np.arange(len(names))]]
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -325,20 +341,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     """
     own = F.col(key).cast("long")
     signed = cut(with_signatures(docs, width, key, text))
-    placed = _placed(signed.withColumn("_own", own), docs.select(own.alias("key"), F.col(text).alias("text")), width, percent)
+    classes = _classes(signed.withColumn("_own", own))
+    placed = classes.join(linked_classes(classes, docs.select(own.alias("key"), F.col(text).alias("text")), width, percent), "id")
     smallest = placed.groupBy("component").agg(F.min("key").alias("component_id"))
-    found = placed.join(smallest, "component").select(F.col("set").alias("_set"), "component_id")
-    out = signed.join(found, (F.col("set") == F.col("_set")) & own.isNotNull(), "left").withColumn("component_id", F.coalesce("component_id", own))
+    joined = placed.join(smallest, "component").select("id", "component_id")
+    # other sets have one row, which is a component of its own
+    found = classes.join(joined, "id", "left").filter("component_id is not null or copies > 1").select(F.col("set").alias("_set"), F.coalesce("component_id", "key").alias("component_id"))
+    out = signed.join(bounded_broadcast(found), (F.col("set") == F.col("_set")) & own.isNotNull(), "left").withColumn("component_id", F.coalesce("component_id", own))
     return out.select(key, "n_shingles", "component_id", F.col("component_id").eqNullSafe(own).alias("kept"))
 
 
-def _placed(signed: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(set, key, component) for every set of rows (_own, n_shingles, set, sig) with a key ``_own``; ``texts`` has the (key, text) of all rows."""
+def _classes(signed: DataFrame) -> DataFrame:
+    """(id, key, set, sig, n_shingles, copies) for every set of rows (_own, n_shingles, set, sig) with a key ``_own``; the key is the smallest."""
     sets = signed.filter(F.col("set").isNotNull() & F.col("_own").isNotNull())
     named = F.conv(F.hex(F.substring("set", 1, 8)), 16, -10).cast("long")
     # equal sets are one class; only its row goes on, however many copies there are
-    classes = cut(sets.groupBy("set").agg(F.min("_own").alias("key"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n_shingles")).select(named.alias("id"), "key", "sig", "set", "n_shingles"))
-    return classes.join(linked_classes(classes, texts, width, percent), "id").select("set", "key", "component")
+    one = sets.groupBy("set").agg(F.min("_own").alias("key"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n_shingles"), F.count("*").alias("copies"))
+    return cut(one.select(named.alias("id"), "key", "set", "sig", "n_shingles", "copies"))
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -359,7 +378,9 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) ->
     # the operators' keys have to be known for every row, so the text gives them
     own = F.xxhash64("text")
     signed = cut(with_signatures(docs.select(F.struct("doc_id", row.alias("row"), own.alias("own")).alias("_id"), "text"), width, "_id"))
-    placed = _placed(signed.withColumn("_own", F.col("_id.own")), docs.select(own.alias("key"), "text"), width, percent)
+    classes = _classes(signed.withColumn("_own", F.col("_id.own")))
+    linked = linked_classes(classes, docs.select(own.alias("key"), "text"), width, percent)
+    placed = classes.join(linked, "id", "left").select("set", F.coalesce("component", "id").alias("component"))
     rows = signed.filter("set is not null").groupBy("set", "_id").agg(F.count("*").alias("n"))
     first = rows.groupBy("set").agg(F.min(F.struct(F.col("_id.doc_id").isNull().alias("unnamed"), F.col("_id.doc_id").alias("doc_id"), F.col("_id.row").alias("row"), "n")).alias("f"))
     chosen = first.join(placed, "set").groupBy("component").agg(F.min("f").alias("f")).select("f.row", "f.n")

@@ -61,8 +61,9 @@ def brute_components(rows: list[tuple], width: int, percent: int) -> dict[int, i
     return {d: find(d) for d in ids}
 
 
-@pytest.mark.parametrize("width", [4, 5])
-def test_near_duplicates_equal_brute_force(spark, width):
+@pytest.mark.parametrize(("width", "block"), [(4, mh.BLOCK_BYTES), (5, 3000)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, width, block):
+    monkeypatch.setattr(mh, "BLOCK_BYTES", block)
     rows = corpus(width)
     found = {r.doc_id: r for r in mh.near_duplicates(spark.createDataFrame(rows, DOCS), width, 80).collect()}
     expected = brute_components(rows, width, 80)
@@ -84,6 +85,43 @@ def test_a_large_group_of_near_copies_is_one_component(spark):
     assert {r.doc_id: r.component_id for r in found} == brute_components(rows, 4, 80)
 
 
+@pytest.mark.parametrize("block", [mh.BLOCK_BYTES, 20_000])
+def test_near_copies_about_the_threshold_equal_brute_force(spark, monkeypatch, block):
+    """Copies of a text that is not there: most pairs miss the threshold narrowly, and hubs link few."""
+    monkeypatch.setattr(mh, "BLOCK_BYTES", block)
+    rng = random.Random(12)
+    rows = []
+    for g in range(3):
+        base = words(rng, 120, 9000)
+        for k in range(60):
+            copy = list(base)
+            for at in rng.sample(range(120), rng.randrange(2, 5)):
+                copy[at] = f"x{rng.randrange(10**9)}"
+            rows.append((1000 * g + k, " ".join(copy)))
+    expected = brute_components(rows, 4, 80)
+    found = mh.near_duplicates(spark.createDataFrame(rows, DOCS), 4, 80).collect()
+    assert {r.doc_id: r.component_id for r in found} == expected
+    assert 5 < len(set(expected.values())) < 170
+
+
+def test_bridges_equal_all_pairs():
+    rng = np.random.default_rng(2)
+    for one_block in (True, False):
+        sets = [np.unique(rng.integers(0, 40, 25)).astype(np.uint64) for _ in range(40)]
+        component, upper = rng.integers(0, 15, 40), np.arange(40) % 3 == 0
+        x, y = mh._bridges([s.tobytes() for s in sets], component, upper & (not one_block), one_block, 60)
+        label = {c: c for c in component.tolist()} | dict(zip(x.tolist(), y.tolist(), strict=True))
+        rows = {c: {c} for c in label}
+        for a in range(40):
+            for b in range(a):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if 100 * both >= 60 * (len(sets[a]) + len(sets[b]) - both) and (one_block or upper[a] != upper[b]):
+                    joined = rows[component[a]] | rows[component[b]]
+                    for c in joined:
+                        rows[c] = joined
+        assert label == {c: min(r) for c, r in rows.items()}
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = [(None, "one two three four five"), (1, "one two three four five"), (1, "one two three four five"), (1, "something else altogether here now"), (2, None)]
     got = sorted((r.doc_id is None, r.doc_id or 0, r.component_id, r.kept) for r in mh.near_duplicates(spark.createDataFrame(rows, DOCS), 4, 80).collect())
