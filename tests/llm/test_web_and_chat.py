@@ -152,11 +152,13 @@ def brute_nearest(rows: list[tuple], query: int, k: int) -> list[tuple]:
     return sorted((float(np.sqrt(((x[query] - v) ** 2).sum())), i) for i, v in x.items() if i != query)[:k]
 
 
-def test_neighbours_reach_the_recall(spark):
+@pytest.mark.parametrize(("chained", "dim", "block"), [(1, 32, 2048), (2, 64, 300), (3, 12, 2048), (2, 200, 2048)])
+def test_neighbours_reach_the_recall(spark, monkeypatch, chained, dim, block):
+    monkeypatch.setattr(ann, "BLOCK", block)
     rng = np.random.default_rng(5)
-    x = rng.normal(size=(1500, 32))
+    x = rng.normal(size=(1500, dim))
     rows = [(k, [float(v) for v in r]) for k, r in enumerate(x)]
-    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda c: c % 100 == 0).collect()
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda c: c % 100 == 0, chained=chained).collect()
     hits = 0
     for q in range(0, 1500, 100):
         mine = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
@@ -167,6 +169,22 @@ def test_neighbours_reach_the_recall(spark):
     assert hits / 150 >= 0.9
 
 
+def test_probes_needed_are_the_places_among_probes():
+    rng = np.random.default_rng(8)
+    q, v = (ann._unit(rng.normal(size=(6, 8))) for _ in range(2))
+    for chained in (1, 2, 3):
+        every, code = ann.probes(q, 2, chained, 16**chained), ann.codes(v, 2, chained)
+        for row, needed in enumerate(ann.probes_needed(q, v, 2, chained)):
+            found = lambda n: n and any(code[row, t] in ann.probes(q[row : row + 1], 2, chained, n)[0, t] for t in range(2))  # noqa: B023, E731
+            assert len(set(every[row, 0])) == 16**chained and found(int(needed)) and not found(int(needed) - 1)
+
+
+def test_neighbours_of_extreme_vectors(spark):
+    rows = [(k, [1e200 * k, 1e200]) for k in range(1, 30)] + [(k, [float(k), 1e-200]) for k in range(100, 140)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda c: c == 100)
+    assert [(r.vec_id, r.score) for r in got.orderBy("rank").collect()] == [(100 + k, float(k)) for k in range(1, 11)]
+
+
 def test_neighbours_of_few_and_odd_vectors(spark):
     schema = "vec_id long, embedding array<float>, rank string"
     one = [1.0, 2.0, 2.0]
