@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,13 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what ``spark.checkpoint.dir`` names. Only where that is unset, as in
-    tests on one machine, a temporary folder takes its place.
+    It is what ``spark.checkpoint.dir`` names. Only on a single machine (master
+    local) a temporary folder takes its place where that is unset; a cluster
+    without a shared folder is an error.
     """
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
-        root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(root)
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(root or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir().get()
 
 
@@ -46,8 +50,8 @@ def bounded_broadcast(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def hash_sample(rows: DataFrame, hashed: Column, n: int, total: int) -> DataFrame:
-    """The ``n`` rows with the smallest of their 64-bit hashes, of ``total`` rows.
+def hash_sample(rows: DataFrame, hashed: Column, n: int, total: int, distinct: bool = False) -> DataFrame:
+    """The ``n`` rows with the smallest of their 64-bit hashes, of ``total`` rows (or, if ``distinct``, of as many different ones).
 
     A bound on the hash lets about twice as many through before they are sorted,
     so what reaches the one task that takes the smallest doesn't grow with the
@@ -57,6 +61,8 @@ def hash_sample(rows: DataFrame, hashed: Column, n: int, total: int) -> DataFram
     some = rows.withColumn("_hash", hashed)
     if share < 1:
         some = some.filter(F.col("_hash") <= F.lit(int(-(2**63) + share * (2**64 - 2**11))))
+    if distinct:
+        some = some.distinct()
     order = [F.col(f"`{c}`") for c, kind in rows.dtypes if not kind.startswith(("map", "variant"))]
     return some.orderBy("_hash", *order).limit(n).drop("_hash")
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
+from .common import cut, hash_sample, small_batches, table
 
 SYMBOLS = b"#*$%&|<>"
 #: What the forest sees, and by how much its split ranges reach past the rows of a node at least.
@@ -153,8 +153,8 @@ def judge_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", fit_r
     stats = cut(with_features(with_stats(docs, key)).withColumn("base_failed", base_failed()))
     marks = labels.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("quality").alias("_quality"))
     passing = stats.filter(~F.col("base_failed")).join(marks, key)
-    good = passing.filter("_quality = 1")
-    sample = good.orderBy(F.xxhash64(key), *FEATURES).limit(fit_rows).select(*FEATURES).toPandas().to_numpy(float)
+    good = passing.filter("_quality = 1").select(F.xxhash64(key).alias("h"), *FEATURES)
+    sample = hash_sample(good, F.col("h"), fit_rows, good.count()).select(*FEATURES).toPandas().to_numpy(float)
     if not len(sample):
         return stats.withColumns({"anomaly": F.lit(None).cast("double"), "kept": ~F.col("base_failed")})
     forest = grow_forest(sample)

@@ -6,8 +6,10 @@ bytes the one with the smallest hash is its anchor, so equal strings have equal
 anchors at equal places, and one suffix per anchor is enough. Anchors whose gram
 occurs once in the corpus are left out. Sampled splitters range-partition the
 others by their leading bytes; each bucket sorts its own by multikey quicksort
-and compares the strings of suffixes that begin alike; suffixes at a bucket's
-ends, which may go on in the next, are compared across buckets.
+and compares the strings of suffixes that begin alike. Hashes only say which
+strings may be equal; neighbours in their order are compared byte by byte.
+Suffixes at a bucket's ends, which may go on in the next, are compared across
+buckets by cryptographic digests.
 """
 
 from __future__ import annotations
@@ -105,13 +107,42 @@ def multikey_quicksort(words: np.ndarray, small: int = 48) -> np.ndarray:
     return order
 
 
+def equal_strings(flat: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Numbers that are equal for exactly those strings of ``LENGTH`` bytes, at the places ``at``, that are equal.
+
+    Strings are put in the order of their hashes and compared with their
+    neighbours, 8 bytes at a time. Where unlike strings share a hash, multikey
+    quicksort puts them in their own order.
+    """
+    if not len(at):
+        return np.zeros(0, np.int64)
+    words = np.ndarray((len(flat) - 7,), "<u8", np.ascontiguousarray(flat), strides=(1,))
+    order = np.argsort(hashes, kind="stable")
+    alike = hashes[order[1:]] == hashes[order[:-1]]
+    one, two = at[order[:-1]][alike], at[order[1:]][alike]
+    same = np.ones(len(one), bool)
+    for k in range(0, LENGTH, 8):
+        same &= words[one + k] == words[two + k]
+    group = np.cumsum(np.r_[False, ~alike])
+    if not same.all():
+        mixed = np.flatnonzero(np.isin(group, group[1:][alike][~same]))
+        rows = words[at[order[mixed]][:, None] + np.arange(0, LENGTH, 8)].byteswap()
+        own = multikey_quicksort(rows)
+        number = np.empty(len(mixed), np.int64)
+        number[own] = np.cumsum(np.r_[False, (rows[own[1:]] != rows[own[:-1]]).any(axis=1)])
+        group[mixed] = group[-1] + 1 + number
+    out = np.empty(len(at), np.int64)
+    out[order] = group
+    return out
+
+
 def repeated_in_bucket(contexts: list[bytes], places: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, start, hash, repeats, edge) of the strings in a bucket's contexts that repeat or may repeat elsewhere.
+    """(row, start, repeats, edge, digest) of the strings in a bucket's contexts that repeat or may repeat elsewhere.
 
     ``contexts[k]`` are the strings of suffix k in one piece, ``places`` its
     anchor therein, and ``many`` says that its document holds the piece twice.
     Strings whose suffix is like the first or the last of the bucket are at its
-    edge: their like may be in another bucket.
+    edge: their like may be in another bucket, and they have a digest.
     """
     lengths = np.fromiter(map(len, contexts), np.int64, len(contexts))
     begins = np.cumsum(lengths) - lengths
@@ -128,11 +159,17 @@ def repeated_in_bucket(contexts: list[bytes], places: np.ndarray, many: np.ndarr
     counts = lengths[useful] - LENGTH + 1
     row = np.repeat(useful, counts)
     start = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    hashes = string_hashes(flat)[begins[row] + start]
-    _, inverse, times = np.unique(hashes, return_inverse=True, return_counts=True)
-    repeats = (times[inverse] > 1) | many[row]
-    told = repeats | edge[row]
-    return row[told], start[told], hashes[told], repeats[told], edge[row[told]]
+    at = begins[row] + start
+    string = equal_strings(flat, at, string_hashes(flat)[at])
+    repeats = (np.bincount(string)[string] > 1) | many[row]
+    told = np.flatnonzero(repeats | edge[row])
+    whole = flat.tobytes()
+    # of equal strings at the edge one tells the other buckets
+    first = np.zeros(len(row), bool)
+    first[told[np.unique(string[told], return_index=True)[1]]] = True
+    asks = edge[row] & (~repeats | first)
+    digest = [hashlib.blake2b(whole[p : p + LENGTH], digest_size=16).digest() if a else None for p, a in zip(at[told].tolist(), asks[told].tolist(), strict=True)]
+    return row[told], start[told], repeats[told], edge[row[told]], digest
 
 
 def text_key(text: Column) -> Column:
@@ -180,12 +217,12 @@ def _contexts(texts: DataFrame) -> DataFrame:
 
 
 def _compared(suffixes: DataFrame) -> DataFrame:
-    """Rows (key, low, high, hash, state) from each bucket.
+    """Rows (key, low, high, digest, state) from each bucket.
 
     State 1: the bytes low to high repeat. State 0: the string at low was found
     once, at an end of its bucket, and the other buckets have to be asked. State
-    2: ``hash`` belongs to a string that repeats at an end of a bucket, for the
-    others that ask; it has no place.
+    2: ``digest`` belongs to a string that repeats at an end of a bucket, for
+    the others that ask; it has no place.
     """
     schema = pa.schema([("lead", pa.binary()), ("context", pa.binary()), ("place", pa.int32()), ("key", pa.binary()), ("starts", pa.list_(pa.int64()))])
 
@@ -195,7 +232,7 @@ def _compared(suffixes: DataFrame) -> DataFrame:
             return
         starts = rows.column("starts").to_pylist()
         many = np.fromiter((len(s) > 1 for s in starts), bool, len(starts))
-        row, at, hashes, repeats, edge = repeated_in_bucket(rows.column("context").to_pylist(), rows.column("place").to_numpy().astype(np.int64), many)
+        row, at, repeats, edge, digest = repeated_in_bucket(rows.column("context").to_pylist(), rows.column("place").to_numpy().astype(np.int64), many)
         keys = rows.column("key").combine_chunks()
         # runs of neighbouring repeats of a suffix become one span, once for each of its starts
         r, p = row[repeats], at[repeats]
@@ -204,7 +241,7 @@ def _compared(suffixes: DataFrame) -> DataFrame:
         spans = [(k, s + p[f], s + p[e] + LENGTH) for k, f, e in zip(r[fresh], fresh, last, strict=True) for s in starts[k]]
         asks = ~repeats
         single = np.fromiter((starts[k][0] for k in row[asks]), np.int64, int(asks.sum())) + at[asks]
-        tells = np.unique(hashes[repeats & edge])
+        tells = [digest[k] for k in np.flatnonzero(repeats & edge) if digest[k]]
         n, m, t = len(spans), len(single), len(tells)
         if n + m + t:
             place = np.array([x[1:] for x in spans], np.int64).reshape(-1, 2)
@@ -214,13 +251,13 @@ def _compared(suffixes: DataFrame) -> DataFrame:
                     keys.take(owner),
                     pa.array(np.concatenate([place[:, 0], single, np.zeros(t, np.int64)])),
                     pa.array(np.concatenate([place[:, 1], single + LENGTH, np.zeros(t, np.int64)])),
-                    pa.array(np.concatenate([np.zeros(n, np.uint64), hashes[asks], tells]).view(np.int64)),
+                    pa.array([None] * n + [digest[k] for k in np.flatnonzero(asks)] + tells, pa.binary()),
                     pa.array(np.repeat(np.array([1, 0, 2], np.int32), [n, m, t])),
                 ],
-                ["key", "low", "high", "hash", "state"],
+                ["key", "low", "high", "digest", "state"],
             )
 
-    return suffixes.mapInArrow(run, "key binary, low long, high long, hash long, state int")
+    return suffixes.mapInArrow(run, "key binary, low long, high long, digest binary, state int")
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
@@ -235,19 +272,20 @@ def repeated_spans(docs: DataFrame, text: str = "text", row_id: str = "doc_id")
     grams = _gram_places(hashed)
     at = F.xxhash64("text", "place")
     shared = grams.groupBy("gram").agg(F.min(at).alias("low"), F.max(at).alias("high")).filter("low <> high").select("gram")
-    places = cut(grams.join(shared, "gram", "left_semi").groupBy("text").agg(F.collect_set("place").alias("places")))
+    # written first: so a broadcast can take them if they are few, or else a join that splits hot grams
+    places = cut(grams.join(bounded_broadcast(shared), "gram", "left_semi").groupBy("text").agg(F.collect_set("place").alias("places")))
     # of the rows with one text that with the smallest id is read; rows that repeat it too do no harm
-    first = hashed.groupBy("hash").agg(F.min("row").alias("least"))
-    chosen = places.join(first, places.text == first.hash).select(F.col("hash").alias("chosen"), "least", "places")
-    wanted = bounded_broadcast(chosen.select("chosen").distinct())
-    some = hashed.join(wanted, hashed.hash == wanted.chosen, "left_semi")
-    read = some.join(chosen, (F.col("hash") == F.col("chosen")) & F.col("row").eqNullSafe(F.col("least")))
-    contexts = _contexts(read.withColumn("key", text_key(F.col("text"))).select("key", "text", "places"))
+    wanted = bounded_broadcast(places.select(F.col("text").alias("chosen")))
+    some = hashed.join(wanted, hashed.hash == wanted.chosen, "left_semi").withColumn("key", text_key(F.col("text")))
+    first = some.groupBy("key", "hash").agg(F.min("row").alias("least"))
+    chosen = first.join(places.withColumnRenamed("text", "of"), F.col("hash") == F.col("of")).select(F.col("key").alias("chosen"), "least", "places")
+    read = some.join(chosen, (F.col("key") == F.col("chosen")) & F.col("row").eqNullSafe(F.col("least")))
+    contexts = _contexts(read.select("key", "text", "places"))
     buckets = 1 + (places.agg(F.sum(F.size("places"))).first()[0] or 0) // BUCKET
     compared = cut(_compared(contexts.repartitionByRange(buckets, "lead", F.xxhash64("key", "place", "starts"))))
     asked = compared.filter("state = 0")
-    told = compared.filter("state <> 1").groupBy("hash").agg(F.sum(F.when(F.col("state") == 0, 1).otherwise(2)).alias("n")).filter("n > 1").select("hash")
-    spans = compared.filter("state = 1").select("key", "low", "high").union(asked.join(told, "hash", "left_semi").select("key", "low", "high"))
+    told = compared.filter("state <> 1").groupBy("digest").agg(F.sum(F.when(F.col("state") == 0, 1).otherwise(2)).alias("n")).filter("n > 1").select("digest")
+    spans = compared.filter("state = 1").select("key", "low", "high").union(asked.join(told, "digest", "left_semi").select("key", "low", "high"))
     return spans.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias("spans"))
 
 
@@ -283,8 +321,11 @@ def whole_characters(data: bytes, runs: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
+ADDED = "_n_bytes long, _n_removed long, _n_spans long, _kept_sha256 string, _kept string"
+
+
 def without_repeats(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """``docs`` with _n_bytes, _n_removed, _n_spans, _kept_sha256 and _kept (the text that is left).
+    """``docs`` with _n_bytes, _n_removed, _n_spans, _kept_sha256 and _kept (the text that is left), which replace columns of these names.
 
     The first four count bytes. ``_kept`` has whole characters only: a character
     that a removed run cuts stays. Null texts count as empty and stay null. A
@@ -292,45 +333,56 @@ def without_repeats(docs: DataFrame, text: str = "text", row_id: str = "doc_id")
     one has nothing to remove.
     """
     small_batches(docs.sparkSession)
-    filled = F.coalesce(F.col(text), F.lit(""))
-    copies = docs.select(text_key(F.col(text)).alias("key"), F.octet_length(filled).alias("n")).filter(F.col("n") >= LENGTH).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    added = [x.split()[0] for x in ADDED.split(", ")]
+    columns = [c for c in docs.columns if c not in added]
+    # all columns but the text travel as one, so that none can clash with those used here
+    rest = F.struct(*(F.col(f"`{c}`") for c in columns if c != text), F.lit(0).alias("_")).alias("rest")
+    keyed = docs.select(rest, F.col(f"`{text}`").alias("text"), text_key(F.col(f"`{text}`")).alias("key"))
+    filled = F.coalesce("text", F.lit(""))
+    copies = keyed.filter(F.octet_length(filled) >= LENGTH).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     spans = repeated_spans(docs, text, row_id).join(copies, "key", "left_anti")
     removed = cut(spans.unionByName(copies.select("key", F.lit(None).cast("array<struct<low:bigint,high:bigint>>").alias("spans"))))
-    touched = bounded_broadcast(removed.select(F.col("key").alias("_touched")))
-    keyed = docs.withColumn("_key", text_key(F.col(text)))
-    changed = keyed.join(touched, F.col("_key") == F.col("_touched"), "left_semi").join(removed.select(F.col("key").alias("_at"), F.col("spans").alias("_spans")), F.col("_key") == F.col("_at"))
-    same = keyed.join(touched, F.col("_key") == F.col("_touched"), "left_anti")
-    size = F.octet_length(filled).cast("long")
-    untouched = same.drop("_key").withColumns({"_n_bytes": size, "_n_removed": F.lit(0).cast("long"), "_n_spans": F.lit(0).cast("long"), "_kept_sha256": F.sha2(filled.cast("binary"), 256), "_kept": F.col(text)})
-    return untouched.unionByName(_cut_out(changed.drop("_key", "_at"), docs, text))
+    touched = bounded_broadcast(removed.select("key"))
+    size, none = F.octet_length(filled).cast("long"), F.lit(0).cast("long")
+    same = keyed.join(touched, "key", "left_anti").select("rest", "text", size, none, none, F.sha2(filled.cast("binary"), 256), F.col("text")).toDF("rest", "text", *added)
+    changed = _cut_out(keyed.join(touched, "key", "left_semi").join(removed, "key").select("rest", "text", "spans"))
+    shown = [F.col("text").alias(c) if c == text else F.col(f"rest.`{c}`") for c in columns]
+    return same.unionByName(changed).select(*shown, *added)
 
 
-def _cut_out(changed: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    columns = docs.columns
-    added = pa.schema([("_n_bytes", pa.int64()), ("_n_removed", pa.int64()), ("_n_spans", pa.int64()), ("_kept_sha256", pa.string()), ("_kept", pa.string())])
+def _cut_out(changed: DataFrame) -> DataFrame:
+    """(rest, text, ``ADDED``) from (rest, text, spans); NULL spans take the whole text."""
+    kinds = {"long": pa.int64(), "string": pa.string()}
+    added = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in ADDED.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for t, spans in zip(b.column(text).to_pylist(), b.column("_spans").to_pylist(), strict=True):
+            for t, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 data = (t or "").encode()
                 runs = [(0, len(data))] if spans is None else merged([(s["low"], s["high"]) for s in spans])
                 left = kept_bytes(data, runs)
                 rows.append((len(data), len(data) - len(left), len(runs), hashlib.sha256(left).hexdigest(), kept_bytes(data, whole_characters(data, runs)).decode()))
             made = zip(*rows, strict=True) if rows else [[]] * len(added)
-            new = [pa.array(list(c), f.type) for c, f in zip(made, added, strict=True)]
-            yield pa.RecordBatch.from_arrays([*map(b.column, columns), *new], [*columns, *added.names])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *(pa.array(list(c), f.type) for c, f in zip(made, added, strict=True))], ["rest", "text", *added.names])
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return changed.mapInArrow(run, ", ".join([*kinds, "_n_bytes long, _n_removed long, _n_spans long, _kept_sha256 string, _kept string"]))
+    schema = changed.select("rest", "text").schema
+    for name, kind in (x.split() for x in ADDED.split(", ")):
+        schema = schema.add(name, kind)
+    return changed.mapInArrow(run, schema)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated strings of 200 bytes; a row for each, in no order.
+
+    A null text has no bytes. Rows that repeat a text, or a doc_id, are documents of their own.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return without_repeats(docs).select("doc_id", *(F.col(f"_{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")))
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages cut out of text, and n_chars recounted; other columns pass through."""
-    columns = [F.col("_kept").alias("text") if c == "text" else F.length("_kept").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return without_repeats(docs).select(*columns)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("_row")
+    columns = [F.col("_kept").alias("text") if c == "text" else F.length("_kept").cast("long").alias(c) if c == "n_chars" else F.col(f"_row.`{c}`") for c in docs.columns]
+    return without_repeats(docs.select("doc_id", "text", row)).select(*columns)

@@ -22,7 +22,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
+from .common import cut, hash_sample, small_batches, table
 
 #: Labelled rows that the lexicon, the trees and the calibration are fitted on, at most.
 FIT_ROWS = 16_384
@@ -178,7 +178,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     trees, and every score is that class.
     """
     marks = labels.filter(F.col(key).isNotNull() & F.col("toxic").isin(0, 1)).groupBy(key).agg(F.max("toxic").alias("toxic"))
-    chosen = marks.orderBy(F.xxhash64(F.lit(11), key), key).limit(fit_rows)
+    chosen = hash_sample(marks, F.xxhash64(F.lit(11), key), fit_rows, marks.count())
     # fit_rows rows of two numbers: that is a proven bound for the broadcast
     sample = cut(docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), key))
     present = {r.toxic for r in sample.select("toxic").distinct().collect()}

@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, small_batches, table
+from .common import cut, hash_sample, shared_dir, small_batches, table
 
 #: Fixed values of the formats: the dictionary's frame, a Zstandard frame, a Zstandard dictionary.
 DICTIONARY_FRAME, FRAME, DICTIONARY = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
@@ -44,8 +44,10 @@ def digest(payload: bytes) -> str:
 
 
 def train_dictionary(pages: DataFrame, payload: str = "html", rows: int = SAMPLE_ROWS) -> bytes:
-    """A dictionary from the ``rows`` payloads with the smallest hashes; empty if they are too few."""
-    sample = pages.filter(F.length(payload) > 0).select(F.substring(payload, 1, SAMPLE_BYTES).alias("p")).orderBy(F.xxhash64("p"), "p").limit(rows).collect()
+    """A dictionary from the ``rows`` different payloads with the smallest hashes; empty if they are too few."""
+    starts = pages.filter(F.length(payload) > 0).select(F.xxhash64(F.substring(payload, 1, SAMPLE_BYTES)).alias("h"), F.substring(payload, 1, SAMPLE_BYTES).alias("p"))
+    different = starts.agg(F.approx_count_distinct("h")).first()[0]
+    sample = hash_sample(starts, F.col("h"), rows, different, distinct=True).collect()
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [r.p.encode()[:SAMPLE_BYTES] for r in sample]).as_bytes()
     except zstandard.ZstdError:
@@ -204,31 +206,35 @@ def read_warc(archives: DataFrame, payloads: bool = True, rows: int = 256) -> Da
         if block:
             yield pa.RecordBatch.from_pylist(block, schema)
 
-    names = archives.select("archive").distinct()
-    return names.repartition(max(1, archives.count()), "archive").mapInArrow(run, RECORD_SCHEMA)
+    # one task deals out the names in turn, so that each reading task gets one archive
+    names = archives.select("archive").distinct().coalesce(1)
+    return names.repartition(max(1, archives.count())).mapInArrow(run, RECORD_SCHEMA)
 
 
 def with_revisits(pages: DataFrame, key: str = "page_id", payload: str = "html") -> DataFrame:
-    """``pages`` with ``revisit`` and ``refers_to``.
+    """``pages`` with ``revisit`` and ``refers_to``, which replace columns of that name.
 
     Of the rows with equal payloads (null: empty) those with the smallest key
     are responses, the others revisit it; a null key comes last. Only keys and
     digests are grouped, and only revisits are joined back, by key and digest:
     a payload that very many rows hold meets in no task.
     """
-    hashed = F.sha1(F.coalesce(F.col(payload), F.lit("")).cast("binary"))
-    keyed = pages.select(F.col(key).alias("_key"), hashed.alias("_digest"))
-    least = keyed.groupBy("_digest").agg(F.min("_key").alias("_least"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    again = keyed.join(least, "_digest").filter(~F.col("_key").eqNullSafe(F.col("_least"))).distinct()
-    return (
-        pages.withColumn("_hashed", hashed)
-        .join(again, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_hashed") == F.col("_digest")), "left")
-        .withColumns({"revisit": F.col("_digest").isNotNull(), "refers_to": F.col("_least")})
-        .drop("_hashed", "_key", "_digest", "_least")
-    )
+    # a row travels as one column, so that none of its own can clash with those added
+    kept = F.struct(*(F.col(f"`{c}`") for c in pages.columns if c not in ("revisit", "refers_to"))).alias("row")
+    rows = pages.select(kept, F.col(f"`{key}`").alias("key"), F.sha1(F.coalesce(F.col(f"`{payload}`"), F.lit("")).cast("binary")).alias("digest"))
+    keyed = rows.select("key", "digest")
+    least = keyed.groupBy("digest").agg(F.min("key").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    again = keyed.join(least, "digest").filter(~F.col("key").eqNullSafe(F.col("least"))).distinct().withColumnsRenamed({"key": "again", "digest": "same"})
+    placed = rows.join(again, F.col("key").eqNullSafe(F.col("again")) & (F.col("digest") == F.col("same")), "left")
+    return placed.select("row.*", F.col("same").isNotNull().alias("revisit"), F.col("least").alias("refers_to"))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a record and read back from the archives; a row for each, in no order.
+
+    A null html is an empty payload. Of equal payloads the smallest page_id is
+    the response. A record that fails a check of the reader ends the query.
+    """
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     archives = write_warc(with_revisits(pages), folder, train_dictionary(pages))

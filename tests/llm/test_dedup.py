@@ -175,6 +175,30 @@ def test_repeated_strings_equal_brute_force(spark, monkeypatch, bucket):
         assert set((r._kept or "").encode()) <= set(data[k])
 
 
+def test_equal_hashes_of_unlike_strings_do_no_harm(spark, monkeypatch):
+    texts = [t.encode() for t in repeats_corpus() if t and len(t.encode()) >= sd.LENGTH]
+    flat = np.frombuffer(b"".join(texts), np.uint8)
+    at = np.arange(0, len(flat) - sd.LENGTH + 1, 3)
+    whole = flat.tobytes()
+    seen: dict[bytes, int] = {}
+    expected = [seen.setdefault(whole[k : k + sd.LENGTH], n) for n, k in enumerate(at)]
+    for hashes in (sd.string_hashes(flat)[at], np.zeros(len(at), np.uint64), (at % 7).astype(np.uint64) * 0 + flat[at].astype(np.uint64) % np.uint64(3)):
+        got = sd.equal_strings(flat, at, hashes)
+        first: dict[int, int] = {}
+        assert [first.setdefault(g, n) for n, g in enumerate(got.tolist())] == expected
+
+
+def test_repeats_in_a_very_long_text_and_with_clashing_columns(spark):
+    rng = random.Random(31)
+    long_text = "".join(rng.choice("abcdefghij") for _ in range(400_000))
+    rows = [(1, long_text, "a", 1), (2, "x" * 10 + long_text[150_000:151_000], "b", 2), (2, None, "c", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string, _n_bytes long")
+    got = {r._key: r for r in sd.without_repeats(docs).collect()}
+    assert {k: (r._n_bytes, r._n_removed, r._n_spans) for k, r in got.items()} == {"a": (400_000, 1000, 1), "b": (1010, 1000, 1), "c": (0, 0, 0)}
+    out = sd.drop_repeats(docs)
+    assert out.columns == docs.columns and {(r._key, r._n_bytes) for r in out.collect()} == {("a", 1), ("b", 2), ("c", 3)}
+
+
 def test_repeats_of_odd_rows(spark):
     assert sd.without_repeats(spark.createDataFrame([], DOCS)).collect() == []
     rows = [(None, "z" * 150 + "q" * 150, 1, "k"), (None, "z" * 150 + "q" * 150, 1, "k"), (3, None, 2, "k"), (4, "hello", 5, "k")]
