@@ -177,18 +177,50 @@ def _sets(texts: DataFrame, keys: DataFrame, width: int) -> DataFrame:
     return texts.join(wanted, "key", "left_semi").select("text").mapInArrow(shingled, "id long, s binary")
 
 
+def smallest_reached(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """For each of the nodes 0 to n - 1 the smallest that it reaches over the links between ``u`` and ``v``."""
+    label = np.arange(n)
+    while len(u):
+        near = np.minimum(label[u], label[v])
+        after = label.copy()
+        np.minimum.at(after, u, near)
+        np.minimum.at(after, v, near)
+        after = after[after]
+        if (after == label).all():
+            break
+        label = after
+    return label
+
+
+def forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what (x, y) connect, one for each id but the smallest of its component, which it leads to."""
+    names, ends = np.unique(np.stack([x, y]), return_inverse=True)
+    u, v = ends.reshape(2, -1)
+    label = smallest_reached(u, v, len(names))
+    moved = label != np.arange(len(names))
+    return names[moved], names[label[moved]]
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): for each id in ``links`` (x, y) the smallest id that it reaches.
 
-    Each round, an id takes the smallest label among itself and its neighbours,
-    and then the label of that label, so that chains halve. Labels are written
-    each round. They only ever decrease, so the rounds end when their sum stays.
-    Ids are few beside documents, so a task takes ``ROWS`` of them, however many
+    Each task first reduces its share of the links to a forest. Then, each
+    round, an id takes the smallest label among itself and its neighbours, and
+    the label of that label, so that chains halve. Labels are written each
+    round. They only ever decrease, so the rounds end when their sum stays. Ids
+    are few beside documents, so a task takes ``ROWS`` of them, however many
     partitions a shuffle has.
     """
-    links = cut(links.select("x", "y").filter("x <> y").distinct())
-    tasks = 1 + 2 * links.count() // ROWS
-    edges = links.coalesce(tasks)
+    links = cut(links.select("x", "y").filter("x <> y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(list(batches), pa.schema([("x", pa.int64()), ("y", pa.int64())]))
+        if whole.num_rows:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, forest(whole.column(0).to_numpy(), whole.column(1).to_numpy()))), ["x", "y"])
+
+    trees = cut(links.coalesce(1 + links.count() // ROWS).mapInArrow(run, "x long, y long"))
+    tasks = 1 + 2 * trees.count() // ROWS
+    edges = trees.coalesce(tasks)
     edges = edges.union(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
     labels = cut(edges.groupBy(F.col("x").alias("id")).agg(F.least(F.first("x"), F.min("y")).alias("component")).coalesce(tasks))
     before = None
@@ -202,11 +234,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _crowded(classes: DataFrame) -> DataFrame:
-    """(bucket, hub, id) for the buckets with several classes; the hub is the member with the smallest hash."""
+    """(bucket, id) for the buckets with several classes."""
     filed = bucket_keys(classes)
-    hub = F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("hub")
-    several = filed.groupBy("bucket").agg(hub, F.count("*").alias("size")).filter("size > 1").select("bucket", F.col("hub.id").alias("hub"))
-    return filed.join(bounded_broadcast(several, 500_000), "bucket").select("bucket", "hub", "id")
+    several = filed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    return filed.join(bounded_broadcast(several), "bucket").select("bucket", "id")
 
 
 def linked_classes(classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -223,7 +254,10 @@ def linked_classes(classes: DataFrame, texts: DataFrame, width: int, percent: in
     tasks = 1 + members.count() // ROWS
     members = members.coalesce(tasks)
     keys = classes.select("id", "key")
-    met = cut(not_far(members.filter("id <> hub").select(F.col("id").alias("x"), F.col("hub").alias("y")).distinct(), classes))
+    # ids are hashes, so the smallest of a bucket is any of its members, and often the same in buckets that share members
+    hubs = members.groupBy("bucket").agg(F.min("id").alias("hub"))
+    star = members.join(hubs, "bucket").filter("id <> hub").select(F.col("id").alias("x"), F.col("hub").alias("y")).distinct()
+    met = cut(not_far(star.coalesce(tasks), classes))
     labels = components(confirmed(met, keys, texts, width, percent))
     placed = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")).select("bucket", "id", "component").coalesce(tasks)
     open_ = cut(_mixed(placed).coalesce(tasks))
@@ -313,20 +347,7 @@ def _bridges(sets: list[bytes], component: np.ndarray, upper: np.ndarray, one_bl
         shared = np.bincount(holder[places], minlength=len(ones))
         hit = np.flatnonzero((100 * shared >= percent * (sizes[ones] + sizes[at] - shared)) & (component[ones] != component[at]))
         linked.append(np.stack([component[ones[hit]], np.full(len(hit), component[at])]))
-    pairs = np.unique(np.concatenate(linked, axis=1), axis=1)
-    names, ends = np.unique(pairs, return_inverse=True)
-    u, v = ends.reshape(pairs.shape)
-    label = np.arange(len(names))
-    while len(u):
-        near = np.minimum(label[u], label[v])
-        after = label.copy()
-        np.minimum.at(after, u, near)
-        np.minimum.at(after, v, near)
-        after = after[after]
-        if (after == label).all():
-            break
-        label = after
-    return names[label != np.arange(len(names))], names[label[label != np.arange(len(names))]]
+    return forest(*np.unique(np.concatenate(linked, axis=1), axis=1))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
