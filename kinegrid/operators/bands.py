@@ -7,16 +7,17 @@ throughout: one row per (held_out, bin).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import finite, ratio, wilson
+from ..session import checkpointed, running_before
 
 BINS, SIGMA, MIN_EXCURSION, MIN_SUPPORT = 20, 2.0, 0.20, 2
 #: Held-out value of the band over everybody.
 POOLED = "__pooled__"
-#: Persons that a leave-one-out fit takes; each row counts for all but one of them.
-MAX_PERSONS = 2_000
+#: Places in the order of a bin's values that are looked up together.
+STRETCH = 1024
 
 
 def edge(i: Column, low: Column, high: Column, bins: int) -> Column:
@@ -49,18 +50,64 @@ def eligible(reps: DataFrame, conditions: tuple[str, ...], views: tuple[str, ...
     return reps.filter(F.col("condition").isin(*conditions) & F.col("view").isin(*views))
 
 
-def _binned(rows: DataFrame, bins: int) -> DataFrame:
-    percentile = lambda p: F.percentile("signal", p)
-    return (
-        rows.withColumn("bin", bin_of(F.col("excursion"), F.col("low"), F.col("high"), bins))
-        .groupBy("held_out", "low", "high", "bin")
-        .agg(
-            F.avg("signal").alias("mean"),
-            F.stddev_samp("signal").alias("std"),
-            percentile(0.05).alias("p05"),
-            percentile(0.95).alias("p95"),
-            F.count("*").alias("count"),
-        )
+def _tallied(rows: DataFrame, ranges: DataFrame, bins: int) -> DataFrame:
+    """(range, low, high, bin, person, signal, n): usable rows counted by value in the bins of each range; ``ranges`` has few rows."""
+    placed = rows.join(F.broadcast(ranges)).withColumn("bin", bin_of(F.col("excursion"), F.col("low"), F.col("high"), bins))
+    return placed.groupBy("range", "low", "high", "bin", "person", "signal").agg(F.count("*").alias("n"))
+
+
+def _bands(tally: DataFrame, folds: DataFrame) -> DataFrame:
+    """(held_out, low, high, bin, mean, std, p05, p95, count): the band of each of ``folds`` (range, held_out, low, high) without that person's rows.
+
+    Nothing fans out: a fold's sums are those of all less the person's own, and
+    its k-th smallest value is the (k + j)-th of all, where j of the person's
+    own values come before it. These are the ones with at most k others below.
+    """
+    tally = checkpointed(tally)
+    cell = ("range", "bin")
+    every = running_before(tally.groupBy(*cell, "signal").agg(F.sum("n").alias("n")), cell, "signal", "n", "below")
+    every = checkpointed(every)
+    centre = tally.agg(F.avg("signal")).first()[0] or 0.0
+    x = F.col("signal") - F.lit(centre)
+    sums = lambda *by: [F.sum("n").alias(f"{by[0]}n"), F.sum(F.col("n") * x).alias(f"{by[0]}x"), F.sum(F.col("n") * x * x).alias(f"{by[0]}xx")]
+    whole = every.groupBy(*cell).agg(*sums("all_"))
+    mine = tally.join(folds.select("range", F.col("held_out").alias("person")), ["range", "person"]).select("range", "bin", "person", "signal", "n")
+    own = mine.groupBy(*cell, "person").agg(*sums("own_"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    cells = folds.join(whole, "range").join(own.withColumnRenamed("person", "held_out"), [*cell, "held_out"], "left")
+    left = F.col("all_n") - zero("own_n")
+    at = lambda p: F.lit(p) * (F.col("count") - 1)
+    ranks = {"first": F.lit(0), "last": F.col("count") - 1} | {f"{p}_{e}": f(at(v)) for p, v in (("p05", 0.05), ("p95", 0.95)) for e, f in (("low", F.floor), ("high", F.ceil))}
+    cells = cells.withColumn("count", left).filter("count > 0").select("held_out", "low", "high", *cell, "count", *(F.col(f"all_{c}") - zero(f"own_{c}") if c != "n" else left for c in ("x", "xx")), *(r.cast("long").alias(k) for k, r in ranks.items()))
+    cells = checkpointed(cells.toDF("held_out", "low", "high", *cell, "count", "x", "xx", *ranks))
+
+    others = F.col("below") - F.col("own_below")
+    before = running_before(mine, (*cell, "person"), "signal", "n", "own_below").join(every.select(*cell, "signal", "below"), [*cell, "signal"])
+    asked = cells.select(*cell, "held_out", F.explode(F.array_distinct(F.array(*ranks))).alias("k"))
+    # a person's own values, with how many others lie below each, meet the ranks that are asked of the person's cell
+    steps = before.select(*cell, F.col("person").alias("held_out"), others.alias("others"), "n")
+    counted = asked.join(steps, [*cell, "held_out"], "left").groupBy(*cell, "held_out", "k").agg(zero(F.sum(F.when(F.col("others") <= F.col("k"), F.col("n")))).alias("j"))
+    # values hold runs of places; runs and places meet in stretches of places
+    stretch = lambda c: F.floor(c / STRETCH)
+    runs = every.select(*cell, "signal", "below", "n", F.explode(F.sequence(stretch(F.col("below")), stretch(F.col("below") + F.col("n") - 1))).alias("stretch"))
+    places = counted.select(*cell, (F.col("k") + F.col("j")).alias("place")).distinct().withColumn("stretch", stretch(F.col("place")))
+    found = places.join(runs, [*cell, "stretch"]).filter(F.col("place").between(F.col("below"), F.col("below") + F.col("n") - 1)).select(*cell, "place", F.col("signal").alias("value"))
+    values = counted.withColumn("place", F.col("k") + F.col("j")).join(found, [*cell, "place"]).groupBy(*cell, "held_out").agg(F.map_from_entries(F.collect_list(F.struct("k", "value"))).alias("v"))
+    v = lambda k: F.element_at("v", F.col(k))
+    between = lambda p, share: F.when(F.col(f"{p}_low") == F.col(f"{p}_high"), v(f"{p}_low")).otherwise(v(f"{p}_low") + (v(f"{p}_high") - v(f"{p}_low")) * (at(share) - F.col(f"{p}_low")))
+    flat = v("first") == v("last")
+    mean = F.col("x") / F.col("count")
+    spread = F.sqrt(F.greatest(F.lit(0.0), (F.col("xx") - F.col("x") * mean) / (F.col("count") - 1)))
+    return cells.join(values, [*cell, "held_out"]).select(
+        "held_out",
+        "low",
+        "high",
+        "bin",
+        F.when(flat, v("first")).otherwise(F.lit(centre) + mean).alias("mean"),
+        F.when(F.col("count") > 1, F.when(flat, F.lit(0.0)).otherwise(spread)).alias("std"),
+        between("p05", 0.05).alias("p05"),
+        between("p95", 0.95).alias("p95"),
+        "count",
     )
 
 
@@ -68,33 +115,34 @@ def fit_pooled(reps: DataFrame, bins: int = BINS, min_excursion: float = MIN_EXC
     """One band over all persons. Fewer than two usable rows give no band."""
     rows = usable_reps(reps, min_excursion)
     low, high, n = rows.agg(F.min("excursion"), F.max("excursion"), F.count("*")).first()
-    if n < 2:
-        return _binned(rows.limit(0).withColumns({"held_out": F.lit(POOLED), "low": F.lit(0.0), "high": F.lit(0.0)}), bins)
-    return _binned(rows.withColumns({"held_out": F.lit(POOLED), "low": F.lit(low), "high": F.lit(high)}), bins)
+    everyone = rows.select(F.lit(None).cast("string").alias("person"), "excursion", "signal")
+    ranges = rows.sparkSession.createDataFrame([(0, low, high)] if n >= 2 else [], "range int, low double, high double")
+    return _bands(_tallied(everyone, ranges, bins), ranges.select("range", F.lit(POOLED).alias("held_out"), "low", "high"))
 
 
-def fit_loso(reps: DataFrame, bins: int = BINS, min_excursion: float = MIN_EXCURSION, max_persons: int = MAX_PERSONS) -> DataFrame:
-    """A band per person from the rows of all others.
+def fit_loso(reps: DataFrame, bins: int = BINS, min_excursion: float = MIN_EXCURSION) -> DataFrame:
+    """A band per person from the rows of all others, for any number of persons.
 
-    The range of a fold follows from the ranges of its persons, a row each. A
-    row then fans out to the folds it trains, on the map side and without a
-    join. A person without whom fewer than two rows are left has no band.
+    There are three ranges at most: that of all rows, and those without the
+    person who holds the smallest or the largest excursion. Rows are counted
+    once in the bins of each. A person without whom fewer than two rows are left
+    has no band. Rows without a person belong to none.
     """
-    rows = usable_reps(reps, min_excursion)
-    per = rows.groupBy("person").agg(F.min("excursion").alias("low"), F.max("excursion").alias("high"), F.count("*").alias("n")).filter(F.col("person").isNotNull())
-    known = per.orderBy("person").limit(max_persons + 1).collect()
-    if len(known) > max_persons:
-        raise ValueError(f"more than {max_persons} persons")
-    folds = []
-    for out in known:
-        rest = [r for r in known if r.person != out.person]
-        if sum(r.n for r in rest) >= 2:
-            folds.append((out.person, min(r.low for r in rest), max(r.high for r in rest)))
-    literal = F.array(*(F.struct(F.lit(p).alias("held_out"), F.lit(lo).alias("low"), F.lit(hi).alias("high")) for p, lo, hi in folds))
-    if not folds:
-        return _binned(rows.limit(0).withColumns({"held_out": F.col("person"), "low": F.lit(0.0), "high": F.lit(0.0)}), bins)
-    trained = rows.select("person", "excursion", "signal", F.explode(F.filter(literal, lambda f: f["held_out"] != F.col("person"))).alias("fold"))
-    return _binned(trained.select("excursion", "signal", "fold.*"), bins)
+    rows = usable_reps(reps, min_excursion).filter(F.col("person").isNotNull())
+    per = checkpointed(rows.groupBy("person").agg(F.min("excursion").alias("low"), F.max("excursion").alias("high"), F.count("*").alias("n")))
+    lows, highs = (per.orderBy(o, "person").limit(2).collect() for o in (F.col("low"), F.col("high").desc()))
+    total = per.agg(F.sum("n")).first()[0]
+    spans = {None: (lows[0].low, highs[0].high)} if lows else {}
+    if len(lows) == 2:
+        for person in dict.fromkeys((lows[0].person, highs[0].person)):
+            spans[person] = (lows[person == lows[0].person].low, highs[person == highs[0].person].high)
+    kind = per.schema["person"].dataType
+    schema = f"range int, special {kind.simpleString()}, low double, high double"
+    ranges = rows.sparkSession.createDataFrame([(k, p, *span) for k, (p, span) in enumerate(spans.items())], schema)
+    special = [p for p in spans if p is not None]
+    fold = F.coalesce(*(F.when(F.col("person") == F.lit(p), F.lit(k)) for k, p in enumerate(spans) if p is not None), F.lit(0)) if special else F.lit(0)
+    folds = per.filter(F.lit(total) - F.col("n") >= 2).select(F.col("person").alias("held_out"), fold.alias("range")).join(F.broadcast(ranges), "range")
+    return _bands(_tallied(rows, ranges.drop("special"), bins), folds.select("range", "held_out", "low", "high"))
 
 
 def supported(band: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
@@ -108,8 +156,6 @@ def with_upper(band: DataFrame, sigma: float = SIGMA) -> DataFrame:
 
 def display_band(band: DataFrame, bins: int = BINS) -> DataFrame:
     """All bins of every band; *_display fills empty ones linearly between known neighbours and flatly beyond them."""
-    from pyspark.sql import Window
-
     folds = band.select("held_out", "low", "high").distinct()
     every = folds.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     full = every.join(band.drop("low", "high"), ["held_out", "bin"], "left")

@@ -7,7 +7,7 @@ side if it is small.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -74,10 +74,16 @@ def rep_tensors(features_by_frame: DataFrame, reps: DataFrame, length: int = 32)
     """
     inside = reps.select(KEY, "rep", "start", "end").join(features_by_frame, KEY).filter(F.col(FRAME).between(F.col("start"), F.col("end")))
     arrays = inside.groupBy(KEY, "rep").agg(F.transform(F.sort_array(F.collect_list(F.struct(FRAME, "features"))), lambda s: s["features"]).alias("x")).filter(F.size("x") >= 2)
-    points = arrays.select(KEY, "rep", "x", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("k")).withColumn("p", F.col("k") * ((F.size("x") - 1) / F.lit(float(length - 1))))
-    low = F.least(F.floor("p").cast("int"), F.size("x") - 2)
-    mixed = F.zip_with(F.get("x", low), F.get("x", low + 1), lambda a, b: a + (b - a) * (F.col("p") - low))
-    return points.select(KEY, "rep", "k", mixed.alias("features"))
+    last = F.size("x") - 1
+
+    def at(k: Column) -> Column:
+        p = k * (last / F.lit(float(length - 1)))
+        low = F.least(F.floor(p).cast("int"), last - 1)
+        return F.zip_with(F.get("x", low), F.get("x", low + 1), lambda a, b: a + (b - a) * (p - low))
+
+    # only the samples leave the row, not the frames with each of them
+    samples = arrays.select(KEY, "rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(length - 1)), at)).alias("k", "features"))
+    return samples.select(KEY, "rep", "k", "features")
 
 
 def rep_values(reps: DataFrame, signals: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -165,40 +171,29 @@ def floor_percentile(points: DataFrame, p: float = 0.95, within: float = 3.0, le
     return out.select(KEY, F.when(fine, F.lit(0.0)).alias("a"), F.when(fine, F.col("b")).alias("b"), F.when(fine, F.col("inlier_ratio")).otherwise(0.0).alias("inlier_ratio"), "n_points")
 
 
-def fit_line(x: np.ndarray, y: np.ndarray, trials: int = 200, within: float = 3.0, least: int = 8, seed: int = 0) -> tuple[float, float, float]:
-    """(a, b, inlier ratio) of the line that most points agree with, fitted anew to those.
+def fit_line(x: np.ndarray, y: np.ndarray, draws: np.ndarray, within: float = 3.0, least: int = 8) -> tuple[float, float, float]:
+    """(a, b, inlier ratio): of the level line at the median and the lines through the ``draws`` (pairs of places) the one with most points near it.
 
-    The first candidate is the level line at the median. The draws depend on the
-    seed alone.
+    That line is fitted anew to its points, if they are ``least`` and not above
+    each other. ``floor_ransac`` does the same by aggregates.
     """
-    rng = np.random.default_rng(seed)
-    a, b = 0.0, float(np.median(y))
-    inside = np.abs(y - b) <= within
-    for _ in range(trials):
-        i, j = rng.integers(len(x), size=2)
-        if x[i] == x[j]:
-            continue
-        slope = (y[j] - y[i]) / (x[j] - x[i])
-        agree = np.abs(y - (slope * (x - x[i]) + y[i])) <= within
-        if agree.sum() > inside.sum():
-            a, b, inside = slope, y[i] - slope * x[i], agree
-    if inside.sum() >= least and np.ptp(x[inside]) > 0:
-        a, b = np.polyfit(x[inside], y[inside], 1)
-        inside = np.abs(y - (a * x + b)) <= within
-    return float(a), float(b), float(inside.mean())
+    first, second = draws[x[draws[:, 0]] != x[draws[:, 1]]].T
+    slopes = np.r_[0.0, (y[second] - y[first]) / (x[second] - x[first])]
+    heights = np.r_[np.median(y), y[first] - slopes[1:] * x[first]]
+    near = np.abs(y - np.outer(slopes, x) - heights[:, None]) <= within
+    best = near.sum(axis=1).argmax()
+    line, chosen = (slopes[best], heights[best]), near[best]
+    if chosen.sum() >= least and np.unique(x[chosen]).size > 1:
+        line = np.polyfit(x[chosen], y[chosen], 1)
+        chosen = np.abs(y - np.polyval(line, x)) <= within
+    return float(line[0]), float(line[1]), float(np.mean(chosen))
 
 
 def drawn(sizes: DataFrame, trials: int = 200, seed: int = 0) -> DataFrame:
-    """(entity, trial, i, j): the draws of ``fit_line`` for clips of ``n_points`` points."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, n in zip(batch[KEY], batch["n_points"], strict=True):
-                rng = np.random.default_rng(seed)
-                pairs = np.array([rng.integers(int(n), size=2) for _ in range(trials)]).reshape(-1, 2)
-                yield pd.DataFrame({KEY: pd.Series([key] * trials, dtype=object), "trial": np.arange(trials), "i": pairs[:, 0], "j": pairs[:, 1]})
-
-    return sizes.select(KEY, "n_points").mapInPandas(run, f"{KEY} {sizes.schema[KEY].dataType.simpleString()}, trial long, i long, j long")
+    """(entity, trial, i, j): two places for each trial, from a hash of seed, trial and end, in clips of ``n_points`` points."""
+    place = lambda end: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "trial", F.lit(end))), 1, 12), 16, 10).cast("long") % F.col("n_points")
+    trial = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trials - 1).cast("long"))).alias("trial")
+    return sizes.select(KEY, "n_points", trial).select(KEY, "trial", place("i").alias("i"), place("j").alias("j"))
 
 
 def floor_ransac(points: DataFrame, trials: int = 200, within: float = 3.0, least: int = 8, seed: int = 0) -> DataFrame:
@@ -255,23 +250,28 @@ def floor_ransac(points: DataFrame, trials: int = 200, within: float = 3.0, leas
 
 
 def sparc(speed: np.ndarray, fs: float, padding: int = 4, cutoff: float = 10.0, amplitude: float = 0.05) -> float | None:
-    """Spectral arc length of a speed profile: less negative is smoother. NULL below four samples and for no movement."""
-    v = np.asarray(speed, float)
-    v = v[np.isfinite(v)]
-    if len(v) < 4:
+    """Spectral arc length of a speed profile: less negative is smoother. NULL below four samples and for no movement.
+
+    The published measure: the magnitudes of the padded spectrum over their
+    largest, up to ``cutoff`` and between the outermost ones of at least
+    ``amplitude``, as a curve over that band stretched to 1; its length, negated.
+    """
+    known = np.asarray(speed, float)
+    known = known[np.isfinite(known)]
+    if known.size < 4:
         return None
-    n = 2 ** (int(np.ceil(np.log2(len(v)))) + padding)
-    spectrum = np.abs(np.fft.fft(v, n))
-    if not spectrum.max() > 0:
+    size = 1 << ((known.size - 1).bit_length() + padding)
+    half = np.abs(np.fft.rfft(known, size))
+    peak = half.max()
+    if peak == 0:
         return None
-    frequency = np.arange(n) * fs / n
-    keep = frequency <= cutoff
-    frequency, height = frequency[keep], spectrum[keep] / spectrum.max()
-    above = np.flatnonzero(height >= amplitude)
-    if len(above) < 2:
+    # the other half mirrors this one; it is reached only if the cutoff exceeds half the rate
+    curve = np.r_[half, half[-2:0:-1]][: int(cutoff * size / fs * (1 + 1e-12)) + 1] / peak
+    loud = np.flatnonzero(curve >= amplitude)
+    steps = int(np.ptp(loud)) if loud.size else 0
+    if steps == 0:
         return None
-    frequency, height = frequency[above[0] : above[-1] + 1], height[above[0] : above[-1] + 1]
-    return float(-np.sqrt((np.diff(frequency) / (frequency[-1] - frequency[0])) ** 2 + np.diff(height) ** 2).sum())
+    return -float(np.hypot(1 / steps, np.diff(curve[loud[0] : loud[-1] + 1])).sum())
 
 
 def smoothness(rows: DataFrame, fs: float, *by: str, value: str = "speed") -> DataFrame:

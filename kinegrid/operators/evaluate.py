@@ -104,12 +104,14 @@ def family_table(scores: DataFrame, models: tuple[str, ...], dataset: str = "dat
     return wide.join(sizes, "family")
 
 
-def loso_folds(rows: DataFrame, group: str, max_groups: int = 2_000) -> DataFrame:
-    """Each row once per held-out group, with split test for its own group and train for the others."""
-    groups = [r[0] for r in rows.select(group).filter(F.col(group).isNotNull()).distinct().orderBy(group).limit(max_groups + 1).collect()]
-    if len(groups) > max_groups:
-        raise ValueError(f"more than {max_groups} groups")
-    held = F.explode(F.array(*map(F.lit, groups))).alias("held_out")
+def loso_folds(rows: DataFrame, group: str) -> DataFrame:
+    """Each row once per held-out group, with split test for its own group and train for the others.
+
+    That many rows are the result asked for; who trains fold by fold filters on
+    ``group <> held_out`` instead. The groups are a scalar subquery.
+    """
+    groups = rows.filter(F.col(group).isNotNull()).agg(F.sort_array(F.collect_set(group)))
+    held = F.explode(groups.scalar()).alias("held_out")
     return rows.select("*", held).withColumn("split", F.when(F.col(group) == F.col("held_out"), "test").otherwise("train"))
 
 

@@ -6,6 +6,8 @@ serves every operator applied to a series in turn.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -72,32 +74,36 @@ def runs(rows: DataFrame, flag: Column) -> DataFrame:
     return island.groupBy(KEY, "_k").agg(F.min(FRAME).alias("start"), (F.max(FRAME) + 1).alias("stop")).drop("_k")
 
 
-def _sampled(rows: DataFrame, n_out: Column, position: Column, value: str) -> DataFrame:
+def _sampled(rows: DataFrame, n_out: Column, position: Callable[[Column], Column], value: str) -> DataFrame:
     """Interpolate each whole series at n_out positions, a frame number for each k.
 
     A series is one array here, as it is short against the number of series;
     no join is needed to fetch the neighbours of a position.
     """
     series = rows.groupBy(KEY).agg(F.transform(F.sort_array(F.collect_list(F.struct(FRAME, F.col(value).alias("v")))), lambda s: s["v"]).alias("x"))
-    at = series.withColumn("n", F.size("x")).withColumn("n_out", n_out.cast("int"))
-    points = at.select(KEY, "x", "n", "n_out", F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)).alias("k"))
-    placed = points.withColumn("p", F.least(F.greatest(position, F.lit(0.0)), (F.col("n") - 1).cast("double")))
-    low = F.floor("p").cast("int")
-    left, right = F.get("x", low), F.get("x", F.least(low + 1, F.col("n") - 1))
-    return placed.select(KEY, "k", F.when(F.col("p") == low, left).otherwise(left + (right - left) * (F.col("p") - low)).alias("value"))
+    sized = series.withColumn("n", F.size("x")).withColumn("n_out", n_out.cast("int"))
+
+    def sample(k: Column) -> Column:
+        p = F.least(F.greatest(position(k), F.lit(0.0)), (F.col("n") - 1).cast("double"))
+        low = F.floor(p).cast("int")
+        left, right = F.get("x", low), F.get("x", F.least(low + 1, F.col("n") - 1))
+        return F.when(p == low, left).otherwise(left + (right - left) * (p - low))
+
+    # only the samples leave the row, not the series with each of them
+    return sized.select(KEY, F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n_out") - 1), sample)).alias("k", "value"))
 
 
 def resample_fps(rows: DataFrame, fps_in: float, fps_out: float, value: str = VALUE) -> DataFrame:
     """Resample linearly to another rate: floor((n - 1) / fps_in * fps_out) + 1 samples at k / fps_out."""
     if fps_in == fps_out:
-        return _sampled(rows, F.col("n"), F.col("k").cast("double"), value)
+        return _sampled(rows, F.col("n"), lambda k: k.cast("double"), value)
     n_out = F.when(F.col("n") < 2, F.col("n")).otherwise(F.floor((F.col("n") - 1) / F.lit(float(fps_in)) * F.lit(float(fps_out))) + 1)
-    return _sampled(rows, n_out, F.col("k") / F.lit(float(fps_out)) * F.lit(float(fps_in)), value)
+    return _sampled(rows, n_out, lambda k: k / F.lit(float(fps_out)) * F.lit(float(fps_in)), value)
 
 
 def resample_length(rows: DataFrame, n: int, value: str = VALUE) -> DataFrame:
     """Resample linearly to ``n`` samples over the whole span; a single sample repeats."""
-    return _sampled(rows, F.lit(n), F.col("k") * ((F.col("n") - 1) / F.lit(float(max(n - 1, 1)))), value)
+    return _sampled(rows, F.lit(n), lambda k: k * ((F.col("n") - 1) / F.lit(float(max(n - 1, 1)))), value)
 
 
 def calibration_deviation(rows: DataFrame, frames: int = 30, value: str = VALUE) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "kinegrid", **conf: str) -> SparkSession:
@@ -14,10 +16,13 @@ def build_session(app: str = "kinegrid", **conf: str) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one only on a single machine where that is unset."""
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(root or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir().get()
 
 
@@ -35,3 +40,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
         return df.select("*").checkpoint(eager=True)
     finally:
         spark.conf.set(name, before)
+
+
+def running_before(rows: DataFrame, groups: tuple[str, ...], order: str, amount: str, out: str) -> DataFrame:
+    """Adds ``out``: the sum of ``amount`` over the rows of the group that come before in ``order`` (unlike in each group).
+
+    Rows are dealt out in order of group and ``order``. Sums within a part and
+    of whole parts before it add up, so that no task holds a large group.
+    """
+    dealt = checkpointed(rows.repartitionByRange(*groups, order).withColumn("_part", F.spark_partition_id()))
+    earlier = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy(*groups, "_part").agg(F.sum(amount).alias("_sum")).withColumn("_offset", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
+    within = Window.partitionBy(*groups, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("_within", F.coalesce(F.sum(amount).over(within), F.lit(0)))
+    return placed.join(parts, [*groups, "_part"]).withColumn(out, F.col("_offset") + F.col("_within")).drop("_part", "_offset", "_within")

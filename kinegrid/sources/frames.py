@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import html
+import sys
+from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,10 +37,10 @@ def extracted(spark: SparkSession, path: str, make=None) -> DataFrame:
 
 
 def between(frames: DataFrame, fps: Column, start_s: float | None = None, end_s: float | None = None) -> DataFrame:
-    """The frames within [start_s, end_s); a range on a column, which reaches the scan."""
-    at = F.col("frame") / fps
-    out = frames if start_s is None else frames.filter(at >= start_s)
-    return out if end_s is None else out.filter(at < end_s)
+    """The frames within [start_s, end_s); with a literal ``fps`` the bounds are constants that reach the scan."""
+    frame = F.col("frame")
+    out = frames if start_s is None else frames.filter(frame >= F.lit(start_s) * fps)
+    return out if end_s is None else out.filter(frame < F.lit(end_s) * fps)
 
 
 def probe(clips: DataFrame, to: int = 16) -> DataFrame:
@@ -90,9 +93,21 @@ def union_report(parts: list[DataFrame], first: tuple[str, ...]) -> DataFrame:
     return out.select(*first, *sorted(set(out.columns) - set(first)))
 
 
-def html_report(rows: DataFrame, columns: list[str], limit: int = 10_000) -> str:
-    """A page of at most ``limit`` rows, rejected ones first, then by clip."""
-    listed = rows.orderBy(F.col("status") != "reject", "clip_id").limit(limit).select(*columns).collect()
+def html_pages(rows: DataFrame, columns: list[str], page: int = 10_000) -> Iterator[str]:
+    """Pages of ``page`` rows each, until all have been shown: rejected ones first, then by clip.
+
+    Rows come to the driver one partition after the other.
+    """
     cells = lambda tag, values: "".join(f"<{tag}>{html.escape('' if v is None else str(v))}</{tag}>" for v in values)
-    body = "".join(f"<tr>{cells('td', r)}</tr>" for r in listed)
-    return f"<!doctype html><meta charset='utf-8'><table><tr>{cells('th', columns)}</tr>{body}</table>"
+    ordered = rows.orderBy(F.col("status") != "reject", "clip_id").select(*columns).toLocalIterator()
+    listed = list(islice(ordered, page))
+    while True:
+        body = "".join(f"<tr>{cells('td', r)}</tr>" for r in listed)
+        yield f"<!doctype html><meta charset='utf-8'><table><tr>{cells('th', columns)}</tr>{body}</table>"
+        if not (listed := list(islice(ordered, page))):
+            return
+
+
+def html_report(rows: DataFrame, columns: list[str]) -> str:
+    """All rows on one page; see ``html_pages`` for long tables."""
+    return next(html_pages(rows, columns, sys.maxsize))

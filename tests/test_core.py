@@ -344,12 +344,50 @@ def test_silhouette_window_and_slope(spark):
     assert none is None
 
 
+def test_bands_without_one_person_equal_brute_force(spark, monkeypatch):
+    """Ties, persons with one row, one with most rows, one with both extremes; more persons than any list would take."""
+    monkeypatch.setattr(bands, "STRETCH", 4)
+    rng = np.random.default_rng(4)
+    rows = [(f"p{k % 40 if k % 3 else 7}", float(np.round(rng.uniform(1, 9), 1)), float(np.round(rng.normal(5, 2), 1))) for k in range(500)]
+    rows += [("lone", 4.0, 1e3), ("wide", 0.5, 3.0), ("wide", 30.0, 3.5), (None, 5.0, 5.0), ("nan", float("nan"), 1.0)]
+    reps = spark.createDataFrame(rows, "person string, excursion double, signal double").repartition(3)
+    usable = [r for r in rows if r[0] is not None and r[1] == r[1]]
+    for bins in (3, 20):
+        want = {}
+        for person in {r[0] for r in usable}:
+            e, s = np.array([r[1:] for r in usable if r[0] != person]).T
+            edges = np.linspace(e.min(), e.max(), bins + 1)
+            place = np.clip(np.searchsorted(edges, e, "right") - 1, 0, bins - 1)
+            for b in np.unique(place):
+                v = s[place == b]
+                want[person, int(b)] = (e.min(), e.max(), v.mean(), v.std(ddof=1) if len(v) > 1 else -1, *np.percentile(v, [5, 95]), len(v))
+        got = {(r.held_out, r.bin): (r.low, r.high, r.mean, -1 if r.std is None else r.std, r.p05, r.p95, r["count"]) for r in bands.fit_loso(reps, bins).collect()}
+        assert got.keys() == want.keys()
+        for k, w in want.items():
+            assert got[k] == pytest.approx(w, abs=1e-9), k
+    e, s = np.array([r[1:] for r in rows if r[1] == r[1]]).T
+    pooled = {r.bin: (r.mean, r.p05, r["count"]) for r in bands.fit_pooled(reps, 1).collect()}
+    assert pooled[0] == pytest.approx((s.mean(), np.percentile(s, 5), len(s)))
+
+
+def test_loso_folds_of_many_groups(spark):
+    rows = spark.range(3000).select(F.col("id"), F.col("id").alias("g"))
+    assert evaluate.loso_folds(rows, "g").filter("split = 'test'").count() == 3000
+
+
+def fitted(spark, x, y):
+    """``clips.fit_line`` of points in the order that ``clips.floor_ransac`` ranks them in."""
+    order = np.lexsort((y, x))
+    draws = clips.drawn(spark.createDataFrame([("c", len(x))], "entity string, n_points long")).orderBy("trial").select("i", "j").collect()
+    return clips.fit_line(x[order], y[order], np.array(draws))
+
+
 def test_floor_fits(spark):
     rng = np.random.default_rng(3)
-    x = rng.uniform(0, 600, 400)
+    x = np.sort(rng.uniform(0, 600, 400))
     y = 0.15 * x + 120 + rng.normal(0, 0.5, 400)
-    y[:48] -= rng.uniform(20, 80, 48)
-    a, b, inside = clips.fit_line(x, y)
+    y[rng.choice(400, 48, replace=False)] -= rng.uniform(20, 80, 48)
+    a, b, inside = fitted(spark, x, y)
     assert abs(a - 0.15) < 0.02 and abs(b - 120) < 3 and 0.8 < inside < 1
     points = spark.createDataFrame([("c", float(u), float(v)) for u, v in zip(x, y, strict=True)] + [("d", 1.0, 2.0)], "entity string, x double, y double")
     got = {r.entity: r for r in clips.floor_ransac(points).collect()}
@@ -376,7 +414,7 @@ def test_floor_takes_all_frames_unless_static_ones_are_known(spark):
         b = np.percentile(y, 95)
         assert (level[clip].n_points, tilted[clip].n_points) == (len(y), len(y))
         assert (level[clip].b, level[clip].inlier_ratio) == pytest.approx((b, np.mean(np.abs(y - b) <= 3)))
-        assert (tilted[clip].a, tilted[clip].b, tilted[clip].inlier_ratio) == pytest.approx(clips.fit_line(x, y))
+        assert (tilted[clip].a, tilted[clip].b, tilted[clip].inlier_ratio) == pytest.approx(fitted(spark, x, y))
     assert (level[None].b, level[None].n_points, tilted[None].a, tilted[None].inlier_ratio) == (None, 3, None, 0)
     still = masks.withColumn("still", F.when(F.col("entity") == "d", F.col("frame") % 2 == 1).otherwise(False))
     some = clips.floor_points(still, "still").groupBy("entity").count().collect()
@@ -423,6 +461,13 @@ def test_smoothness(spark):
     assert clips.sparc([1.0, 2.0], 60) is None and clips.sparc(np.zeros(20), 60) is None and clips.sparc(np.full(20, np.nan), 60) is None
     made = spark.range(1).select(clips.minimum_jerk(60)).first()[0]
     assert np.allclose(made, smooth)
+    for rate in (60, 12):  # at 12 the cutoff lies beyond half the rate
+        size = 4096 if len(noisy) > 64 else 1024
+        grid = np.arange(size) * rate / size
+        level = np.abs(np.fft.fft(noisy, size))[grid <= 10] / np.abs(np.fft.fft(noisy, size)).max()
+        first, last = np.flatnonzero(level >= 0.05)[[0, -1]]
+        arc = sum(math.dist((0, level[k]), (1 / (last - first), level[k + 1])) for k in range(first, last))
+        assert clips.sparc(noisy, rate) == pytest.approx(-arc)
 
 
 def test_rep_values_and_tensors(spark):
