@@ -23,9 +23,9 @@ from .common import cut, hash_sample, table
 #: Tables, and hashes that make up a vector's code in a table.
 TABLES, CHAINED = 8, 2
 #: Vectors of a table that one task compares at a time, on average.
-BLOCK = 2048
-#: Queries that meet a block at a time.
-QUERIES = 256
+BLOCK = 16_384
+#: Pairs of a query and a vector whose distances are taken at a time.
+PAIRS = 65_536
 #: Queries whose true neighbours the number of probes is fitted to, at most, and the share of these to be found.
 SAMPLE, TARGET = 128, 0.95
 SEED = 17
@@ -172,12 +172,12 @@ def _placed(b: pa.RecordBatch, row: np.ndarray, table: np.ndarray, pack: np.ndar
     return pa.RecordBatch.from_arrays([pa.array(table, pa.int32()), pa.array(pack, pa.int32()), lists, b.column(0).take(taken), b.column(1).take(taken)], ["t", "pack", "codes", "id", "v"])
 
 
-def nearest_in_block(x: np.ndarray, ids: np.ndarray, allowed: np.ndarray, v: np.ndarray, k: int) -> np.ndarray:
-    """The places of the ``k`` allowed rows of ``x`` nearest to ``v`` and their distances, ties to the smaller id."""
-    at = np.flatnonzero(allowed)
-    score = np.sqrt(((x[at] - v) ** 2).sum(axis=1))
-    order = np.lexsort((ids[at], score))[:k]
-    return np.stack([at[order], score[order]])
+def nearest_rows(x: np.ndarray, ids: np.ndarray, name: int, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the ``k`` rows of ``x`` nearest to ``v`` and their distances, ties to the smaller id; not those with id ``name``."""
+    score = np.sqrt(((x - v) ** 2).sum(axis=1))
+    order = np.lexsort((ids, score))
+    order = order[ids[order] != name][:k]
+    return order, score[order]
 
 
 def _compared(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -209,43 +209,43 @@ def _compared(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 elif parts or block:
                     if block is None:
                         block, parts = _block(parts), []
-                    for at in range(0, part.num_rows, QUERIES):
-                        yield _nearest(block, part.slice(at, QUERIES), k)
+                    yield from _nearest(block, part, k)
 
     rows = held.select(*columns).unionByName(asked.select(*columns)).repartition(*place, "block").sortWithinPartitions(*place, "block", "asks")
     return rows.mapInArrow(run, "query long, id long, score double")
 
 
-def _block(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+def _block(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors, ids and cells of a block, in order of cells."""
     whole = pa.Table.from_batches(parts)
-    x, ids = _matrix(whole.column("v").to_pylist()), whole.column("id").to_numpy()
-    cells, cell = np.unique(pa.compute.list_flatten(whole.column("codes")).to_numpy(), return_inverse=True)
-    return x, (x**2).sum(axis=1), ids, cells, cell
+    cell = pa.compute.list_flatten(whole.column("codes")).to_numpy()
+    order = np.argsort(cell, kind="stable")
+    return _matrix(whole.column("v").to_pylist())[order], whole.column("id").to_numpy()[order], cell[order]
 
 
-def _nearest(block: tuple[np.ndarray, ...], asked: pa.RecordBatch, k: int) -> pa.RecordBatch:
-    """Distances of all queries to a block at once; those near a query's k-th are then taken exactly."""
-    x, squares, ids, cells, cell = block
+def _nearest(block: tuple[np.ndarray, np.ndarray, np.ndarray], asked: pa.RecordBatch, k: int) -> Iterator[pa.RecordBatch]:
+    """Per query the ``k`` nearest of the vectors in its cells, ties to the smaller id; ``PAIRS`` distances at a time, or one query's."""
+    x, ids, cell = block
     v, names = _matrix(asked.column("v").to_pylist()), asked.column("id").to_numpy()
     lists = asked.column("codes")
-    owner = np.repeat(np.arange(len(v)), np.diff(lists.offsets.to_numpy()))
-    wanted = lists.flatten().to_numpy()
-    place = np.minimum(np.searchsorted(cells, wanted), len(cells) - 1)
-    open_ = np.zeros((len(v), len(cells)), bool)
-    hit = cells[place] == wanted
-    open_[owner[hit], place[hit]] = True
-    allowed = open_[:, cell]
-    with np.errstate(over="ignore", invalid="ignore"):
-        own = (v**2).sum(axis=1)
-        about = squares + own[:, None] - 2 * (v @ x.T)
-    if np.isfinite(about).all():
-        about[~allowed] = np.inf
-        if len(x) > k:
-            last = np.partition(about, k - 1, axis=1)[:, k - 1 : k]
-            allowed &= about <= last + 1e-9 * (squares.max() + own[:, None])
-    out = [(np.full(len(found[0]), names[n]), ids[found[0].astype(np.int64)], found[1]) for n in range(len(v)) if allowed[n].any() for found in [nearest_in_block(x, ids, allowed[n], v[n], k)]]
-    columns = [np.concatenate(c) for c in zip(*out, strict=True)] or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-    return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["query", "id", "score"])
+    wanted, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(v)), pa.compute.list_value_length(lists).to_numpy())
+    low = np.searchsorted(cell, wanted, "left")
+    held = np.searchsorted(cell, wanted, "right") - low
+    each = np.bincount(owner, held, len(v)).astype(np.int64)
+    first = np.searchsorted(owner, np.arange(len(v) + 1))
+    begin = 0
+    while begin < len(v):
+        end = max(begin + 1, np.searchsorted(np.cumsum(each[begin:]), PAIRS, "right") + begin)
+        part = slice(first[begin], first[end])
+        n = held[part]
+        at = np.arange(n.sum()) + np.repeat(low[part] - np.cumsum(n) + n, n)
+        query = np.repeat(owner[part], n)
+        score = np.sqrt(((x[at] - v[query]) ** 2).sum(axis=1))
+        order = np.lexsort((ids[at], score, query))
+        place = np.arange(len(order)) - np.repeat(np.cumsum(each[begin:end]) - each[begin:end], each[begin:end])
+        best = order[place < k]
+        yield pa.RecordBatch.from_arrays([pa.array(names[query[best]]), pa.array(ids[at[best]]), pa.array(score[best])], ["query", "id", "score"])
+        begin = end
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
@@ -269,8 +269,8 @@ def fit_probes(index: DataFrame, queries: DataFrame, k: int, tables: int = TABLE
         for b in batches:
             if b.num_rows:
                 x, ids = _matrix(b.column(1).to_pylist()), b.column(0).to_numpy()
-                found = [(n, *nearest_in_block(x, ids, ids != name, v, k)) for n, (name, v) in enumerate(zip(names, asked, strict=True))]
-                at = pa.array(np.concatenate([f[1] for f in found]).astype(np.int64))
+                found = [(n, *nearest_rows(x, ids, name, v, k)) for n, (name, v) in enumerate(zip(names, asked, strict=True))]
+                at = pa.array(np.concatenate([f[1] for f in found]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found])), b.column(0).take(at), pa.array(np.concatenate([f[2] for f in found])), b.column(1).take(at)], ["query", "id", "score", "v"])
 
     near = index.select("id", "v").mapInArrow(run, f"query long, id long, score double, v {index.schema['v'].dataType.simpleString()}")

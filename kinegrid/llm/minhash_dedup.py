@@ -31,7 +31,9 @@ SEED = 29
 #: Shingles that meet all components at once in memory.
 BLOCK = 4096
 #: Bytes of the full sets of a block of documents, two of which meet in a task.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
+#: Links that a task holds before it joins their components.
+PENDING = 50_000
 #: Ids or links that a task takes where they are few beside the documents.
 ROWS = 50_000
 
@@ -338,16 +340,25 @@ def _bridges(sets: list[bytes], component: np.ndarray, upper: np.ndarray, one_bl
     held = np.frombuffer(b"".join(sets[k] for k in ones), np.uint64)
     order = np.argsort(held, kind="stable")
     holder, held = np.repeat(np.arange(len(ones)), sizes[ones])[order], held[order]
-    linked = []
+    names, local = np.unique(component, return_inverse=True)
+    label = np.arange(len(names))
+    found: list[np.ndarray] = []
+    waiting = 0
     for at in twos:
         s = np.frombuffer(sets[at], np.uint64)
         low, times = np.searchsorted(held, s, "left"), np.searchsorted(held, s, "right")
         times -= low
         places = np.arange(times.sum()) + np.repeat(low - np.cumsum(times) + times, times)
         shared = np.bincount(holder[places], minlength=len(ones))
-        hit = np.flatnonzero((100 * shared >= percent * (sizes[ones] + sizes[at] - shared)) & (component[ones] != component[at]))
-        linked.append(np.stack([component[ones[hit]], np.full(len(hit), component[at])]))
-    return forest(*np.unique(np.concatenate(linked, axis=1), axis=1))
+        hit = local[ones[100 * shared >= percent * (sizes[ones] + sizes[at] - shared)]]
+        hit = np.unique(hit[label[hit] != label[local[at]]])
+        found.append(np.stack([hit, np.full(len(hit), local[at])]))
+        waiting += len(hit)
+        if waiting > PENDING or at == twos[-1]:
+            u, v = np.concatenate([np.stack([np.arange(len(names)), label]), *found], axis=1)
+            label, found, waiting = smallest_reached(u, v, len(names)), [], 0
+    moved = label != np.arange(len(names))
+    return names[moved], names[label[moved]]
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -382,6 +393,11 @@ def _classes(signed: DataFrame) -> DataFrame:
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``near_duplicates`` of all documents by sets of 4-word shingles at 80 %; a row for each, in no order.
+
+    Null and empty texts have no shingles and link with nothing. Of rows that
+    repeat a doc_id each counts as a document; a null doc_id is linked with none.
+    """
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=80)
 
 

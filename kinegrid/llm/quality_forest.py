@@ -166,6 +166,11 @@ def judge_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", fit_r
 
 
 def op10_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics and verdict of every document; a row for each, in no order.
+
+    A null text has no words and fails the base rules. Rows that repeat a doc_id
+    or a text are judged each.
+    """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     judged = judge_quality(docs.select("doc_id", "text"), labels.select("doc_id", "quality"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")

@@ -194,6 +194,7 @@ def decode_pieces(encoded: DataFrame, model_path: str = MODEL, ids: str = "piece
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every whole text, and whether they decode to it; a row for each, in no order. A null text has no pieces."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = encode_texts(docs)
     return encoded.select("doc_id", "n_pieces", "piece_ids", "round_trip")

@@ -63,8 +63,10 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_rate: int =
     The targets have a row per source. They are written once, and Spark picks a
     broadcast only if they are small; else it joins by shuffle and splits hot
     sources. A null text has size 0; sources without words get a target of 0.
-    Rows that share an id share its draw.
+    Rows that share an id share its draw. Columns of ``docs`` named like an
+    added one are replaced.
     """
+    docs = docs.drop("_size", "_source_size", "_target", "_copies", "_source", "_rate")
     sizes = docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
     targets = cut(source_targets(sizes, weights, max_rate))
     named = targets.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("rate").alias("_rate"))
@@ -78,11 +80,20 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_rate: int =
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: each document as often as ``mix_plan`` says, with the columns of ``docs``."""
-    plan = mix_plan(docs, **options)
-    return plan.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    text, key, source = (options.get(k, d) for k, d in (("text", "text"), ("key", "doc_id"), ("source", "source")))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text), F.lit(0).alias("_")).alias("row")
+    used = {name: F.col(f"`{c}`").alias(name) for name, c in (("text", text), ("key", key), ("source", source))}
+    plan = mix_plan(docs.select(row, *used.values()), **(options | {"text": "text", "key": "key", "source": "source"}))
+    copies = plan.select("row", "text", F.explode(F.array_repeat(F.lit(1), F.col("_copies"))))
+    return copies.select(*(F.col("text").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document; a row for each, in no order.
+
+    A null text has size 0, a null source is a source of its own. Rows that
+    share a doc_id, or have none, share its draw.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     plan = mix_plan(docs)
     return plan.select(

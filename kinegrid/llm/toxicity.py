@@ -82,7 +82,7 @@ def text_features(text: str | None, automaton: ahocorasick.Automaton) -> tuple[f
                 starts.add(start)
                 weight += w
     near = 0
-    yous = sum(map(words.count, SECOND_PERSON)) if len(words) < 50 else sum(map(joined.count, _YOU_KEYS))
+    yous = sum(map(_YOU.__contains__, words))
     if starts and yous:
         places = np.flatnonzero(np.fromiter((w in _YOU for w in words), bool, len(words)))
         ordinals = np.searchsorted(np.flatnonzero(np.frombuffer(joined.encode("utf-32-le"), np.uint32) == 32), sorted(starts))
@@ -101,7 +101,6 @@ def text_features(text: str | None, automaton: ahocorasick.Automaton) -> tuple[f
 
 
 _YOU = frozenset(SECOND_PERSON)
-_YOU_KEYS = tuple(f" {w} " for w in SECOND_PERSON)
 
 
 def with_features(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
@@ -116,8 +115,11 @@ def with_features(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> Data
             rows = np.array([text_features(t, automaton) for t in b.column(text).to_pylist()], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*map(b.column, rest), *(pa.array(rows[:, k]) for k in range(len(FEATURES)))], [*rest, *FEATURES])
 
-    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest] + [f"{f} double" for f in FEATURES]
-    return docs.mapInArrow(run, ", ".join(kinds))
+    carried = docs.select(text, *(F.col(f"`{c}`") for c in rest))
+    schema = carried.select(*(F.col(f"`{c}`") for c in rest)).schema
+    for f in FEATURES:
+        schema = schema.add(f, "double")
+    return carried.mapInArrow(run, schema)
 
 
 def learn_lexicon(sample: DataFrame) -> Lexicon:
@@ -137,7 +139,8 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     toxic, clean = sample.agg(F.sum(F.col("toxic")), F.sum(1 - F.col("toxic"))).first()
     least = max(MIN_DOCS, (toxic or 0) // 100)
     bad = placed.filter("toxic = 1").select(each, around.alias("around")).distinct().groupBy("entry").agg(F.count("*").alias("bad")).filter(F.col("bad") >= least)
-    good = placed.filter("toxic = 0").select(each).join(bad, "entry", "left_semi").groupBy("entry").agg(F.count("*").alias("good"))
+    # counted before they are joined: very common words are a row of each task by then
+    good = placed.filter("toxic = 0").select(each).groupBy("entry").agg(F.count("*").alias("good"))
     counted = bad.join(good, "entry", "left")
     lift = (F.col("bad") / F.lit(max(toxic or 0, 1))) / ((F.coalesce("good", F.lit(0)) + 0.5) / F.lit(max(clean or 0, 1)))
     ranked = counted.withColumn("weight", F.log(lift)).filter(F.col("weight") >= math.log(MIN_LIFT))
@@ -154,9 +157,12 @@ class ToxicityModel:
     prior: float
 
     def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """``docs`` with ``text`` replaced by ``score``."""
-        rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
-        rows = with_features(docs, self.lexicon, text)
+        """``docs`` with ``text`` replaced by ``score``, which also replaces a column of that name."""
+        columns = [c for c in docs.columns if c not in (text, "score")]
+        # the other columns travel as one, so that none can clash with a feature
+        row = F.struct(*(F.col(f"`{c}`") for c in columns), F.lit(0).alias("_")).alias("_row")
+        rest = [F.col(f"_row.`{c}`") for c in columns]
+        rows = with_features(docs.select(F.col(f"`{text}`").alias("_text"), row), self.lexicon, "_text")
         if self.trees is None:
             return rows.select(*rest, F.lit(self.prior).alias("score"))
         raw = _raw(self.trees, rows)
@@ -206,6 +212,11 @@ def held_out(key: Column) -> Column:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document; a row for each, in no order.
+
+    A null text counts as empty; all its rates are 0. A null doc_id is not held
+    out. Rows that repeat a text have the same score.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out(F.col("doc_id")))
     model = fit_toxicity(docs, labels)

@@ -129,6 +129,7 @@ def _joined(parts: DataFrame, tokens: Column, target: Column, rules: list[UrlRul
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url by ``RULES``; a row for each, in no order. See ``judge_urls`` for odd urls."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
 

@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 import sentencepiece
 
@@ -120,6 +121,73 @@ def test_toxicity_finds_held_out_documents(spark):
     assert len(tested) > 200 and right / len(tested) > 0.97
 
 
+def brute_features(text: str, lexicon: tx.Lexicon) -> dict:
+    """The densities and rates by plain loops over words and characters."""
+    bare = [b for w in text.lower().split() if (b := w.strip(".,;:!?\"'()[]{}*#%&$-_"))]
+    fits = lambda w: [v for e, v in lexicon.weights.items() if (w == e[1:] if e[0] == "=" else w.startswith(e))]
+    hits = [k for k, w in enumerate(bare) if fits(w)]
+    yous = [k for k, w in enumerate(bare) if w in tx.SECOND_PERSON]
+    n, length = max(len(bare), 1), max(len(text), 1)
+    hidden = [w for w in text.split() if re.search(r"[A-Za-z][0134578@$!*]+[A-Za-z]", w)]
+    return {
+        "hit_share": len(hits) / n,
+        "top_weight": max((v for w in bare for v in fits(w)), default=0.0),
+        "seed_share": sum(w in tx.SEED_WORDS for w in bare) / n,
+        "near_you_share": sum(any(abs(k - y) <= 5 for y in yous) for k in hits) / n,
+        "you_share": len(yous) / n,
+        "capital_share": sum("A" <= c <= "Z" for c in text) / length,
+        "exclaim_share": text.count("!") / n,
+        "question_share": text.count("?") / n,
+        "disguised_share": len(hidden) / n,
+    }
+
+
+def test_text_features_equal_brute_force():
+    rng = random.Random(13)
+    lexicon = tx.Lexicon({"blar": 2.5, "=snorf": 1.5, "idio": 3.0})
+    automaton = lexicon.automaton()
+    vocabulary = ["blarg", "blar", "snorf", "snorfs", "idiot", "You", "your!", "tu", "Word", "UPPER!!", "id1ot", "m0ron?", "é", "a-b", "(stupid)", "...", "x"]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randrange(120))) for _ in range(300)] + ["", "blarg " * 40_000]
+    for text in texts:
+        got = dict(zip(tx.FEATURES, tx.text_features(text, automaton), strict=True))
+        for name, want in brute_features(text, lexicon).items():
+            assert got[name] == pytest.approx(want), (name, text[:200])
+
+
+def test_scores_with_clashing_columns_and_repeated_rows(spark):
+    rows = [(k % 50, f"w{k % 50} {'blarg' if k % 5 == 0 else 'plain'} text", k % 50, "x") for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hits long, `_raw odd` string")
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(50)], "doc_id long, toxic int")
+    model = tx.fit_toxicity(docs, labels)
+    got = model.score(docs).collect()
+    assert len(got) == 100 and all(r.hits == r.doc_id and r["_raw odd"] == "x" for r in got)
+    assert len({(r.doc_id, r.score) for r in got}) == 50
+    assert tx.drop_toxic(docs, labels).columns == docs.columns
+
+
+def test_paths_equal_a_walk_down_every_tree():
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.normal(5, 1, 300), rng.uniform(0, 0.1, 300), rng.uniform(0.4, 1, 300)])
+    forest = qf.grow_forest(x, trees=20, tree_rows=64)
+    rows = np.concatenate([x[:40], [[30.0, 0.0, 0.5], [5.0, 4.0, 0.5], [5.0, 0.0, 0.0]]])
+    for row, got in zip(rows, qf.anomaly(forest, rows), strict=True):
+        total = 0.0
+        for t in range(20):
+            node = 0
+            while forest["feature"][t, node] >= 0:
+                node = 2 * node + 1 + int(row[forest["feature"][t, node]] > forest["threshold"][t, node])
+            total += forest["path"][t, node]
+        assert got == pytest.approx(2 ** (-total / 20 / qf.mean_depth(64)))
+    assert qf.anomaly(forest, rows[40:]).min() > np.quantile(qf.anomaly(forest, x), 0.9)
+
+
+def test_mixing_keeps_columns_that_clash(spark):
+    rows = [(k, "a b c", "s", k, "r") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _copies long, _rate string")
+    out = sm.mix_sources(docs)
+    assert out.columns == docs.columns and all(r._copies == r.doc_id and r._rate == "r" for r in out.collect())
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a", "kept")], "doc_id long, text string, hits string")
     none = spark.createDataFrame([], "doc_id long, toxic int")

@@ -10,6 +10,7 @@ import tempfile
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from kinegrid.llm import ann, chat, warc
 from kinegrid.llm import url_filter as uf
@@ -76,6 +77,30 @@ def test_archives_round_trip(spark):
     assert {r.target_uri for r in got if r.page_id == 1} == {"u\n1%", "u1"}
 
 
+def test_each_reading_task_has_one_archive_and_columns_may_clash(spark):
+    pages = spark.range(400).selectExpr("id AS page_id", "'u' AS url", "concat(repeat('text ', 30), id % 390) AS html", "id AS _digest", "'x' AS digest", "id AS revisit").repartition(8)
+    placed = warc.with_revisits(pages)
+    assert placed.columns == ["page_id", "url", "html", "_digest", "digest", "revisit", "refers_to"]
+    assert placed.filter("_digest <> page_id or digest <> 'x'").count() == 0 and placed.filter("revisit").count() == 10
+    archives = warc.write_warc(placed.repartition(8), "file://" + tempfile.mkdtemp(prefix="spark-"), b"")
+    assert archives.count() == 8
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in (8, 13):
+            spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+            read = warc.read_warc(archives).select("archive", F.spark_partition_id().alias("task")).distinct().collect()
+            assert len({r.archive for r in read}) == len({r.task for r in read}) == len(read) == 8
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_very_long_page_comes_back(spark):
+    pages = spark.createDataFrame([(1, "u", "é<p>" * 1_000_000), (2, "u", "é<p>" * 1_000_000)], "page_id long, url string, html string")
+    archives = warc.write_warc(warc.with_revisits(pages), "file://" + tempfile.mkdtemp(prefix="spark-"), b"")
+    got = {r.page_id: (r.record_type, r.payload_bytes, r.error) for r in warc.read_warc(archives, payloads=False).collect()}
+    assert got == {1: ("response", 5_000_000, None), 2: ("revisit", 5_000_000, None)}
+
+
 def test_archives_without_rows_or_dictionary(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.train_dictionary(empty) == b""
