@@ -134,7 +134,7 @@ SELECT family, max(n) AS n, """
     + ", ".join(f"round_even(max(mean) FILTER (model = '{m}'), 6) AS {m}" for m in MODELS)
     + " FROM (SELECT family, model, avg(score) AS mean, count(score) AS n FROM named GROUP BY ALL) GROUP BY family",
     "folds_loso": "SELECT vec_id, l.label AS held_out, CASE WHEN e.label = l.label THEN 'test' ELSE 'train' END AS split FROM embeddings e, (SELECT DISTINCT label FROM embeddings) l",
-    "leak_check": "SELECT user_id FROM events WHERE event_id % 3 = 0 INTERSECT SELECT user_id FROM events WHERE event_id % 97 = 1",
+    "leak_check": "SELECT user_id FROM events WHERE coalesce(event_id % 3 = 0, FALSE) INTERSECT SELECT user_id FROM events WHERE NOT coalesce(event_id % 3 = 0, FALSE)",
     "fold_complement": "SELECT doc_id, lang FROM documents WHERE doc_id % 5 <> 2",
     "labels_in_order": "SELECT event_type, min(event_id) AS first_seen FROM events GROUP BY 1",
 }

@@ -158,10 +158,10 @@ _M = """masks AS (
 ends AS (
   SELECT *, round_even(20 + vec_id % 7 * 0.5::DOUBLE, 0) AS e0, round_even(20 + vec_id % 7 * 0.5::DOUBLE + 0.35::DOUBLE * 80 * CASE WHEN vec_id % 2 = 0 THEN 1 ELSE -1 END, 0) AS e1 FROM masks),
 placed AS (SELECT *, greatest(0, least(64, least(e0, e1)))::INT AS x0, greatest(0, least(64, greatest(e0, e1)))::INT AS x1 FROM ends)"""
-_FLOOR = """, points AS (SELECT entity, unnest(bottom) AS y FROM (SELECT * FROM masks QUALIFY row_number() OVER (PARTITION BY entity ORDER BY vec_id) <= 30)),
-known AS (SELECT entity, y FROM points WHERE y IS NOT NULL),
+_FLOOR = """, points AS (SELECT entity, unnest(range(64)) AS x, unnest(bottom) AS y FROM masks),
+known AS (SELECT entity, x, y FROM points WHERE y IS NOT NULL),
 cut AS (SELECT entity, quantile_cont(y, 0.8) AS c FROM known GROUP BY entity),
-high AS (SELECT k.entity, k.y FROM known k JOIN cut USING (entity) WHERE k.y >= c),
+high AS (SELECT k.entity, k.x, k.y FROM known k JOIN cut USING (entity) WHERE k.y >= c),
 level AS (SELECT entity, quantile_cont(y, 0.95) AS b FROM high GROUP BY entity)"""
 
 
@@ -196,9 +196,10 @@ FROM (SELECT vec_id, torso, sqrt((x[11] - x[16]) ** 2 + (y[11] - y[16]) ** 2) AS
   round_even(coalesce((list_sum(x) + list_sum(y) - lag(list_sum(x) + list_sum(y)) OVER (PARTITION BY entity ORDER BY frame)) * 30, 0), 4) AS velocity,
   round_even(list_sum(a), 4) AS angle, 0.0::DOUBLE AS lumbar FROM made""", _T, _N, f", made AS (SELECT entity, frame, x, y, {_BONES}, {_ANGLES} FROM turned)"),
     "pose_flip_agrees": _p("SELECT entity, frame, TRUE AS same FROM poses"),
-    "clip_triage": _p("""SELECT entity, n_frames, 1.0::DOUBLE AS detection_rate, round_even(cv, 6) AS torso_len_cv, round_even(s, 6) AS view_score,
+    "clip_triage": _p("""SELECT entity, n_frames, round_even(seen, 6) AS detection_rate, round_even(cv, 6) AS torso_len_cv, round_even(s, 6) AS view_score,
   array_to_string(list_filter([CASE WHEN cv > 0.1 THEN 'camera moves' END, CASE WHEN s >= 0.12 THEN 'not a side view' END], lambda w: w IS NOT NULL), '; ') AS warnings
-FROM (SELECT entity, count(*) AS n_frames, stddev_pop(torso) / avg(torso) AS cv, median(hips / torso) AS s FROM lengths GROUP BY entity)""", _T),
+FROM (SELECT entity, count(*) AS n_frames, stddev_pop(torso) / avg(torso) AS cv, median(hips / torso) AS s,
+  avg((len(list_filter(x || y, lambda v: isfinite(v))) > 0)::INT) AS seen FROM lengths GROUP BY entity)""", _T),
     "silhouette_gap": f"""WITH {_M},
 gaps AS (SELECT vec_id, x0, x1, [coalesce(greatest(0, 0.05::DOUBLE * k + 118 - bottom[k + 1]), 0) FOR k IN range(x0, x1)] AS g FROM placed)
 SELECT vec_id, x0, x1, round_even(coalesce(list_sum(g), 0) / 6400 + 1e-9, 6) AS area, round_even(coalesce(list_max(g), 0) / 80 + 1e-9, 6) AS peak, len(g)::INT AS width FROM gaps""",
@@ -212,4 +213,24 @@ SELECT vec_id, k::INT AS x, round_even(CASE WHEN k >= x0 AND k < x1 THEN bottom[
     "floor_percentile": f"""WITH {_M}{_FLOOR}
 SELECT h.entity, 0.0::DOUBLE AS a, round_even(any_value(b), 6) AS b, round_even(avg((abs(y - b) <= 3)::INT), 6) AS inlier_ratio, count(*) AS n_points
 FROM high h JOIN level USING (entity) GROUP BY h.entity""",
+    "floor_ransac": f"""WITH {_M}{_FLOOR},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY x, y) - 1 AS r FROM high),
+sizes AS (SELECT entity, count(*) AS n, quantile_cont(y, 0.5) AS middle FROM high GROUP BY entity),
+draws AS (
+  SELECT entity, t AS trial, ('0x' || substr(md5('0:' || t || ':i'), 1, 12))::BIGINT % n AS i, ('0x' || substr(md5('0:' || t || ':j'), 1, 12))::BIGINT % n AS j
+  FROM sizes, range(200) AS d(t)),
+lines AS (
+  SELECT entity, -1 AS trial, 0.0::DOUBLE AS x0, middle AS y0, 0.0::DOUBLE AS slope FROM sizes
+  UNION ALL
+  SELECT d.entity, trial, p.x, p.y, (q.y - p.y) / (q.x - p.x)
+  FROM draws d JOIN ranked p ON p.entity = d.entity AND p.r = i JOIN ranked q ON q.entity = d.entity AND q.r = j WHERE p.x <> q.x),
+agreed AS (
+  SELECT l.entity, trial, x0, y0, slope, count(*) FILTER (abs(y - (slope * (x - x0) + y0)) <= 3) AS k
+  FROM lines l JOIN high h ON h.entity = l.entity GROUP BY ALL),
+best AS (SELECT * FROM agreed QUALIFY row_number() OVER (PARTITION BY entity ORDER BY k DESC, trial) = 1),
+fitted AS (
+  SELECT b.entity, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM best b JOIN high h ON h.entity = b.entity
+  WHERE abs(y - (slope * (x - x0) + y0)) <= 3 GROUP BY b.entity)
+SELECT f.entity, round_even(f.a, 6) AS a, round_even(f.b, 4) AS b, round_even(avg((abs(y - (f.a * x + f.b)) <= 3)::INT), 6) AS inlier_ratio, count(*) AS n_points
+FROM fitted f JOIN high h ON h.entity = f.entity GROUP BY ALL""",
 }
