@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinegrid.functions import pose, silhouette, stats
-from kinegrid.operators import bands, clips, dedup, evaluate, filters, models, qc, segments, series, validate
+from kinegrid.operators import bands, build, clips, dedup, evaluate, filters, models, qc, segments, series, validate
 from kinegrid.sources import frames as fr
 from kinegrid.sources import manifest as mf
 from kinegrid.streaming import queries as sq
@@ -479,6 +479,44 @@ def test_rep_values_and_tensors(spark):
     assert (values.s_mean, values.s_peak, values.s_abs_peak, values.s_at_peak) == (-1.0, 1.0, 3.0, -1.0)
 
 
+def moving_clip(name, reps=6, fps=30, flat=False, mask=True):
+    """Frames of a body that lies along x and reaches out with either diagonal in turn; its back arches in every third repetition."""
+    rows = []
+    for k in range(60 + 60 * reps + 60):
+        lm = [[0.5, 0.5, 0.0, 1.0] for _ in range(33)]
+        for j, x in ((11, 0.30), (12, 0.30), (23, 0.60), (24, 0.60)):
+            lm[j] = [x + 0.002 * (j % 2), 0.55, 0.0, 1.0]
+        n, t = divmod(k - 60, 60)
+        reach = 0.0 if flat or not 0 <= n < reps else 0.25 * math.sin(math.pi * t / 60) ** 2
+        right = n % 2 == 0
+        for j, x, side in ((16, 0.45, True), (15, 0.45, False), (27, 0.70, True), (28, 0.70, False)):
+            out = reach if side == right else 0.0
+            lm[j] = [x - out if j < 20 else x + out, 0.40, 0.0, 1.0]
+        arch = 12.0 if 0 <= n < reps and n % 3 == 2 and 20 < t < 40 else 0.0
+        bottom = [300.0 - (arch if 0.5 <= c / 64 <= 0.6 else 0.0) for c in range(64)]
+        rows.append((name, k, [tuple(p) for p in lm], bottom if mask else [None] * 64, mask))
+    return rows
+
+
+def test_frames_become_rows_of_repetitions(spark):
+    frames = moving_clip("a") + moving_clip("still", flat=True) + moving_clip("dark", mask=False) + moving_clip("out")
+    schema = "entity string, frame long, lm array<struct<x:double,y:double,z:double,v:double>>, bottom array<double>, mask_valid boolean"
+    records = spark.createDataFrame([(c, "p1", "correct", "side", s) for c, s in (("a", "ok"), ("still", None), ("dark", ""), ("out", "reject"), ("lost", "ok"))], "clip_id string, person_id string, condition string, view string, qc_status string")
+    reps, told = build.build_reps(records, spark.createDataFrame(frames, schema).repartition(4), build.BuildRules())
+    assert tuple(reps.columns) == build.REP_COLUMNS
+    rows = reps.orderBy("rep_index").collect()
+    assert [r.rep_id for r in rows] == [f"a__{k:03d}{'RL'[k % 2]}" for k in range(6)]
+    for k, r in enumerate(rows):
+        assert abs(r.peak_s - (90 + 60 * k) / 30) < 0.2 and r.start_s < r.peak_s < r.end_s
+        assert (r.lumbar_gap_at_excursion_peak > 0.01) == (k % 3 == 2) and r.lumbar_gap_peak >= r.lumbar_gap_mean >= 0
+        assert r.sparc_wrist < 0 and r.sparc_ankle < 0 and r.flags in ("", "overlaps_next")
+    reasons = {r.clip_id: r for r in told.collect()}
+    assert {c: r.reason for c, r in reasons.items()} == {"a": None, "still": "no exercise segment detected", "dark": "no segmentation mask on any frame", "out": "qc_status=reject", "lost": "no frames"}
+    assert (reasons["a"].n_reps, reasons["a"].alternation_intact, reasons["still"].alternation_intact) == (6, True, None)
+    whole = build.dataset_summary(reps, told).first()
+    assert (whole.n_clips, whole.n_reps, whole.n_persons, whole.by_condition) == (5, 6, 1, {"correct": 6})
+
+
 # --- rules and gates ------------------------------------------------------------
 
 
