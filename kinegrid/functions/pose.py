@@ -228,3 +228,9 @@ def flip_tables() -> tuple[list[int], list[float]]:
 def flip_features(features: Column) -> Column:
     order, sign = flip_tables()
     return F.transform(F.arrays_zip(F.array(*map(F.lit, order)).alias("o"), F.array(*map(F.lit, sign)).alias("s")), lambda c: F.get(features, c["o"]) * c["s"])
+
+
+def checked_features(features: Column) -> Column:
+    """``features``, or an error if they aren't as many as ``CHANNELS`` say."""
+    n = sum(size for _, size in CHANNELS)
+    return F.when(F.size(features) == n, features).otherwise(F.raise_error(F.format_string(f"expected {n} channels, not %d", F.size(features))))

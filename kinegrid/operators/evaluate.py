@@ -96,6 +96,19 @@ def rank_table(scores: DataFrame, dataset: str = "dataset", model: str = "model"
     )
 
 
+def best_models(scores: DataFrame, dataset: str = "dataset", model: str = "model", score: str = "score") -> DataFrame:
+    """(dataset, model, score): the best-scored model of each dataset, the first by name of equal ones; non-finite scores don't count."""
+    known = scores.filter(F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf")))
+    best = F.min_by(F.struct(model, score), F.struct((-F.col(score)).alias("s"), F.col(model).alias("m"))).alias("_b")
+    return known.groupBy(dataset).agg(best).select(dataset, f"_b.{model}", f"_b.{score}")
+
+
+def dataset_order(names: DataFrame, prefixes: tuple[str, ...], dataset: str = "dataset") -> DataFrame:
+    """(dataset, rank): names with the first of ``prefixes`` come first, those with none last; sort by rank, then name."""
+    rank = F.coalesce(*(F.when(F.startswith(F.col(dataset), F.lit(p)), F.lit(k)) for k, p in enumerate(prefixes)), F.lit(len(prefixes)))
+    return names.select(dataset).distinct().withColumn("rank", rank)
+
+
 def family_table(scores: DataFrame, models: tuple[str, ...], dataset: str = "dataset", model: str = "model", score: str = "score", separator: str = "_clf") -> DataFrame:
     """Mean score per dataset family (the part of the name before ``separator``) and model, and n, the most datasets of any model."""
     named = scores.withColumn("family", F.split(F.col(dataset), separator, 2)[0])

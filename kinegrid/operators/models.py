@@ -32,7 +32,7 @@ def balanced_weights(train: DataFrame, label: str = "y_true") -> DataFrame:
     """Adds weight n / (k * n_c), so that every class weighs the same."""
     counts = train.groupBy(label).agg(F.count("*").alias("_c"))
     n, k = counts.agg(F.sum("_c"), F.count("*")).first()
-    return train.join(F.broadcast(counts), label).withColumn("weight", F.lit(float(n or 0)) / (F.lit(float(k or 1)) * F.col("_c"))).drop("_c")  # a row per class
+    return train.join(counts, label).withColumn("weight", F.lit(float(n or 0)) / (F.lit(float(k or 1)) * F.col("_c"))).drop("_c")
 
 
 def random_forest(train: DataFrame, test: DataFrame, features: list[str], label: str = "y_true", trees: int = 300, seed: int = 0) -> DataFrame:
@@ -98,3 +98,15 @@ def evaluate_folds(fit_predict: FitPredict, load_fold: Callable[[int], tuple[Dat
         except Exception as e:  # noqa: BLE001
             failed[k] = str(e)
     return done, failed
+
+
+def evaluate_models(fits: dict[str, FitPredict], load_fold: Callable[[int], tuple[DataFrame, DataFrame]], folds: int) -> tuple[DataFrame | None, dict[tuple[str, int], str]]:
+    """Predictions of every model on all folds with columns model and fold, and the (model, fold) that failed with their reasons."""
+    done, failed = None, {}
+    for name, fit_predict in fits.items():
+        out, broken = evaluate_folds(fit_predict, load_fold, folds)
+        failed |= {(name, k): why for k, why in broken.items()}
+        if out is not None:
+            out = out.withColumn("model", F.lit(name))
+            done = out if done is None else done.unionByName(out, allowMissingColumns=True)
+    return done, failed

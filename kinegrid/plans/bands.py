@@ -41,6 +41,12 @@ def band_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("rep_id", "bin", shown("z"), shown("limit").alias("limit_value"), "exceeds", "support", "extrapolated", "reason")
 
 
+def band_loso_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A band without each single customer: as many folds as there are customers."""
+    band = bands.fit_loso(bands.eligible(reps(spark, sf_dir, None), *FIT))
+    return band.select("held_out", "bin", *(shown(c, 4) for c in ("low", "high", "mean", "std", "p05", "p95")), "count")
+
+
 def _rates(scored: DataFrame) -> DataFrame:
     rates = bands.exceed_rate(scored, "condition")
     return rates.select("condition", "exceed", "scored", "rows", *(shown(c) for c in ("rate", "ci_low", "ci_high")))
@@ -90,6 +96,7 @@ band AS (
 {tail}"""
 
 
+_CUSTOMERS = "SELECT held_out, bin, round_even(low + 1e-9, 4) AS low, round_even(high + 1e-9, 4) AS high, round_even(mean + 1e-9, 4) AS mean, round_even(std + 1e-9, 4) AS std, round_even(p05 + 1e-9, 4) AS p05, round_even(p95 + 1e-9, 4) AS p95, count FROM band"
 _BAND = "SELECT held_out, bin, round_even(low + 1e-9, 6) AS low, round_even(high + 1e-9, 6) AS high, round_even(mean + 1e-9, 6) AS mean, round_even(std + 1e-9, 6) AS std, round_even(p05 + 1e-9, 6) AS p05, round_even(p95 + 1e-9, 6) AS p95, count FROM band"
 _SCORED = """, placed AS (
   SELECT r.*, e.low, e.high, least(19, greatest(0, len(list_filter(edges, lambda x: x <= r.excursion)) - 1))::INT AS bin
@@ -115,6 +122,7 @@ rates AS (
 QUERIES = {
     "band_fit_pooled": band_fit_pooled,
     "band_loso": band_loso,
+    "band_loso_customers": band_loso_customers,
     "band_loso_floor": band_loso_floor,
     "band_score": band_score,
     "band_exceed_wilson": band_exceed_wilson,
@@ -125,6 +133,7 @@ QUERIES = {
 ORACLES = {
     "band_fit_pooled": _sql(_BAND, pooled=True),
     "band_loso": _sql(_BAND),
+    "band_loso_customers": _sql(_CUSTOMERS).replace("o_custkey % 10", "o_custkey"),
     "band_loso_floor": _sql(_BAND, bins=7, floor=FLOOR),
     "band_score": _sql(_SCORED + "SELECT rep_id, bin, round_even(z + 1e-9, 6) AS z, round_even(limit_value + 1e-9, 6) AS limit_value, exceeds, support, extrapolated, reason FROM scored"),
     "band_exceed_wilson": _sql(_SCORED + _RATES + "SELECT condition, exceed, scored, rows, round_even(rate + 1e-9, 6) AS rate, round_even(ci_low + 1e-9, 6) AS ci_low, round_even(ci_high + 1e-9, 6) AS ci_high FROM rates"),

@@ -51,6 +51,14 @@ def eval_family_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.family_table(scores(spark, sf_dir), MODELS).select("family", "n", *(rounded(m).alias(m) for m in MODELS))
 
 
+def eval_best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.best_models(scores(spark, sf_dir))
+
+
+def eval_dataset_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.dataset_order(scores(spark, sf_dir), ("R", "N_clf_3"))
+
+
 def folds_loso(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.loso_folds(load(spark, sf_dir, "embeddings").select("vec_id", "label"), "label").select("vec_id", "held_out", "split")
 
@@ -104,6 +112,8 @@ QUERIES = {
     "eval_rank_table": eval_rank_table,
     "eval_average_ranks": eval_average_ranks,
     "eval_family_pivot": eval_family_pivot,
+    "eval_best_model": eval_best_model,
+    "eval_dataset_order": eval_dataset_order,
     "folds_loso": folds_loso,
     "leak_check": leak_check,
     "fold_complement": fold_complement,
@@ -133,6 +143,9 @@ named AS (SELECT split_part(dataset, '_clf', 1) AS family, model, score FROM sco
 SELECT family, max(n) AS n, """
     + ", ".join(f"round_even(max(mean) FILTER (model = '{m}'), 6) AS {m}" for m in MODELS)
     + " FROM (SELECT family, model, avg(score) AS mean, count(score) AS n FROM named GROUP BY ALL) GROUP BY family",
+    "eval_best_model": _FAIR + " SELECT dataset, model, score FROM known QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY score DESC, model) = 1",
+    "eval_dataset_order": f"""WITH {SCORES_SQL}
+SELECT DISTINCT dataset, CASE WHEN starts_with(dataset, 'R') THEN 0 WHEN starts_with(dataset, 'N_clf_3') THEN 1 ELSE 2 END AS rank FROM scores""",
     "folds_loso": "SELECT vec_id, l.label AS held_out, CASE WHEN e.label = l.label THEN 'test' ELSE 'train' END AS split FROM embeddings e, (SELECT DISTINCT label FROM embeddings) l",
     "leak_check": "SELECT user_id FROM events WHERE coalesce(event_id % 3 = 0, FALSE) INTERSECT SELECT user_id FROM events WHERE NOT coalesce(event_id % 3 = 0, FALSE)",
     "fold_complement": "SELECT doc_id, lang FROM documents WHERE doc_id % 5 <> 2",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pose, silhouette
 from ..functions.stats import rounded
-from ..operators import clips
+from ..operators import build, clips
 from .tables import NUDGE, POSES_SQL, load, poses
 
 L = pose.L17
@@ -137,6 +137,26 @@ def smoothness_sparc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clips.smoothness(rows, FPS, "entity").select("entity", rounded("sparc").alias("sparc"))
 
 
+def _build(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A cluster of embeddings as a clip: landmarks as shares of the image, silhouettes, and a record each."""
+    bottoms = masks(spark, sf_dir).select("vec_id", "bottom")
+    share = lambda p: p.withField("x", p["x"] / 640).withField("y", p["y"] / 480)
+    frames = poses(spark, sf_dir).join(bottoms, "vec_id").select(F.col("entity").cast("string").alias("entity"), "frame", F.transform("lm", share).alias("lm"), "bottom", (F.col("vec_id") % 10 != 0).alias("mask_valid"))
+    known = load(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("clip_id")).distinct()
+    records = known.select("clip_id", F.concat(F.lit("p"), F.col("clip_id").cast("int") % 4).alias("person_id"), F.lit("correct").alias("condition"), F.lit("side").alias("view"), F.when(F.col("clip_id") == "3", "reject").otherwise("ok").alias("qc_status"))
+    return build.build_reps(records, frames, build.BuildRules(layout=L, least_inliers=0.1))
+
+
+def build_reps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made, _ = _build(spark, sf_dir)
+    return made
+
+
+def build_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, told = _build(spark, sf_dir)
+    return told
+
+
 _T = """, torsos AS (
   SELECT *, (x[12] + x[13]) / 2 AS hx, (y[12] + y[13]) / 2 AS hy, (x[6] + x[7]) / 2 AS sx, (y[6] + y[7]) / 2 AS sy FROM poses),
 lengths AS (SELECT *, sqrt((sx - hx) ** 2 + (sy - hy) ** 2) AS torso, sqrt((x[12] - x[13]) ** 2 + (y[12] - y[13]) ** 2) AS hips, atan2(sy - hy, sx - hx) AS angle FROM torsos)"""
@@ -176,6 +196,7 @@ QUERIES = {
     for f in (
         pose_normalize, pose_view_score, pose_bones, pose_angles, pose_flip, pose_contralateral, pose_rotation_dev, pose_torso_cv, pose_geometric,
         pose_features109, pose_flip_agrees, clip_triage, silhouette_gap, silhouette_boundary, silhouette_perturb, floor_percentile, floor_ransac, smoothness_sparc,
+        build_reps, build_diagnostics,
     )
 }
 ORACLES = {

@@ -15,6 +15,8 @@ from ..streaming.session import SessionRules
 from .tables import load
 
 HOUR = 3600.0
+#: Events of a user can be months apart.
+IDLE = 400 * 24 * HOUR
 COUNTING = CounterRules(range_window=120 * HOUR, trough_window=60 * HOUR, refractory=HOUR, slowest_rise=90 * HOUR)
 JUDGING = SessionRules(setup_s=24 * HOUR, setup_samples=4, memory_s=240 * HOUR, counter=COUNTING)
 
@@ -43,11 +45,11 @@ def _streamed(spark: SparkSession, sf_dir: str, make: Callable[[DataFrame], Data
 
 
 def stream_rep_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, sf_dir, lambda s: q.count_reps(s, COUNTING, "30 days"))
+    return _streamed(spark, sf_dir, lambda s: q.count_reps(s, COUNTING, "30 days", IDLE))
 
 
 def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, sf_dir, lambda s: q.judge_sessions(s, JUDGING, "30 days")).withColumn("errors", F.array_join("errors", ";"))
+    return _streamed(spark, sf_dir, lambda s: q.judge_sessions(s, JUDGING, "30 days", IDLE)).withColumn("errors", F.array_join("errors", ";"))
 
 
 def replay_rep_counter(spark: SparkSession, sf_dir: str) -> DataFrame:

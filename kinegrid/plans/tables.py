@@ -21,13 +21,13 @@ def shown(c: str, places: int = 6) -> Column:
     return rounded(F.col(c) + NUDGE, places).alias(c)
 
 
-def reps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(rep_id, person, excursion, signal, condition, view): a line of an order as a repetition."""
+def reps(spark: SparkSession, sf_dir: str, persons: int | None = 10) -> DataFrame:
+    """(rep_id, person, excursion, signal, condition, view): a line of an order as a repetition; customers share ``persons`` numbers, or have their own."""
     lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus")
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("rep_id"),
-        (F.col("o_custkey") % 10).alias("person"),
+        (F.col("o_custkey") if persons is None else F.col("o_custkey") % persons).alias("person"),
         F.col("l_quantity").alias("excursion"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("signal"),
         F.col("l_returnflag").alias("condition"),

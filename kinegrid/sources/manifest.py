@@ -8,6 +8,7 @@ from datetime import datetime, timezone
 from pathlib import Path
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -134,6 +135,30 @@ def describe_folds(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(root).groupBy("dataset", "fold", "split", "y").agg(F.count("*").alias("n"))
 
 
+def list_datasets(spark: SparkSession, root: str) -> DataFrame:
+    """(dataset, folds): the datasets of a table partitioned by dataset and fold, sorted by name."""
+    return spark.read.parquet(root).select("dataset", "fold").distinct().groupBy("dataset").agg(F.count("*").alias("folds")).orderBy("dataset")
+
+
+def n_folds(spark: SparkSession, root: str, dataset: str, known: dict[str, int] | None = None) -> int:
+    """How many folds a dataset has. ``known`` answers where the table can't be read; an unknown dataset is a KeyError."""
+    try:
+        found = list_datasets(spark, root).filter(F.col("dataset") == dataset).first()
+    except AnalysisException:
+        if known is None:
+            raise
+        found = None
+    if found is None and dataset not in (known or {}):
+        raise KeyError(f"unknown dataset {dataset}")
+    return found.folds if found is not None else known[dataset]
+
+
+def write_results(results: DataFrame, predictions: DataFrame, folder: str) -> None:
+    """Results and predictions by dataset; only the datasets at hand are written anew, so a run can go on where it stopped."""
+    for name, rows in (("results", results), ("predictions", predictions)):
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset").parquet(f"{folder}/{name}")
+
+
 def save_band(band: DataFrame, path: str) -> None:
     """A row per bin as JSON lines; NULL fields are kept."""
     band.write.mode("overwrite").option("ignoreNullFields", False).json(path)

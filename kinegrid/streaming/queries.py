@@ -1,6 +1,7 @@
 """The state machines as Structured Streaming queries and as batch replays.
 
-Samples are rows (session, frame, ts, right, left, gap, turn). A batch may bring
+Samples are rows (session, frame, ts, right, left, gap, turn), and may have a
+``control`` ("reset" or "stop") in place of a sample. A batch may bring
 the rows of a session in any order, so each call sorts its own; the watermark
 bounds how late a sample may be. The replay applies the same transition to a
 whole session, and is what the stream is tested against.
@@ -22,7 +23,11 @@ from .session import SessionRules, SessionState, step
 SAMPLES = "session string, frame long, ts timestamp, right double, left double, gap double, turn double"
 REPS = "session string, side string, rep_index long, alternation_broken boolean, start long, peak long, end long, start_s double, peak_s double, end_s double, amplitude double"
 VERDICTS = REPS + ", gap_peak double, turn_peak double, t_extend_s double, phase string, errors array<string>"
-_STATE = "data string, last double, late long"
+_STATE = "data string, last double, late long, stopped boolean"
+#: Seconds of event time after a session's last sample at which its state goes.
+IDLE_S = 24 * 3600.0
+#: What a sample's ``control`` may say: forget all that was seen, or take no more samples.
+RESET, STOP = "reset", "stop"
 
 
 def _names(schema: str) -> list[str]:
@@ -33,10 +38,11 @@ def _none(v: float) -> float | None:
     return None if v is None or v != v else float(v)
 
 
-def _rows(rows: pd.DataFrame) -> Iterator[tuple]:
+def _rows(rows: pd.DataFrame) -> Iterator[tuple[str | None, tuple]]:
+    """(control, sample) of each row; a row with a control has no sample, and ``control`` may be missing altogether."""
     seconds = rows["ts"].astype("datetime64[us]").astype("int64") / 1e6
     for r, now in zip(rows.itertuples(index=False), seconds, strict=True):
-        yield int(r.frame), float(now), _none(r.right), _none(r.left), _none(r.gap), _none(r.turn)
+        yield getattr(r, "control", None), (int(r.frame), float(now), _none(r.right), _none(r.left), _none(r.gap), _none(r.turn))
 
 
 class _Counting:
@@ -72,43 +78,58 @@ def _frame(session: str, found: list[dict], schema: str) -> pd.DataFrame:
 
 def _replay(samples: DataFrame, machine: _Counting | _Judging) -> DataFrame:
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        state = machine.load(None)
-        return _frame(key[0], [r for s in _rows(rows.sort_values(["ts", "frame"])) for r in machine.feed(state, s)], machine.schema)
+        state, found = machine.load(None), []
+        for control, sample in _rows(rows.sort_values(["ts", "frame"])):
+            if control == STOP:
+                break
+            if control == RESET:
+                state = machine.load(None)
+            else:
+                found += machine.feed(state, sample)
+        return _frame(key[0], found, machine.schema)
 
     return samples.groupBy("session").applyInPandas(run, machine.schema)
 
 
-def _stream(samples: DataFrame, machine: _Counting | _Judging, delay: str) -> DataFrame:
+def _stream(samples: DataFrame, machine: _Counting | _Judging, delay: str, idle_s: float) -> DataFrame:
     def run(key: tuple, batches: Iterable[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        text, last, late = group.get if group.exists else (None, float("-inf"), 0)
+        if group.hasTimedOut:  # nothing came for so long that no more is expected
+            group.remove()
+            return
+        text, last, late, stopped = group.get if group.exists else (None, float("-inf"), 0, False)
         state = machine.load(text)
         rows = pd.concat(list(batches)).sort_values(["ts", "frame"])
         found = []
-        for sample in _rows(rows):
+        for control, sample in _rows(rows):
             if sample[1] < last:  # older than what the state has seen: counted, not applied
                 late += 1
                 continue
             last = sample[1]
-            found += machine.feed(state, sample)
-        group.update((json.dumps(state.to_dict()), last, late))
+            stopped |= control == STOP
+            if control == RESET and not stopped:
+                state = machine.load(None)
+            elif not stopped:
+                found += machine.feed(state, sample)
+        group.update((json.dumps(state.to_dict()), last, late, bool(stopped)))
+        group.setTimeoutTimestamp(max(group.getCurrentWatermarkMs(), int(last * 1000)) + int(idle_s * 1000))
         if found:
             yield _frame(key[0], found, machine.schema)
 
-    return samples.withWatermark("ts", delay).groupBy("session").applyInPandasWithState(run, machine.schema, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return samples.withWatermark("ts", delay).groupBy("session").applyInPandasWithState(run, machine.schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def count_reps(samples: DataFrame, rules: CounterRules = CounterRules(), delay: str = "10 seconds") -> DataFrame:
-    """Repetitions as they are confirmed, from a stream of samples."""
-    return _stream(samples, _Counting(rules), delay)
+def count_reps(samples: DataFrame, rules: CounterRules = CounterRules(), delay: str = "10 seconds", idle_s: float = IDLE_S) -> DataFrame:
+    """Repetitions as they are confirmed, from a stream of samples; a session idle for ``idle_s`` is forgotten."""
+    return _stream(samples, _Counting(rules), delay, idle_s)
 
 
 def replay_reps(samples: DataFrame, rules: CounterRules = CounterRules()) -> DataFrame:
     return _replay(samples, _Counting(rules))
 
 
-def judge_sessions(samples: DataFrame, rules: SessionRules = SessionRules(), delay: str = "10 seconds") -> DataFrame:
-    """Repetitions with the errors found in them, from a stream of samples."""
-    return _stream(samples, _Judging(rules), delay)
+def judge_sessions(samples: DataFrame, rules: SessionRules = SessionRules(), delay: str = "10 seconds", idle_s: float = IDLE_S) -> DataFrame:
+    """Repetitions with the errors found in them, from a stream of samples; a session idle for ``idle_s`` is forgotten."""
+    return _stream(samples, _Judging(rules), delay, idle_s)
 
 
 def replay_sessions(samples: DataFrame, rules: SessionRules = SessionRules()) -> DataFrame:
@@ -122,11 +143,11 @@ def run_available(stream: DataFrame, table: str, checkpoint: str, prepare: Calla
 
 
 def session_report(verdicts: DataFrame) -> DataFrame:
-    """Per session: judged repetitions, how many had no error, their share, and the errors by name."""
+    """Per session: judged repetitions, how many had no error, their share, and the errors, the most frequent first."""
     judged = verdicts.filter("phase = 'ACTIVE'")
     totals = judged.groupBy("session").agg(F.count("*").alias("total_reps"), F.count_if(F.size("errors") == 0).alias("correct_reps")).withColumn("accuracy", F.col("correct_reps") / F.col("total_reps"))
     counts = judged.select("session", F.explode("errors").alias("error")).groupBy("session", "error").agg(F.count("*").alias("n"))
-    named = counts.groupBy("session").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("error", "n")))).alias("error_counts"))
+    named = counts.groupBy("session").agg(F.map_from_entries(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), "error", "n"))), lambda e: F.struct(e["error"], e["n"]))).alias("error_counts"))
     return totals.join(named, "session", "left")
 
 

@@ -673,7 +673,7 @@ def live_samples(spark, n=8):
         odd = (k - 100) // 60
         rows.append(("s", k, k / 30, v if odd % 2 == 0 or k < 100 else 0.5, v if odd % 2 or k < 100 else 0.5, 0.01 + (0.02 if k >= 100 and odd == 7 and 25 <= (k - 100) % 60 < 35 else 0.0), 0.001))
     df = spark.createDataFrame(rows, "session string, frame long, t double, right double, left double, gap double, turn double")
-    return df.withColumn("ts", F.timestamp_micros((F.col("t") * 1e6).cast("long"))).drop("t")
+    return df.withColumn("ts", F.timestamp_micros(((F.col("t") + 1000) * 1e6).cast("long"))).drop("t")
 
 
 def test_streams_equal_replays(spark, tmp_path):
@@ -691,6 +691,38 @@ def test_streams_equal_replays(spark, tmp_path):
     assert (report.total_reps, report.correct_reps, report.error_counts) == (5, 4, {"lumbar_arch": 1})
 
 
+def test_control_rows_reset_and_stop(spark):
+    rows = live_samples(spark).withColumn("control", F.lit(None).cast("string"))
+    reset = rows.withColumn("control", F.when(F.col("frame") == 340, "reset"))
+    stopped = rows.withColumn("control", F.when(F.col("frame") == 340, "stop"))
+    whole, again, short = (sorted(r.peak for r in sq.replay_reps(x).collect()) for x in (rows, reset, stopped))
+    assert short == [p for p in whole if p < 340] and set(short) < set(again)
+
+
+def test_best_models_and_order_of_datasets(spark):
+    scores = spark.createDataFrame([("a", "x", 0.5), ("a", "m", 0.5), ("a", "z", float("nan")), ("b", "x", None), ("b", "z", 0.1)], "dataset string, model string, score double")
+    assert sorted(map(tuple, evaluate.best_models(scores).collect())) == [("a", "m", 0.5), ("b", "z", 0.1)]
+    names = spark.createDataFrame([("bb",), ("ab",), ("c",), ("c",)], "dataset string")
+    assert [r.dataset for r in evaluate.dataset_order(names, ("b", "a")).orderBy("rank", "dataset").collect()] == ["bb", "ab", "c"]
+
+
+def test_datasets_results_and_channels(spark, tmp_path):
+    from pyspark.errors import PySparkException
+
+    root = str(tmp_path / "folds")
+    spark.createDataFrame([("b", 0, "train", 1), ("a", 0, "test", 1), ("a", 1, "train", 0)], "dataset string, fold int, split string, y int").write.partitionBy("dataset", "fold", "split").parquet(root)
+    assert [tuple(r) for r in mf.list_datasets(spark, root).collect()] == [("a", 2), ("b", 1)]
+    assert mf.n_folds(spark, root, "a") == 2 and mf.n_folds(spark, root + "-none", "q", {"q": 5}) == 5
+    with pytest.raises(KeyError):
+        mf.n_folds(spark, root, "zz")
+    for d in ("a", "b"):
+        mf.write_results(spark.createDataFrame([(d, 1.0)], "dataset string, f1 double"), spark.createDataFrame([(d, 1, 0)], "dataset string, y_true int, y_pred int"), str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out/results")).count() == 2
+    assert spark.range(1).select(F.size(pose.checked_features(F.array_repeat(F.lit(0.0), 109)))).first()[0] == 109
+    with pytest.raises(PySparkException):
+        spark.range(1).select(pose.checked_features(F.array(F.lit(0.0)))).collect()
+
+
 def test_cooldown_changes_and_clock(spark):
     m = spark.createDataFrame([("s", "k", float(t)) for t in (0, 1, 3.9, 4, 7.9, 8.1)], "session string, key string, t double")
     assert sorted(r.t for r in sq.spoken(m).collect()) == [0.0, 4.0, 8.1]
