@@ -172,6 +172,7 @@ def encode_texts(docs: DataFrame, model_path: str = MODEL, text: str = "text") -
             same = [pieces.decode(i.tolist()) == t for i, t in zip(ids, texts, strict=True)]
             new = [pa.array(ids, added["piece_ids"]), pa.array([len(i) for i in ids], pa.int64()), pa.array(same)]
             yield pa.RecordBatch.from_arrays([*map(b.column, rest), *new], [*rest, *added])
+        pieces.cache.clear()  # a worker that waits for other work holds no segments
 
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest]
     return docs.select(*(F.col(f"`{c}`") for c in rest)).mapInArrow(run, ", ".join([*kinds, "piece_ids array<int>, n_pieces long, round_trip boolean"]))

@@ -22,7 +22,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, hash_sample, small_batches, table
+from .common import bounded_broadcast, cut, hash_sample, small_batches, table
 
 #: Labelled rows that the lexicon, the trees and the calibration are fitted on, at most.
 FIT_ROWS = 16_384
@@ -139,8 +139,9 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     toxic, clean = sample.agg(F.sum(F.col("toxic")), F.sum(1 - F.col("toxic"))).first()
     least = max(MIN_DOCS, (toxic or 0) // 100)
     bad = placed.filter("toxic = 1").select(each, around.alias("around")).distinct().groupBy("entry").agg(F.count("*").alias("bad")).filter(F.col("bad") >= least)
-    # counted before they are joined: very common words are a row of each task by then
-    good = placed.filter("toxic = 0").select(each).groupBy("entry").agg(F.count("*").alias("good"))
+    # the entries come from a bounded sample; broadcast, they let few words through, which are counted where they are
+    bad = bounded_broadcast(bad, 500_000)
+    good = placed.filter("toxic = 0").select(each).join(bad.select("entry"), "entry", "left_semi").groupBy("entry").agg(F.count("*").alias("good"))
     counted = bad.join(good, "entry", "left")
     lift = (F.col("bad") / F.lit(max(toxic or 0, 1))) / ((F.coalesce("good", F.lit(0)) + 0.5) / F.lit(max(clean or 0, 1)))
     ranked = counted.withColumn("weight", F.log(lift)).filter(F.col("weight") >= math.log(MIN_LIFT))
