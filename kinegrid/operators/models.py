@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -48,42 +49,71 @@ def flattened(tensors: DataFrame, key: str = "case", channel: str = "channel", v
     return tensors.groupBy(key).agg(F.flatten(F.transform(ordered, lambda c: c[value])).alias("x"))
 
 
-def kernel_bank(length: int, count: int = 84, seed: int = 0) -> list[tuple[np.ndarray, int]]:
-    """Kernels of nine weights, two thirds -1 and a third 2, with dilations that fit the length."""
-    rng = np.random.default_rng(seed)
-    most = max(0, int(np.log2(max((length - 1) / 8, 1))))
-    out = []
-    for _ in range(count):
-        weights = np.full(9, -1.0)
-        weights[rng.choice(9, 3, replace=False)] = 2.0
-        out.append((weights, 2 ** int(rng.integers(most + 1))))
+def kernel_dilations(length: int, features: int = 10_000, most: int = 32) -> list[tuple[int, int]]:
+    """(dilation, biases of each kernel): dilations from 1 to what fits the length, evenly in exponents, with the features shared out among them."""
+    each = features // len(KERNELS)
+    reach = max(0.0, np.log2(max((length - 1) / (KERNELS.shape[1] - 1), 1)))
+    steps, counts = np.unique(np.exp2(np.linspace(0, reach, min(each, most))).astype(int), return_counts=True)
+    shares = counts * each // counts.sum()
+    shares[: each - shares.sum()] += 1
+    return [(int(d), int(n)) for d, n in zip(steps, shares, strict=True) if n]
+
+
+#: The fixed kernels: nine weights, three of them 2 and the others -1, in every arrangement.
+KERNELS = np.array([[2.0 if k in chosen else -1.0 for k in range(9)] for chosen in combinations(range(9), 3)])
+
+
+def kernel_responses(x: np.ndarray, dilation: int) -> np.ndarray:
+    """(kernels, samples): all kernels over a series padded with zeros."""
+    padded = np.pad(x, 4 * dilation)
+    return KERNELS @ np.stack([padded[k * dilation : k * dilation + len(x)] for k in range(9)])
+
+
+def kernel_biases(samples: list[np.ndarray], dilations: list[tuple[int, int]]) -> list[np.ndarray]:
+    """Per dilation (kernels, biases): quantiles of the responses to one of ``samples`` each, spread evenly by the golden ratio."""
+    out, seen = [], 0
+    for k, (dilation, n) in enumerate(dilations):
+        places = (np.arange(seen, seen + len(KERNELS) * n).reshape(len(KERNELS), n) + 1) * ((np.sqrt(5) + 1) / 2) % 1
+        seen += places.size
+        responses = [kernel_responses(samples[(k * len(KERNELS) + j) % len(samples)], dilation)[j] for j in range(len(KERNELS))]
+        out.append(np.stack([np.quantile(r, p) for r, p in zip(responses, places, strict=True)]))
     return out
 
 
-def kernel_features(x: np.ndarray, bank: list[tuple[np.ndarray, int]]) -> np.ndarray:
-    """Per kernel the share of positive responses of a series padded with zeros, and the largest over the series' own spread."""
-    out = np.empty((len(bank), 2))
-    spread = max(float(np.std(x)), 1e-12)
-    for k, (weights, dilation) in enumerate(bank):
-        padded = np.pad(x - x.mean(), 4 * dilation)
-        response = sum(w * padded[j * dilation : j * dilation + len(x)] for j, w in enumerate(weights))
-        out[k] = (response > 0).mean(), response.max() / spread
-    return out.ravel()
+def kernel_features(x: np.ndarray, dilations: list[tuple[int, int]], biases: list[np.ndarray]) -> np.ndarray:
+    """The share of positive responses for every kernel, dilation and bias.
+
+    Every other kernel counts only samples that it meets without padding, if any.
+    """
+    out = []
+    for (dilation, _), bias in zip(dilations, biases, strict=True):
+        above = kernel_responses(x, dilation)[:, None, :] > bias[:, :, None]
+        share, margin = above.mean(axis=2), 4 * dilation
+        if len(x) > 2 * margin:
+            share[1::2] = above[1::2, :, margin:-margin].mean(axis=2)
+        out.append(share.ravel())
+    return np.concatenate(out)
 
 
-def with_kernel_features(rows: DataFrame, length: int, x: str = "x", count: int = 84, seed: int = 0) -> DataFrame:
-    """Adds ``features``, two numbers for each of ``count`` kernels; a fixed bank of kernels travels with the function."""
-    bank = kernel_bank(length, count, seed)
+def with_kernel_features(rows: DataFrame, length: int, samples: list[np.ndarray], x: str = "x", features: int = 10_000) -> DataFrame:
+    """Adds ``features``, about that many shares; dilations and biases travel with the function."""
+    dilations = kernel_dilations(length, features)
+    biases = kernel_biases(samples, dilations)
 
     def run(series: pd.Series) -> pd.Series:
-        return series.map(lambda v: kernel_features(np.nan_to_num(np.asarray(v, float)), bank))
+        return series.map(lambda v: kernel_features(_series(v), dilations, biases))
 
     return rows.withColumn("features", F.pandas_udf(run, "array<double>")(x))
 
 
-def kernel_classifier(train: DataFrame, test: DataFrame, length: int, label: str = "y_true", x: str = "x", count: int = 84, seed: int = 0) -> DataFrame:
-    """Balanced logistic regression on random convolution features."""
-    made = lambda rows: with_kernel_features(rows, length, x, count, seed).withColumn("_x", array_to_vector("features"))
+def _series(v) -> np.ndarray:
+    return np.nan_to_num(np.asarray(v, float))
+
+
+def kernel_classifier(train: DataFrame, test: DataFrame, length: int, label: str = "y_true", x: str = "x", features: int = 10_000, sample: int = 256) -> DataFrame:
+    """Balanced logistic regression on fixed convolution kernels; biases come from at most ``sample`` training rows, those with the smallest hashes."""
+    some = [_series(r[0]) for r in train.orderBy(F.xxhash64(x)).limit(sample).select(x).collect()]
+    made = lambda rows: with_kernel_features(rows, length, some, x, features).withColumn("_x", array_to_vector("features"))
     model = LogisticRegression(featuresCol="_x", labelCol=label, weightCol="weight", regParam=0.01, predictionCol="_p").fit(made(balanced_weights(train, label)))
     return model.transform(made(test)).withColumn("y_pred", F.col("_p").cast("int")).drop("_x", "_p", "features", "rawPrediction", "probability")
 

@@ -691,6 +691,22 @@ def test_streams_equal_replays(spark, tmp_path):
     assert (report.total_reps, report.correct_reps, report.error_counts) == (5, 4, {"lumbar_arch": 1})
 
 
+def test_kernels_and_their_shares():
+    assert models.KERNELS.shape == (84, 9) and set(models.KERNELS.sum(axis=1)) == {0.0}
+    dilations = models.kernel_dilations(200)
+    assert sum(n for _, n in dilations) == 119 and dilations[0][0] == 1 and 8 * dilations[-1][0] < 200
+    x = np.random.default_rng(0).normal(size=50)
+    biases = models.kernel_biases([x, x[::-1]], [(1, 2), (3, 1)])
+    got = models.kernel_features(x, [(1, 2), (3, 1)], biases)
+    want = []
+    for d, b in zip((1, 3), biases, strict=True):
+        for j, w in enumerate(models.KERNELS):
+            r = [sum(w[k] * x[i + (k - 4) * d] for k in range(9) if 0 <= i + (k - 4) * d < 50) for i in range(50)]
+            r = r[4 * d : -4 * d] if j % 2 else r
+            want += [np.mean(np.array(r) > v) for v in b[j]]
+    assert np.allclose(got, want)
+
+
 def test_control_rows_reset_and_stop(spark):
     rows = live_samples(spark).withColumn("control", F.lit(None).cast("string"))
     reset = rows.withColumn("control", F.when(F.col("frame") == 340, "reset"))
