@@ -144,7 +144,7 @@ def _build(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     frames = poses(spark, sf_dir).join(bottoms, "vec_id").select(F.col("entity").cast("string").alias("entity"), "frame", F.transform("lm", share).alias("lm"), "bottom", (F.col("vec_id") % 10 != 0).alias("mask_valid"))
     known = load(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("clip_id")).distinct()
     records = known.select("clip_id", F.concat(F.lit("p"), F.col("clip_id").cast("int") % 4).alias("person_id"), F.lit("correct").alias("condition"), F.lit("side").alias("view"), F.when(F.col("clip_id") == "3", "reject").otherwise("ok").alias("qc_status"))
-    return build.build_reps(records, frames, build.BuildRules(layout=L, least_inliers=0.1))
+    return build.build_reps(records, frames, build.BuildRules(fps=2.0, layout=L, least_inliers=0.05))
 
 
 def build_reps(spark: SparkSession, sf_dir: str) -> DataFrame:
