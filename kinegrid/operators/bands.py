@@ -128,7 +128,8 @@ def fit_loso(reps: DataFrame, bins: int = BINS, min_excursion: float = MIN_EXCUR
     once in the bins of each. A person without whom fewer than two rows are left
     has no band. Rows without a person belong to none.
     """
-    rows = usable_reps(reps, min_excursion).filter(F.col("person").isNotNull())
+    # three numbers a row, read for the ranges and for the counts
+    rows = checkpointed(usable_reps(reps, min_excursion).filter(F.col("person").isNotNull()))
     per = checkpointed(rows.groupBy("person").agg(F.min("excursion").alias("low"), F.max("excursion").alias("high"), F.count("*").alias("n")))
     lows, highs = (per.orderBy(o, "person").limit(2).collect() for o in (F.col("low"), F.col("high").desc()))
     total = per.agg(F.sum("n")).first()[0]

@@ -158,7 +158,8 @@ def build_reps(records: DataFrame, frames: DataFrame, rules: BuildRules = BuildR
     per_clip = out.groupBy(_named("clip_id")).agg(F.count("*").alias("n_reps"), F.bool_and(~F.contains(F.col("flags"), F.lit("alternation_broken"))).alias("alternation_intact"))
     diagnosed = told.join(per_clip, KEY, "left").withColumnRenamed(KEY, "clip_id").withColumn("n_reps", F.coalesce("n_reps", F.lit(0)))
     rejected = F.when(F.col("qc_status") == "reject", "qc_status=reject").otherwise(F.coalesce("reason", F.when(F.col("n_frames").isNull(), "no frames")))
-    return out, records.select("clip_id", "qc_status").join(diagnosed, "clip_id", "left").withColumn("reason", rejected).drop("qc_status")
+    told = records.select("clip_id", "qc_status").join(diagnosed, "clip_id", "left").withColumn("reason", rejected)
+    return out, told.withColumn("n_reps", F.coalesce("n_reps", F.lit(0))).drop("qc_status")
 
 
 def dataset_summary(reps: DataFrame, diagnostics: DataFrame) -> DataFrame:
