@@ -22,6 +22,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Marks of the template: a turn is START role SEP text END newline.
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 TRAINED_ROLE = "assistant"
+#: Characters after which a worker hands on the conversations that it has formatted.
+BATCH_CHARS = 500_000
 _TURN = re.compile(re.escape(START) + r"(.*?)" + re.escape(SEP) + r"(.*?)" + re.escape(END) + r"\n", re.S)
 _ESCAPED = re.compile(r"\\(.)", re.S)
 
@@ -114,18 +116,23 @@ def format_conversations(rows: DataFrame, tokenizer_path: str = TOKENIZER) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load_tokenizer(shared.value)
         ints = pa.list_(pa.int32())
+        names = ["conv_id", *(x.split()[0] for x in SCHEMA.split(", "))]
+        kinds = [pa.string(), *[ints] * 5, pa.list_(pa.int8())]
         for b in batches:
-            rendered = [render([(t["role"], t["text"]) for t in turns]) for turns in b.column(1).to_pylist()]
-            encoded = tokenizer.encode_batch([text for text, _ in rendered], add_special_tokens=False)
-            columns: list[list] = [[] for _ in range(7)]
-            for (text, spans), e in zip(rendered, encoded, strict=True):
+            columns, first, chars = [[] for _ in kinds], 0, 0
+            for row in range(b.num_rows):
+                text, spans = render([(t["role"], t["text"]) for t in b.column(1)[row].as_py()])
+                # one conversation at a time: an encoding takes many times the memory of its text
+                e = tokenizer.encode(text, add_special_tokens=False)
                 offsets = np.array(e.offsets, np.int32).reshape(-1, 2)
+                ids = np.array(e.ids, np.int32)
                 mask, low, high = loss_pieces(offsets[:, 0], offsets[:, 1], spans)
-                for column, value in zip(columns, (text, e.ids, offsets[:, 0], offsets[:, 1], low, high, mask), strict=True):
+                for column, value in zip(columns, (text, ids, np.ascontiguousarray(offsets[:, 0]), np.ascontiguousarray(offsets[:, 1]), low, high, mask), strict=True):
                     column.append(value)
-            kinds = [pa.string(), *[ints] * 5, pa.list_(pa.int8())]
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *arrays], ["conv_id", *(x.split()[0] for x in SCHEMA.split(", "))])
+                chars += len(text)
+                if chars > BATCH_CHARS or row == b.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, row + 1 - first), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
+                    columns, first, chars = [[] for _ in kinds], row + 1, 0
 
     turns = gather_turns(rows)
     return turns.mapInArrow(run, f"conv_id {turns.schema['conv_id'].dataType.simpleString()}, {SCHEMA}")
@@ -137,7 +144,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: dict[str, list] = {"conv_id": b.column(0), "n_turns": [], "turns_sha256": [], "loss_chars": [], "loss_sha256": [], "formatted_chars": [], "n_tokens": []}
-            for text, low, high, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+            for k in range(b.num_rows):
+                text, n = b.column(1)[k].as_py(), b.column(4)[k].as_py()
+                low, high = (b.column(c)[k].values.to_numpy().tolist() for c in (2, 3))
                 turns, loss = parse(text), masked_text(text, low, high)
                 rows["n_turns"].append(len(turns))
                 rows["turns_sha256"].append(hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest())

@@ -131,6 +131,18 @@ def test_near_duplicates_of_odd_rows(spark):
     assert mh.drop_near_duplicates(clashing).collect()[0].asDict() == {"doc_id": 1, "text": "a b c d", "component_id": "x", "sig": "y"}
 
 
+def test_near_duplicates_of_very_long_texts_and_repeated_rows(spark):
+    rng = random.Random(41)
+    long_text = words(rng, 60_000, 10**6)
+    near = list(long_text)
+    for at in rng.sample(range(60_000), 2000):
+        near[at] = "other"
+    far = [w if rng.random() < 0.9 else "x" for w in long_text]
+    rows = [(9, " ".join(long_text)), (4, " ".join(near)), (7, " ".join(far)), (9, " ".join(long_text)), (2, "a b"), (2, "a b")]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in mh.near_duplicates(spark.createDataFrame(rows, DOCS), 4, 80).collect())
+    assert got == [(2, 2, True), (2, 2, True), (4, 4, True), (7, 7, True), (9, 4, False), (9, 4, False)]
+
+
 def test_every_pair_within_the_radius_shares_a_bucket():
     rng = np.random.default_rng(0)
     for _ in range(300):

@@ -85,6 +85,22 @@ def test_text_stats_equal_brute_force():
         assert qf.text_stats(t) == brute_stats(t), t
 
 
+def test_very_long_texts(pieces):
+    rng = random.Random(17)
+    text = "".join(rng.choice([" ", "\n", "ab", "é", "word", "#", "日"]) for _ in range(200_000))
+    assert qf.text_stats(text) == brute_stats(text)
+    assert pieces.decode(pieces.encode(text)) == text
+
+
+def test_repeated_rows_are_judged_each(spark):
+    rng = random.Random(18)
+    good = [(k, " ".join(rng.choices([f"w{j:03d}" for j in range(500)], k=60))) for k in range(120)]
+    docs = spark.createDataFrame([*good, good[0], good[0], (0, "a")], "doc_id long, text string")
+    judged = qf.judge_quality(docs, spark.createDataFrame([(k, 1) for k in range(120)], "doc_id long, quality int")).collect()
+    assert len(judged) == 123 and sorted(r.n_words for r in judged if r.doc_id == 0) == [1, 60, 60, 60]
+    assert [r.kept for r in judged if r.n_words == 1] == [False]
+
+
 def test_quality_keeps_good_and_rejects_odd_documents(spark):
     rng = random.Random(6)
     good = [(k, " ".join(rng.choices([f"w{j:03d}" for j in range(500)], k=60))) for k in range(400)]
