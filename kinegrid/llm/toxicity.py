@@ -132,16 +132,17 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     """
     strip = lambda w: F.regexp_replace(w, r"^[.,;:!?\"'()\[\]{}*#%&$_-]+|[.,;:!?\"'()\[\]{}*#%&$_-]+$", "")
     words = F.filter(F.transform(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), strip), lambda w: w != "")
-    placed = sample.select("toxic", words.alias("words")).select("toxic", "words", F.posexplode("words").alias("pos", "word"))
+    # each word with its neighbours' hash; the list of words stays behind
+    beside = lambda w, k: F.struct(w.alias("word"), F.xxhash64(F.get("words", k - 1), F.get("words", k + 1)).alias("around"))
+    listed = sample.select("toxic", words.alias("words"))
     entries = F.array(F.concat(F.lit("="), "word"), *(F.when(F.length("word") >= n, F.substring("word", 1, n)) for n in PREFIXES))
     each = F.explode(F.array_compact(entries)).alias("entry")
-    around = F.xxhash64(F.get("words", F.col("pos") - 1), F.get("words", F.col("pos") + 1))
     toxic, clean = sample.agg(F.sum(F.col("toxic")), F.sum(1 - F.col("toxic"))).first()
     least = max(MIN_DOCS, (toxic or 0) // 100)
-    bad = placed.filter("toxic = 1").select(each, around.alias("around")).distinct().groupBy("entry").agg(F.count("*").alias("bad")).filter(F.col("bad") >= least)
+    bad = listed.filter("toxic = 1").select(F.inline(F.transform("words", beside))).select(each, "around").distinct().groupBy("entry").agg(F.count("*").alias("bad")).filter(F.col("bad") >= least)
     # the entries come from a bounded sample; broadcast, they let few words through, which are counted where they are
     bad = bounded_broadcast(bad, 500_000)
-    good = placed.filter("toxic = 0").select(each).join(bad.select("entry"), "entry", "left_semi").groupBy("entry").agg(F.count("*").alias("good"))
+    good = listed.filter("toxic = 0").select(F.explode("words").alias("word")).select(each).join(bad.select("entry"), "entry", "left_semi").groupBy("entry").agg(F.count("*").alias("good"))
     counted = bad.join(good, "entry", "left")
     lift = (F.col("bad") / F.lit(max(toxic or 0, 1))) / ((F.coalesce("good", F.lit(0)) + 0.5) / F.lit(max(clean or 0, 1)))
     ranked = counted.withColumn("weight", F.log(lift)).filter(F.col("weight") >= math.log(MIN_LIFT))
