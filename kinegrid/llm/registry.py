@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, minhash_dedup, quality_forest, sentencepiece, source_mix, suffix_dedup, toxicity, url_filter, warc
+from . import ann, byte_bpe, chat, minhash_dedup, quality_forest, sentencepiece, source_mix, suffix_dedup, token_align, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_cross_polytope": ann.op1_cross_polytope,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_minhash_dedup": minhash_dedup.op9_minhash_dedup,
     "op10_quality_forest": quality_forest.op10_quality_forest,
+    "op11_byte_bpe": byte_bpe.op11_byte_bpe,
+    "op12_token_align": token_align.op12_token_align,
 }
 
 ORACLES = {
