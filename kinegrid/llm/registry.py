@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, byte_bpe, chat, minhash_dedup, quality_forest, sentencepiece, source_mix, suffix_dedup, token_align, toxicity, url_filter, warc
+from . import ann, byte_bpe, chat, minhash_dedup, quality_forest, sentencepiece, source_mix, suffix_dedup, token_align, toxicity, turn_repair, url_filter, warc
 
 QUERIES = {
     "op1_cross_polytope": ann.op1_cross_polytope,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality_forest": quality_forest.op10_quality_forest,
     "op11_byte_bpe": byte_bpe.op11_byte_bpe,
     "op12_token_align": token_align.op12_token_align,
+    "op13_turn_repair": turn_repair.op13_turn_repair,
 }
 
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op3_chat_masks": chat.OP3_SQL,
     "op5_url_filter": url_filter.OP5_SQL,
     "op6_source_mix": source_mix.OP6_SQL,
+    "op13_turn_repair": turn_repair.OP13_SQL,
 }
