@@ -23,7 +23,7 @@ import sentencepiece
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 from tokenizers import Tokenizer
 
 from .common import cut, shared_dir, small_batches, table
@@ -265,15 +265,15 @@ def align_texts(docs: DataFrame, tokenizer_path: str = TOKENIZER_A, model_path:
                 if chars > BATCH_CHARS or row == len(texts) - 1:
                     found = aligner.align(texts[first : row + 1])
                     lists = [pa.ListArray.from_arrays(pa.array(found.bounds, pa.int32()), pa.array(x, k)) for x, k in ((found.a, pa.int32()), (found.b, pa.int32()), (found.times, pa.int64()))]
-                    yield pa.RecordBatch.from_arrays([*(c.slice(first, row + 1 - first) for c in batch.columns[1:]), *(pa.array(c) for c in found.counts.T), pa.array(found.groups, pa.string()), *lists], [*rest, *added])
+                    yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, row + 1 - first), *(pa.array(c) for c in found.counts.T), pa.array(found.groups, pa.string()), *lists], ["row", *added])
                     first, chars = row + 1, 0
 
-    # the text goes first, under a name of its own
-    carried = docs.select(F.col(f"`{text}`").alias("_text"), *(F.col(f"`{c}`") for c in rest))
-    schema = docs.select(*(F.col(f"`{c}`") for c in rest)).schema
-    for c, kind in [*((c, LongType()) for c in COUNTS), ("groups", StringType()), ("pair_a", ArrayType(IntegerType())), ("pair_b", ArrayType(IntegerType())), ("pair_n", ArrayType(LongType()))]:
-        schema = schema.add(c, kind)
-    return carried.mapInArrow(run, schema)
+    # the other columns travel as one, so that none can clash
+    row = F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(0).alias("_")).alias("row")
+    carried = docs.select(F.col(f"`{text}`").alias("text"), row)
+    kinds = [*((c, LongType()) for c in COUNTS), ("groups", StringType()), ("pair_a", ArrayType(IntegerType())), ("pair_b", ArrayType(IntegerType())), ("pair_n", ArrayType(LongType()))]
+    found = carried.mapInArrow(run, StructType([carried.schema["row"], *(StructField(*k) for k in kinds)]))
+    return found.select(*(F.col(f"row.`{c}`") for c in rest), *added)
 
 
 def pair_counts(aligned: DataFrame, tokenizer_path: str = TOKENIZER_A, model_path: str = MODEL_B) -> DataFrame:
