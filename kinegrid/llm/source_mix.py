@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table, unit_hash
+from .common import WORD, bounded_broadcast, cut, table, unit_hash
 
 WEIGHTS = (5, 2, 1)
 MAX_RATE = 3
@@ -52,9 +52,36 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_rate:
     return levels.select("source", "source_size", target.alias("target"), rate.alias("rate"))
 
 
-def copies_of(rate: Column, key: Column, seed: str = SEED) -> Column:
-    """floor(rate), and one more with a probability of the rest; the same for the same key and seed."""
-    return (F.floor(rate) + (unit_hash(key, seed) < rate - F.floor(rate)).cast("long")).cast("int")
+def copies_of(rate: Column, draw: Column) -> Column:
+    """floor(rate), and one more if ``draw``, a number in [0, 1), lies below the rest."""
+    return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("int")
+
+
+def with_draws(docs: DataFrame, key: str, text: str, source: str, seed: str = SEED) -> DataFrame:
+    """``docs`` with _draw: a hash of the id, the same in every run.
+
+    Rows that share an id, or have none, must not share a draw, or a source of
+    them would be taken all or not at all. Theirs is a hash of the id, the
+    source, the text and the row's number among rows equal in these. Equal rows
+    are numbered within parts, and the parts add up, so no task holds a large
+    group of them; which one has which number makes no difference.
+    """
+    k, t, s = (F.col(f"`{c}`") for c in (key, text, source))
+    repeated = bounded_broadcast(docs.filter(k.isNotNull()).groupBy(k.alias("_key")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_key"))
+    if repeated.isEmpty() and docs.filter(k.isNull()).isEmpty():
+        return docs.withColumn("_draw", unit_hash(k, seed))
+    # rows without an id match nothing; they stay out of the joins, where they would all meet
+    single = docs.filter(k.isNotNull()).join(repeated, k == F.col("_key"), "left_anti").withColumn("_draw", unit_hash(k, seed))
+    alike = docs.filter(k.isNotNull()).join(repeated, k == F.col("_key"), "left_semi").unionByName(docs.filter(k.isNull()))
+    digest = F.sha2(F.concat_ws(":", *(F.sha2(F.coalesce(c.cast("string"), F.lit("")), 256) for c in (k, s, t)), *(c.isNull().cast("string") for c in (k, s, t))), 256)
+    shared = cut(alike.withColumns({"_digest": digest, "_part": F.spark_partition_id()}))
+    parts = shared.groupBy("_digest", "_part").agg(F.count("*").alias("_rows"))
+    earlier = Window.partitionBy("_digest").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("_digest", "_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
+    number = F.row_number().over(Window.partitionBy("_digest", "_part").orderBy(F.lit(0)))
+    numbered = shared.withColumn("_number", number).join(offsets, ["_digest", "_part"])
+    drawn = unit_hash(F.concat_ws(":", "_digest", F.col("_offset") + F.col("_number")), seed)
+    return single.unionByName(numbered.withColumn("_draw", drawn).drop("_digest", "_part", "_number", "_offset"))
 
 
 def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_rate: int = MAX_RATE, seed: str = SEED, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -63,18 +90,18 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_rate: int =
     The targets have a row per source. They are written once, and Spark picks a
     broadcast only if they are small; else it joins by shuffle and splits hot
     sources. A null text has size 0; sources without words get a target of 0.
-    Rows that share an id share its draw. Columns of ``docs`` named like an
-    added one are replaced.
+    Columns of ``docs`` named like an added one are replaced.
     """
-    docs = docs.drop("_size", "_source_size", "_target", "_copies", "_source", "_rate")
+    docs = docs.drop("_size", "_source_size", "_target", "_copies", "_source", "_rate", "_draw", "_key", "_digest", "_part", "_number", "_offset")
     sizes = docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
     targets = cut(source_targets(sizes, weights, max_rate))
     named = targets.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("rate").alias("_rate"))
     return (
-        docs.withColumn("_size", word_count(F.col(text)))
+        with_draws(docs, key, text, source, seed)
+        .withColumn("_size", word_count(F.col(text)))
         .join(named, F.col(f"`{source}`").eqNullSafe(F.col("_source")))
-        .withColumn("_copies", copies_of(F.col("_rate"), F.col(key), seed))
-        .drop("_source", "_rate")
+        .withColumn("_copies", copies_of(F.col("_rate"), F.col("_draw")))
+        .drop("_source", "_rate", "_draw")
     )
 
 
@@ -92,7 +119,7 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document; a row for each, in no order.
 
     A null text has size 0, a null source is a source of its own. Rows that
-    share a doc_id, or have none, share its draw.
+    share a doc_id, or have none, are drawn one by one.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     plan = mix_plan(docs)

@@ -182,13 +182,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     """Fit on at most ``fit_rows`` labelled rows, those with the smallest hashes of their keys.
 
     ``labels`` has ``key`` and ``toxic`` (0 or 1; null rows are left out). A
-    document with both labels counts as toxic. With one class alone there are no
+    document with both labels counts as toxic. Of rows that share a key one is
+    learned from, that with the smallest hash of its text. With one class alone there are no
     trees, and every score is that class.
     """
     marks = labels.filter(F.col(key).isNotNull() & F.col("toxic").isin(0, 1)).groupBy(key).agg(F.max("toxic").alias("toxic"))
     chosen = hash_sample(marks, F.xxhash64(F.lit(11), key), fit_rows, marks.count())
     # fit_rows rows of two numbers: that is a proven bound for the broadcast
-    sample = cut(docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), key))
+    labelled = docs.select(F.col(f"`{key}`").alias(key), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).join(F.broadcast(chosen), key)
+    # one row a key, however many rows share it
+    sample = cut(labelled.groupBy(key).agg(F.max("toxic").alias("toxic"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")))
     present = {r.toxic for r in sample.select("toxic").distinct().collect()}
     if len(present) < 2:
         return ToxicityModel(Lexicon({}), None, None, float(max(present, default=0)))

@@ -135,8 +135,10 @@ def test_near_duplicates_of_very_long_texts_and_repeated_rows(spark):
     rng = random.Random(41)
     long_text = words(rng, 60_000, 10**6)
     near = list(long_text)
-    for at in rng.sample(range(60_000), 2000):
+    for at in rng.sample(range(60_000), 1200):
         near[at] = "other"
+    sets = [{tuple(w[k : k + 4]) for k in range(len(w) - 3)} for w in (long_text, near)]
+    assert len(sets[0] & sets[1]) > 0.8 * len(sets[0] | sets[1])
     far = [w if rng.random() < 0.9 else "x" for w in long_text]
     rows = [(9, " ".join(long_text)), (4, " ".join(near)), (7, " ".join(far)), (9, " ".join(long_text)), (2, "a b"), (2, "a b")]
     got = sorted((r.doc_id, r.component_id, r.kept) for r in mh.near_duplicates(spark.createDataFrame(rows, DOCS), 4, 80).collect())

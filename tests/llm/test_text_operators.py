@@ -65,6 +65,19 @@ def test_mix_of_odd_rows(spark):
     assert sm.mix_sources(spark.createDataFrame([], schema)).collect() == []
 
 
+def test_sources_of_rows_without_ids_or_with_one_id_come_near_their_targets(spark):
+    rng = random.Random(8)
+    lines = [" ".join("w" * rng.randrange(1, 4) for _ in range(rng.randrange(5, 15))) for _ in range(2000)]
+    rows = [(None, t, "a") for t in lines] + [(7, t, "b") for t in lines] + [(None, "the same text again", "c")] * 2000 + [(k, t, "d") for k, t in enumerate(lines, 10_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    plan = sm.mix_plan(docs)
+    taken = {r.source: (r.taken, r.target) for r in plan.groupBy("source").agg(sm.F.sum(sm.F.col("_copies") * sm.F.col("_size")).alias("taken"), sm.F.first("_target").alias("target")).collect()}
+    for source, (got, target) in taken.items():
+        assert abs(got - target) <= 0.1 * target, source
+    once, again = (sorted((r.text, r.source, r._copies) for r in sm.mix_plan(docs.repartition(n)).collect()) for n in (2, 5))
+    assert once == again and len(once) == len(rows)
+
+
 def brute_stats(text: str | None) -> tuple:
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
