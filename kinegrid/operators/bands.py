@@ -11,13 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import finite, ratio, wilson
-from ..session import checkpointed, running_before
+from ..session import checkpointed
 
 BINS, SIGMA, MIN_EXCURSION, MIN_SUPPORT = 20, 2.0, 0.20, 2
 #: Held-out value of the band over everybody.
 POOLED = "__pooled__"
 #: Places in the order of a bin's values that are looked up together.
 STRETCH = 1024
+#: Share of a cell's sum of squares below which a fold is summed up directly.
+LOST = 1e-4
 
 
 def edge(i: Column, low: Column, high: Column, bins: int) -> Column:
@@ -56,58 +58,94 @@ def _tallied(rows: DataFrame, ranges: DataFrame, bins: int) -> DataFrame:
     return placed.groupBy("range", "low", "high", "bin", "person", "signal").agg(F.count("*").alias("n"))
 
 
+def _placed(tally: DataFrame) -> DataFrame:
+    """``tally`` with below and own_below: how many rows of the cell, and of the person in it, come before in order of signal and person.
+
+    The rows are dealt out in that order once. Counts within a part and of whole
+    parts before it add up, so that no task holds a large cell or person.
+    """
+    cell, own = ["range", "bin"], ["range", "bin", "person"]
+    dealt = checkpointed(tally.repartitionByRange(*cell, "signal").withColumn("_part", F.spark_partition_id()))
+    offsets = dealt.groupBy(*own, "_part").agg(F.sum("n").alias("_n"))
+    parts = offsets.groupBy(*cell, "_part").agg(F.sum("_n").alias("_n"))
+    before = lambda by, order: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c, by, *order: F.coalesce(F.sum(c).over(before(by, order)), F.lit(0))
+    parts = parts.select(*cell, "_part", so_far("_n", cell, "_part").alias("_all"))
+    offsets = offsets.select(*(F.col(c).alias(f"_of_{c}") for c in (*own, "_part")), so_far("_n", own, "_part").alias("_own"))
+    within = dealt.withColumns({"_below": so_far("n", [*cell, "_part"], "signal", "person"), "_own_below": so_far("n", [*own, "_part"], "signal")})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*own, "_part")]
+    placed = within.join(offsets, same).join(parts, [*cell, "_part"])
+    return checkpointed(placed.select(*own, "signal", "n", (F.col("_all") + F.col("_below")).alias("below"), (F.col("_own") + F.col("_own_below")).alias("own_below")))
+
+
 def _bands(tally: DataFrame, folds: DataFrame) -> DataFrame:
     """(held_out, low, high, bin, mean, std, p05, p95, count): the band of each of ``folds`` (range, held_out, low, high) without that person's rows.
 
     Nothing fans out: a fold's sums are those of all less the person's own, and
     its k-th smallest value is the (k + j)-th of all, where j of the person's
     own values come before it. These are the ones with at most k others below.
+
+    Sums are taken about each cell's mean. Where little is left of them without
+    the person, the subtraction has lost digits; that cell's fold is summed up
+    directly. At most two persons of a cell can be so far off.
     """
-    tally = checkpointed(tally)
-    cell = ("range", "bin")
-    every = running_before(tally.groupBy(*cell, "signal").agg(F.sum("n").alias("n")), cell, "signal", "n", "below")
-    every = checkpointed(every)
-    centre = tally.agg(F.avg("signal")).first()[0] or 0.0
-    x = F.col("signal") - F.lit(centre)
-    sums = lambda *by: [F.sum("n").alias(f"{by[0]}n"), F.sum(F.col("n") * x).alias(f"{by[0]}x"), F.sum(F.col("n") * x * x).alias(f"{by[0]}xx")]
-    whole = every.groupBy(*cell).agg(*sums("all_"))
-    mine = tally.join(folds.select("range", F.col("held_out").alias("person")), ["range", "person"]).select("range", "bin", "person", "signal", "n")
-    own = mine.groupBy(*cell, "person").agg(*sums("own_"))
+    cell = ["range", "bin"]
+    rows = _placed(tally)
+    n = F.col("n")
+    centres = rows.groupBy(*cell).agg((F.sum(n * F.col("signal")) / F.sum(n)).alias("centre"))
+    x = F.col("signal") - F.col("centre")
+    sums = lambda by: [F.sum(n).alias(f"{by}_n"), F.sum(n * x).alias(f"{by}_x"), F.sum(n * x * x).alias(f"{by}_xx")]
+    # at most three ranges times the bins
+    own = rows.join(F.broadcast(centres), cell).groupBy(*cell, "person").agg(F.first("centre").alias("centre"), *sums("own"))
+    own = checkpointed(own)
+    whole = own.groupBy(*cell).agg(F.first("centre").alias("centre"), *(F.sum(f"own_{c}").alias(f"all_{c}") for c in ("n", "x", "xx")))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    cells = folds.join(whole, "range").join(own.withColumnRenamed("person", "held_out"), [*cell, "held_out"], "left")
-    left = F.col("all_n") - zero("own_n")
+    cells = folds.join(whole, "range").join(own.drop("centre").withColumnRenamed("person", "held_out"), [*cell, "held_out"], "left")
+    left = {c: F.col(f"all_{c}") - zero(F.col(f"own_{c}")) for c in ("n", "x", "xx")}
     at = lambda p: F.lit(p) * (F.col("count") - 1)
     ranks = {"first": F.lit(0), "last": F.col("count") - 1} | {f"{p}_{e}": f(at(v)) for p, v in (("p05", 0.05), ("p95", 0.95)) for e, f in (("low", F.floor), ("high", F.ceil))}
-    cells = cells.withColumn("count", left).filter("count > 0").select("held_out", "low", "high", *cell, "count", *(F.col(f"all_{c}") - zero(f"own_{c}") if c != "n" else left for c in ("x", "xx")), *(r.cast("long").alias(k) for k, r in ranks.items()))
-    cells = checkpointed(cells.toDF("held_out", "low", "high", *cell, "count", "x", "xx", *ranks))
-
-    others = F.col("below") - F.col("own_below")
-    before = running_before(mine, (*cell, "person"), "signal", "n", "own_below").join(every.select(*cell, "signal", "below"), [*cell, "signal"])
-    asked = cells.select(*cell, "held_out", F.explode(F.array_distinct(F.array(*ranks))).alias("k"))
-    # a person's own values, with how many others lie below each, meet the ranks that are asked of the person's cell
-    steps = before.select(*cell, F.col("person").alias("held_out"), others.alias("others"), "n")
-    counted = asked.join(steps, [*cell, "held_out"], "left").groupBy(*cell, "held_out", "k").agg(zero(F.sum(F.when(F.col("others") <= F.col("k"), F.col("n")))).alias("j"))
+    cells = cells.withColumn("count", left["n"]).filter("count > 0")
+    squares = left["xx"] - left["x"] * left["x"] / F.col("count")
+    lost = zero(F.col("own_n")) > 0, squares <= F.lit(LOST) * F.col("all_xx")
+    cells = checkpointed(
+        cells.select(
+            *cell, "held_out", "low", "high", "count", (F.col("centre") + left["x"] / F.col("count")).alias("mean"), squares.alias("squares"), (lost[0] & lost[1]).alias("lost"), *(r.cast("long").alias(k) for k, r in ranks.items())
+        )
+    )
+    again = cells.filter("lost").select(*cell, "held_out")
+    others = rows.join(F.broadcast(again), cell).filter(~F.col("person").eqNullSafe(F.col("held_out")))  # two a cell
+    by_fold = [*cell, "held_out"]
+    means = others.groupBy(*by_fold).agg((F.sum(n * F.col("signal")) / F.sum(n)).alias("_mean"))
+    far = F.col("signal") - F.col("_mean")
+    exact = others.join(F.broadcast(means), by_fold).groupBy(*by_fold).agg(F.first("_mean").alias("_mean"), F.sum(n * far * far).alias("_squares"))
+
+    # a person's own values, with how many others come before each, and the ranks that are asked of the fold
+    steps = rows.filter("person IS NOT NULL").select(*cell, F.col("person").alias("held_out"), (F.col("below") - F.col("own_below")).alias("others"), "n")
+    asked = cells.select(*by_fold, *ranks)
+    moved = asked.join(steps, by_fold, "left").groupBy(*by_fold).agg(*((F.first(k) + zero(F.sum(F.when(F.col("others") <= F.col(k), n)))).alias(k) for k in ranks))
     # values hold runs of places; runs and places meet in stretches of places
     stretch = lambda c: F.floor(c / STRETCH)
-    runs = every.select(*cell, "signal", "below", "n", F.explode(F.sequence(stretch(F.col("below")), stretch(F.col("below") + F.col("n") - 1))).alias("stretch"))
-    places = counted.select(*cell, (F.col("k") + F.col("j")).alias("place")).distinct().withColumn("stretch", stretch(F.col("place")))
-    found = places.join(runs, [*cell, "stretch"]).filter(F.col("place").between(F.col("below"), F.col("below") + F.col("n") - 1)).select(*cell, "place", F.col("signal").alias("value"))
-    values = counted.withColumn("place", F.col("k") + F.col("j")).join(found, [*cell, "place"]).groupBy(*cell, "held_out").agg(F.map_from_entries(F.collect_list(F.struct("k", "value"))).alias("v"))
-    v = lambda k: F.element_at("v", F.col(k))
-    between = lambda p, share: F.when(F.col(f"{p}_low") == F.col(f"{p}_high"), v(f"{p}_low")).otherwise(v(f"{p}_low") + (v(f"{p}_high") - v(f"{p}_low")) * (at(share) - F.col(f"{p}_low")))
-    flat = v("first") == v("last")
-    mean = F.col("x") / F.col("count")
-    spread = F.sqrt(F.greatest(F.lit(0.0), (F.col("xx") - F.col("x") * mean) / (F.col("count") - 1)))
-    return cells.join(values, [*cell, "held_out"]).select(
-        "held_out",
-        "low",
-        "high",
-        "bin",
-        F.when(flat, v("first")).otherwise(F.lit(centre) + mean).alias("mean"),
-        F.when(F.col("count") > 1, F.when(flat, F.lit(0.0)).otherwise(spread)).alias("std"),
-        between("p05", 0.05).alias("p05"),
-        between("p95", 0.95).alias("p95"),
-        "count",
+    runs = rows.select(*cell, "signal", "below", "n", F.explode(F.sequence(stretch(F.col("below")), stretch(F.col("below") + n - 1))).alias("stretch"))
+    places = moved.select(*by_fold, F.inline(F.array(*(F.struct(F.lit(k).alias("rank"), F.col(k).alias("place")) for k in ranks)))).withColumn("stretch", stretch(F.col("place")))
+    found = places.join(runs, [*cell, "stretch"]).filter(F.col("place").between(F.col("below"), F.col("below") + n - 1))
+    values = found.groupBy(*by_fold).agg(*(F.max(F.when(F.col("rank") == k, F.col("signal"))).alias(f"_{k}") for k in ranks))
+    between = lambda p, share: F.when(F.col(f"{p}_low") == F.col(f"{p}_high"), F.col(f"_{p}_low")).otherwise(F.col(f"_{p}_low") + (F.col(f"_{p}_high") - F.col(f"_{p}_low")) * (at(share) - F.col(f"{p}_low")))
+    flat = F.col("_first") == F.col("_last")
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.coalesce("_squares", "squares") / (F.col("count") - 1)))
+    return (
+        cells.join(values, by_fold)
+        .join(F.broadcast(exact), by_fold, "left")
+        .select(
+            "held_out",
+            "low",
+            "high",
+            "bin",
+            F.when(flat, F.col("_first")).otherwise(F.coalesce("_mean", "mean")).alias("mean"),
+            F.when(F.col("count") > 1, F.when(flat, F.lit(0.0)).otherwise(spread)).alias("std"),
+            between("p05", 0.05).alias("p05"),
+            between("p95", 0.95).alias("p95"),
+            "count",
+        )
     )
 
 
@@ -137,6 +175,8 @@ def fit_loso(reps: DataFrame, bins: int = BINS, min_excursion: float = MIN_EXCUR
     if len(lows) == 2:
         for person in dict.fromkeys((lows[0].person, highs[0].person)):
             spans[person] = (lows[person == lows[0].person].low, highs[person == highs[0].person].high)
+    # a person without whom the range stays the same belongs to the range of all
+    spans = {p: span for p, span in spans.items() if p is None or span != spans[None]}
     kind = per.schema["person"].dataType
     schema = f"range int, special {kind.simpleString()}, low double, high double"
     ranges = rows.sparkSession.createDataFrame([(k, p, *span) for k, (p, span) in enumerate(spans.items())], schema)

@@ -370,6 +370,27 @@ def test_bands_without_one_person_equal_brute_force(spark, monkeypatch):
     assert pooled[0] == pytest.approx((s.mean(), np.percentile(s, 5), len(s)))
 
 
+def test_spreads_far_from_zero_and_without_a_far_person(spark):
+    """Bins at unlike heights, and one person far above all others: no digits are lost."""
+    rng = np.random.default_rng(12)
+    rows = [(f"p{k % 5}", float(k % 10) + 0.5, 1e6 * (k % 10) + float(rng.normal(0, 0.01))) for k in range(1500)]
+    rows += [("far", float(k % 10) + 0.5, 1e9 + float(rng.normal(0, 0.01))) for k in range(40)]
+    rows += [("p0", 0.2, 0.0), ("p1", 10.4, 9e6)]
+    near = [r for r in rows if r[0] != "far"]
+    e, s = np.array([r[1:] for r in near]).T
+    pooled = {r.bin: r for r in bands.fit_pooled(spark.createDataFrame(near, "person string, excursion double, signal double"), 10).collect()}
+    for b in range(10):
+        v = s[np.clip(np.searchsorted(np.linspace(0.2, 10.4, 11), e, "right") - 1, 0, 9) == b]
+        assert (pooled[b].mean, pooled[b].std) == pytest.approx((v.mean(), v.std(ddof=1)), rel=1e-6)
+    loso = {(r.held_out, r.bin): r for r in bands.fit_loso(spark.createDataFrame(rows, "person string, excursion double, signal double"), 10).collect()}
+    for person in {r[0] for r in rows}:
+        e, s = np.array([r[1:] for r in rows if r[0] != person]).T
+        place = np.clip(np.searchsorted(np.linspace(e.min(), e.max(), 11), e, "right") - 1, 0, 9)
+        for b in range(10):
+            v = s[place == b]
+            assert (loso[person, b].mean, loso[person, b].std) == pytest.approx((v.mean(), v.std(ddof=1)), rel=1e-6), (person, b)
+
+
 def test_loso_folds_of_many_groups(spark):
     rows = spark.range(3000).select(F.col("id"), F.col("id").alias("g"))
     assert evaluate.loso_folds(rows, "g").filter("split = 'test'").count() == 3000
