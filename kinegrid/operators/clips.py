@@ -7,6 +7,7 @@ side if it is small.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -189,6 +190,13 @@ def fit_line(x: np.ndarray, y: np.ndarray, draws: np.ndarray, within: float = 3.
     return float(line[0]), float(line[1]), float(np.mean(chosen))
 
 
+def consensus_line(x: np.ndarray, y: np.ndarray, trials: int = 200, within: float = 3.0, least: int = 8, seed: int = 0) -> tuple[float, float, float]:
+    """``fit_line`` of a few points, with the draws that ``drawn`` makes for as many."""
+    order = np.lexsort((y, x))
+    place = lambda t, end: int(hashlib.md5(f"{seed}:{t}:{end}".encode()).hexdigest()[:12], 16) % len(x)
+    return fit_line(x[order], y[order], np.array([(place(t, "i"), place(t, "j")) for t in range(trials)]), within, least)
+
+
 def drawn(sizes: DataFrame, trials: int = 200, seed: int = 0) -> DataFrame:
     """(entity, trial, i, j): two places for each trial, from a hash of seed, trial and end, in clips of ``n_points`` points."""
     place = lambda end: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "trial", F.lit(end))), 1, 12), 16, 10).cast("long") % F.col("n_points")

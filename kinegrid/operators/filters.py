@@ -1,7 +1,7 @@
 """The One Euro filter, a smoother whose cutoff follows the speed of the signal.
 
-Each output depends on the one before, so a series is filtered as a whole, in
-one grouped Arrow function.
+Each output depends on the one before, so a series streams in order through one
+task, which holds two numbers of it.
 """
 
 from __future__ import annotations
@@ -9,9 +9,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .ordered import in_order
 from .series import FRAME, KEY, VALUE
 
 MIN_CUTOFF, BETA, D_CUTOFF = 1.0, 0.007, 1.0
@@ -22,39 +25,52 @@ def alpha(cutoff: float, dt: float) -> float:
     return 1.0 / (1.0 + 1.0 / (2.0 * math.pi * cutoff) / dt)
 
 
-def one_euro_pass(x: np.ndarray, fps: float, min_cutoff: float = MIN_CUTOFF, beta: float = BETA, d_cutoff: float = D_CUTOFF) -> np.ndarray:
-    """One pass forward. A missing sample stays missing, and the filter starts anew after it."""
-    out, dt = np.full(len(x), np.nan), 1.0 / fps
-    smooth = slope = None
-    slow = alpha(d_cutoff, dt)
-    for k, v in enumerate(x):
-        if not math.isfinite(v):
-            smooth = None
-            continue
-        if smooth is None:
-            smooth, slope = v, 0.0
-        else:
-            slope = slow * (v - smooth) / dt + (1 - slow) * slope
-            a = alpha(min_cutoff + beta * abs(slope), dt)
-            smooth = a * v + (1 - a) * smooth
-        out[k] = smooth
-    return out
+class OneEuro:
+    """The filter at some point of a series. A missing sample stays missing, and the filter starts anew after it."""
+
+    def __init__(self, fps: float, min_cutoff: float = MIN_CUTOFF, beta: float = BETA, d_cutoff: float = D_CUTOFF):
+        self.dt, self.min_cutoff, self.beta = 1.0 / fps, min_cutoff, beta
+        self.slow = alpha(d_cutoff, self.dt)
+        self.smooth: float | None = None
+        self.slope = 0.0
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        """The next samples, filtered."""
+        out, dt, smooth, slope = np.full(len(x), np.nan), self.dt, self.smooth, self.slope
+        for k, v in enumerate(x.tolist()):
+            if not math.isfinite(v):
+                smooth = None
+                continue
+            if smooth is None:
+                smooth, slope = v, 0.0
+            else:
+                slope = self.slow * (v - smooth) / dt + (1 - self.slow) * slope
+                a = alpha(self.min_cutoff + self.beta * abs(slope), dt)
+                smooth = a * v + (1 - a) * smooth
+            out[k] = smooth
+        self.smooth, self.slope = smooth, slope
+        return out
 
 
 def one_euro(x: np.ndarray, fps: float, zero_phase: bool = False, **parameters: float) -> np.ndarray:
     """Forward, and with ``zero_phase`` backward over the result, so that nothing lags."""
-    out = one_euro_pass(np.asarray(x, float), fps, **parameters)
-    return one_euro_pass(out[::-1], fps, **parameters)[::-1] if zero_phase else out
+    out = OneEuro(fps, **parameters)(np.asarray(x, float))
+    return OneEuro(fps, **parameters)(out[::-1])[::-1] if zero_phase else out
 
 
 def smooth_series(rows: DataFrame, fps: float, zero_phase: bool = False, value: str = VALUE, out: str = "smooth", **parameters: float) -> DataFrame:
-    """(entity, frame, value, smooth) with each series filtered in order of frames."""
+    """(entity, frame, value, smooth) with each series filtered in order of frames; with ``zero_phase`` a second pass reads them backward."""
+    selected = rows.select(KEY, FRAME, value)
+    schema = StructType([*selected.schema, StructField(out, DoubleType())])
 
-    def run(series: pd.DataFrame) -> pd.DataFrame:
-        series = series.sort_values(FRAME)
-        filtered = one_euro(series[value].to_numpy(float), fps, zero_phase, **parameters)
-        return series.assign(**{out: pd.array(filtered, "Float64").__class__(filtered, ~np.isfinite(filtered))})
+    def over(column: str):
+        def step(state: OneEuro | None, part: pa.RecordBatch) -> tuple[OneEuro, pa.RecordBatch]:
+            state = state or OneEuro(fps, **parameters)
+            samples = part.column(column).cast(pa.float64()).to_numpy(zero_copy_only=False)
+            filtered = state(samples)
+            return state, pa.RecordBatch.from_arrays([*(part.column(c) for c in schema.names[:-1]), pa.array(filtered, mask=~np.isfinite(filtered))], schema.names)
 
-    selected = rows.select(KEY, FRAME, value)
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in selected.schema)
-    return selected.groupBy(KEY).applyInPandas(run, f"{kinds}, {out} double")
+        return step
+
+    forward = in_order(selected, (KEY,), (FRAME,), over(value), schema)
+    return in_order(forward, (KEY,), (F.col(FRAME).desc(),), over(out), schema) if zero_phase else forward

@@ -29,27 +29,65 @@ def local_maxima(x: np.ndarray) -> np.ndarray:
 
 
 def far_apart(peaks: np.ndarray, heights: np.ndarray, distance: int) -> np.ndarray:
-    """The peaks that stay if, from the highest down, each removes those nearer than ``distance``."""
-    keep = np.ones(len(peaks), bool)
-    for k in np.argsort(heights, kind="stable")[::-1]:
-        if keep[k]:
-            near = np.abs(peaks - peaks[k]) < distance
-            near[k] = False
-            keep &= ~near
-    return peaks[keep]
+    """The peaks that stay if, from the highest down, each removes those nearer than ``distance``.
+
+    The peaks that are left form a chain, so each is met once when it goes.
+    """
+    at, n = peaks.tolist(), len(peaks)
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    keep = [True] * n
+    for k in np.argsort(heights, kind="stable")[::-1].tolist():
+        if not keep[k]:
+            continue
+        left, right = before[k], after[k]
+        while left >= 0 and at[k] - at[left] < distance:
+            keep[left] = False
+            left = before[left]
+        while right < n and at[right] - at[k] < distance:
+            keep[right] = False
+            right = after[right]
+        before[k], after[k] = left, right
+        if left >= 0:
+            after[left] = k
+        if right < n:
+            before[right] = k
+    return peaks[np.array(keep, bool)]
+
+
+def _left_bases(tops: list[float], valleys: list[float]) -> list[float]:
+    """For each top the lowest sample between it and the last higher top before it, or the start.
+
+    ``valleys[k]`` is the lowest sample between tops k - 1 and k. The stack
+    holds the tops that no later one has passed, each with its own base.
+    """
+    out: list[float] = []
+    stack: list[tuple[float, float]] = []
+    for top, valley in zip(tops, valleys, strict=True):
+        base = min(top, valley)
+        while stack and stack[-1][0] <= top:
+            base = min(base, stack.pop()[1])
+        stack.append((top, base))
+        out.append(base)
+    return out
 
 
 def prominences(x: np.ndarray, peaks: np.ndarray) -> np.ndarray:
-    """Height of each peak over the higher of the lowest points on either side, up to a higher sample or the end."""
-    out = np.zeros(len(peaks))
-    for k, p in enumerate(peaks):
-        higher = np.flatnonzero(x > x[p])
-        left = higher[higher < p]
-        right = higher[higher > p]
-        low = left[-1] + 1 if len(left) else 0
-        high = right[0] if len(right) else len(x)
-        out[k] = x[p] - max(x[low : p + 1].min(), x[p:high].min())
-    return out
+    """Height of each peak over the higher of the lowest points on either side, up to a higher sample or the end.
+
+    Between a peak and the nearest higher sample the series has no other
+    maximum as high, so the local maxima and the lowest samples between them
+    tell all; they are passed twice.
+    """
+    if not len(peaks):
+        return np.zeros(0)
+    tops = np.unique(np.concatenate([[0], local_maxima(x), peaks, [len(x) - 1]]))
+    valleys = np.minimum.reduceat(x, tops)  # from each top to the next
+    valleys[:-1] = np.minimum(valleys[:-1], x[tops[1:]])
+    heights, between = x[tops].tolist(), valleys[:-1].tolist()
+    left = _left_bases(heights, [heights[0], *between])
+    right = _left_bases(heights[::-1], [heights[-1], *between[::-1]])[::-1]
+    base = np.maximum(left, right)[np.searchsorted(tops, peaks)]
+    return x[peaks] - base
 
 
 def find_peaks(x: np.ndarray, distance: int, prominence: float) -> np.ndarray:
@@ -77,11 +115,12 @@ def reps_of(x: np.ndarray, fps: float, distance_s: float = MIN_DISTANCE_S, fract
     if not len(known):
         return
     filled = np.interp(np.arange(len(x)), known, smooth[known])
+    slope = np.diff(filled)
+    falls, rises = np.flatnonzero(slope < 0), np.flatnonzero(slope > 0)
     for peak in find_peaks(filled, max(1, int(np.rint(distance_s * fps))), limit):
-        rising = np.flatnonzero(filled[:peak] > filled[1 : peak + 1])
-        falling = np.flatnonzero(filled[peak + 1 :] > filled[peak:-1])
-        start = int(rising[-1]) + 1 if len(rising) else 0
-        end = int(peak + falling[0]) if len(falling) else len(x) - 1
+        fallen, risen = np.searchsorted(falls, peak), np.searchsorted(rises, peak)
+        start = int(falls[fallen - 1]) + 1 if fallen else 0  # after the last fall before the peak
+        end = int(rises[risen]) if risen < len(rises) else len(x) - 1  # where the first rise after it begins
         if end > start:
             yield start, int(peak), end, float(filled[peak])
 

@@ -6,13 +6,18 @@ serves every operator applied to a series in turn.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import WindowSpec
 
+from ..functions.ranks import Ranked, spread
 from ..functions.stats import finite
+from .ordered import in_order
 
 KEY, FRAME, VALUE = "entity", "frame", "value"
 
@@ -161,12 +166,51 @@ def walk_to_minima(rows: DataFrame, value: str = VALUE) -> DataFrame:
 
 
 def rolling_range(rows: DataFrame, seconds: float, at: str = "t", value: str = VALUE, least: int = 8) -> DataFrame:
-    """Spread between the floor-index 5th and 95th percentiles of the last ``seconds``; 0 below ``least`` samples."""
-    window = Window.partitionBy(KEY).orderBy(at).rangeBetween(-seconds, 0)
-    gathered = rows.withColumn("_w", F.sort_array(F.filter(F.collect_list(value).over(window), lambda v: v.isNotNull())))
-    n = F.size("_w")
-    index = lambda p: F.floor((n - 1) * F.lit(p)).cast("int")
-    return gathered.withColumn("range", F.when(n < least, F.lit(0.0)).otherwise(F.get("_w", index(0.95)) - F.get("_w", index(0.05)))).drop("_w")
+    """Spread between the floor-index 5th and 95th percentiles of the last ``seconds``; 0 below ``least`` samples.
+
+    Samples of one time see each other. A series streams in order through one
+    task, which holds the window's values in order: each comes and goes once,
+    and no row sorts its window anew. Missing samples count for nothing.
+    """
+    out = StructType([f for f in rows.schema if f.name != "range"] + [StructField("range", DoubleType())])
+    kept = out.names[:-1]
+
+    def ranges(ranked: Ranked, window: deque, part: pa.RecordBatch) -> pa.RecordBatch:
+        """The rows of ``part``, whose last time is complete, with their ranges."""
+        times, values, found, first = part.column(at).to_pylist(), part.column(value).to_pylist(), [], 0
+        for k, t in enumerate(times):
+            if values[k] is not None and values[k] == values[k]:
+                window.append((t, values[k]))
+                ranked.add(values[k])
+            if k + 1 < len(times) and times[k + 1] == t:
+                continue
+            while window and window[0][0] < t - seconds:
+                ranked.remove(window.popleft()[1])
+            found += [spread(ranked, least)] * (k + 1 - first)
+            first = k + 1
+        return pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(found, pa.float64())], out.names)
+
+    def whole(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+    def step(state: tuple | None, part: pa.RecordBatch) -> tuple[tuple, pa.RecordBatch | None]:
+        ranked, window, held = state or (Ranked(), deque(), [])
+        times = part.column(at)
+        last = times[-1].as_py()
+        if times[0].as_py() == last and (not held or held[0].column(at)[0].as_py() == last):
+            return (ranked, window, [*held, part]), None
+        both = whole([*held, part])
+        times = both.column(at).to_pylist()
+        done = len(times) - 1
+        while times[done - 1] == last:  # more samples of the last time may come
+            done -= 1
+        return (ranked, window, [both.slice(done)]), ranges(ranked, window, both.slice(0, done))
+
+    def finish(state: tuple) -> pa.RecordBatch:
+        ranked, window, held = state
+        return ranges(ranked, window, whole(held))
+
+    return in_order(rows.select(*kept).filter(F.col(at).isNotNull()), (KEY,), (at,), step, out, finish)
 
 
 def static_frames(rows: DataFrame, joints: str = "joints", threshold: float = 0.005) -> DataFrame:

@@ -96,13 +96,13 @@ def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-def _window() -> Column:
+def mask_place() -> Column:
     hip = F.lit(20.0) + F.col("vec_id") % 7 * 0.5
     return silhouette.window(hip, F.when(F.col("vec_id") % 2 == 0, 1.0).otherwise(-1.0), F.lit(80.0), silhouette.LUMBAR, F.lit(64))
 
 
 def silhouette_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = masks(spark, sf_dir).withColumn("w", _window())
+    rows = masks(spark, sf_dir).withColumn("w", mask_place())
     s = silhouette.band_signal(F.col("bottom"), F.lit(0.05), F.lit(118.0), F.col("w"), F.lit(80.0))
     return rows.withColumn("s", s).select("vec_id", F.col("w.x0").alias("x0"), F.col("w.x1").alias("x1"), rounded(F.col("s.area") + NUDGE).alias("area"), rounded(F.col("s.peak") + NUDGE).alias("peak"), "s.width")
 
@@ -115,7 +115,7 @@ def silhouette_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def silhouette_perturb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = masks(spark, sf_dir).withColumn("w", _window())
+    rows = masks(spark, sf_dir).withColumn("w", mask_place())
     lift = F.col("vec_id") % 5 * 1.0
     return rows.select("vec_id", F.posexplode(silhouette.lifted(F.col("bottom"), F.col("w"), lift)).alias("x", "y")).select("vec_id", "x", rounded("y").alias("y"))
 
@@ -173,7 +173,7 @@ _BONES = "[x[k + 1] - x[{p}[k + 1] + 1] FOR k IN range(1, 17)] AS bx, [y[k + 1]
 _ANGLES = f"""[abs(atan2(
     (x[t[1] + 1] - x[t[2] + 1]) * (y[t[3] + 1] - y[t[2] + 1]) - (y[t[1] + 1] - y[t[2] + 1]) * (x[t[3] + 1] - x[t[2] + 1]),
     (x[t[1] + 1] - x[t[2] + 1]) * (x[t[3] + 1] - x[t[2] + 1]) + (y[t[1] + 1] - y[t[2] + 1]) * (y[t[3] + 1] - y[t[2] + 1]))) FOR t IN {_TRIPLES}] AS a"""
-_M = """masks AS (
+MASKS_SQL = """masks AS (
   SELECT label AS entity, vec_id, [CASE WHEN v > -0.15::FLOAT THEN round_even(v::DOUBLE * 100 + 100, 3) END FOR v IN embedding] AS bottom FROM embeddings),
 ends AS (
   SELECT *, round_even(20 + vec_id % 7 * 0.5::DOUBLE, 0) AS e0, round_even(20 + vec_id % 7 * 0.5::DOUBLE + 0.35::DOUBLE * 80 * CASE WHEN vec_id % 2 = 0 THEN 1 ELSE -1 END, 0) AS e1 FROM masks),
@@ -221,7 +221,7 @@ FROM (SELECT vec_id, torso, sqrt((x[11] - x[16]) ** 2 + (y[11] - y[16]) ** 2) AS
   array_to_string(list_filter([CASE WHEN cv > 0.1 THEN 'camera moves' END, CASE WHEN s >= 0.12 THEN 'not a side view' END], lambda w: w IS NOT NULL), '; ') AS warnings
 FROM (SELECT entity, count(*) AS n_frames, stddev_pop(torso) / avg(torso) AS cv, median(hips / torso) AS s,
   avg((len(list_filter(x || y, lambda v: isfinite(v))) > 0)::INT) AS seen FROM lengths GROUP BY entity)""", _T),
-    "silhouette_gap": f"""WITH {_M},
+    "silhouette_gap": f"""WITH {MASKS_SQL},
 gaps AS (SELECT vec_id, x0, x1, [coalesce(greatest(0, 0.05::DOUBLE * k + 118 - bottom[k + 1]), 0) FOR k IN range(x0, x1)] AS g FROM placed)
 SELECT vec_id, x0, x1, round_even(coalesce(list_sum(g), 0) / 6400 + 1e-9, 6) AS area, round_even(coalesce(list_max(g), 0) / 80 + 1e-9, 6) AS peak, len(g)::INT AS width FROM gaps""",
     "silhouette_boundary": """WITH pixels AS (
@@ -229,12 +229,12 @@ SELECT vec_id, x0, x1, round_even(coalesce(list_sum(g), 0) / 6400 + 1e-9, 6) AS
 tops AS (SELECT entity, frame, x, max(y)::DOUBLE AS y FROM pixels GROUP BY ALL),
 grid AS (SELECT entity, frame, unnest(range(52))::INT AS x FROM (SELECT DISTINCT entity, frame FROM pixels))
 SELECT g.entity, g.frame, g.x, t.y FROM grid g LEFT JOIN tops t ON t.entity = g.entity AND t.frame = g.frame AND t.x = g.x""",
-    "silhouette_perturb": f"""WITH {_M}
+    "silhouette_perturb": f"""WITH {MASKS_SQL}
 SELECT vec_id, k::INT AS x, round_even(CASE WHEN k >= x0 AND k < x1 THEN bottom[k + 1] - vec_id % 5 ELSE bottom[k + 1] END, 6) AS y FROM (SELECT *, unnest(range(64)) AS k FROM placed)""",
-    "floor_percentile": f"""WITH {_M}{_FLOOR}
+    "floor_percentile": f"""WITH {MASKS_SQL}{_FLOOR}
 SELECT h.entity, 0.0::DOUBLE AS a, round_even(any_value(b), 6) AS b, round_even(avg((abs(y - b) <= 3)::INT), 6) AS inlier_ratio, count(*) AS n_points
 FROM high h JOIN level USING (entity) GROUP BY h.entity""",
-    "floor_ransac": f"""WITH {_M}{_FLOOR},
+    "floor_ransac": f"""WITH {MASKS_SQL}{_FLOOR},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY x, y) - 1 AS r FROM high),
 sizes AS (SELECT entity, count(*) AS n, quantile_cont(y, 0.5) AS middle FROM high GROUP BY entity),
 draws AS (

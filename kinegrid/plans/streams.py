@@ -1,22 +1,31 @@
-"""Streams of events as samples of sessions; hours take the place of seconds."""
+"""Streams of events as samples of sessions; hours take the place of seconds. Streams of embeddings as frames."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from ..functions import pose
+from ..functions.stats import rounded
 from ..session import checkpoint_dir
+from ..streaming import buffered
 from ..streaming import queries as q
 from ..streaming.counter import CounterRules
+from ..streaming.engine import Engine, EngineRules
+from ..streaming.machines import Counting, Judging, Machine
 from ..streaming.session import SessionRules
-from .tables import load
+from .poses import MASKS_SQL, L, mask_place, masks
+from .tables import NUDGE, POSES_SQL, load, poses
 
 HOUR = 3600.0
+DAY = 24 * HOUR
 #: Events of a user can be months apart.
-IDLE = 400 * 24 * HOUR
+IDLE = 400 * DAY
+#: How late a sample may come, and in how many files they all do.
+LATE, FILES = 3 * DAY, 4
 COUNTING = CounterRules(range_window=120 * HOUR, trough_window=60 * HOUR, refractory=HOUR, slowest_rise=90 * HOUR)
 JUDGING = SessionRules(setup_s=24 * HOUR, setup_samples=4, memory_s=240 * HOUR, counter=COUNTING)
 
@@ -34,22 +43,78 @@ def samples(events: DataFrame) -> DataFrame:
     )
 
 
-def _streamed(spark: SparkSession, sf_dir: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Run a stream over the files of events until it has taken them all, and read what it wrote."""
-    schema = load(spark, sf_dir, "events").schema
-    stream = samples(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+def arrivals(rows: DataFrame, folder: str, late_s: float, files: int, end_s: float) -> None:
+    """Write samples as files in the order in which they arrive: each up to ``late_s`` after its time, so that no file is in order.
+
+    A last file tells that time has gone on by ``end_s``.
+    """
+    at = F.unix_micros("ts") + F.pmod(F.xxhash64("session", "frame"), F.lit(int(late_s * 1e6)))
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    part = F.least(F.floor((at - F.lit(low)) / F.lit(max((high or 0) - (low or 0), 1) / files)), F.lit(files - 1))
+    rows.withColumn("part", part.cast("int")).write.partitionBy("part").parquet(f"{folder}/dealt")
+    dealt = rows.sparkSession.read.schema(StructType([*rows.schema, StructField("part", IntegerType())])).parquet(f"{folder}/dealt")
+    for k in range(files):  # one after the other, as a file's age is its place in the stream
+        dealt.filter(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != "ts" else F.timestamp_micros(F.lit((high or 0) + int(end_s * 1e6))).alias("ts") for f in rows.schema]
+    rows.sparkSession.range(1).coalesce(1).select(*empty).write.mode("append").parquet(f"{folder}/in")
+
+
+def streamed(rows: DataFrame, machine: Machine, late_s: float, files: int, idle_s: float) -> tuple[DataFrame, str]:
+    """The events of a stream over the samples, which arrive out of order, several files one after the other."""
+    spark = rows.sparkSession
     root = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    sink = make(stream).writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
-    sink.start(f"{root}/rows").awaitTermination()
-    return spark.read.parquet(f"{root}/rows")
+    arrivals(rows, root, late_s, files, 2 * (idle_s + late_s) + buffered.GRACE_S)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    found = buffered.session_events(stream, machine, late_s, idle_s)
+    sink = found.writeStream.foreachBatch(buffered.upsert_to(f"{root}/events")).option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
+    sink.start().awaitTermination()
+    return spark.read.schema(f"{buffered.EVENTS}, batch long").parquet(f"{root}/events"), root
+
+
+def _events(spark: SparkSession, sf_dir: str, machine: Machine) -> DataFrame:
+    return streamed(samples(load(spark, sf_dir, "events")), machine, LATE, FILES, IDLE)[0]
 
 
 def stream_rep_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, sf_dir, lambda s: q.count_reps(s, COUNTING, "30 days", IDLE))
+    """Repetitions from samples that arrive up to three days late, in several files."""
+    machine = Counting(COUNTING)
+    return buffered.rows_of(_events(spark, sf_dir, machine), machine)
 
 
 def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, sf_dir, lambda s: q.judge_sessions(s, JUDGING, "30 days", IDLE)).withColumn("errors", F.array_join("errors", ";"))
+    machine = Judging(JUDGING)
+    return buffered.rows_of(_events(spark, sf_dir, machine), machine).withColumn("errors", F.array_join("errors", ";"))
+
+
+def stream_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports that sessions give when they end, each of the last batch that told it."""
+    told = buffered.upserted(_events(spark, sf_dir, Judging(JUDGING)).filter(F.col("kind") == buffered.REPORT), "session")
+    reports = buffered.reports_of(told).filter("total_reps > 0")
+    return reports.select("session", "total_reps", "correct_reps", F.bround("accuracy", 6).alias("accuracy"), F.nullif(F.to_json("error_counts"), F.lit("{}")).alias("error_counts"))
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An embedding as a frame of its label: silhouette, the window of its gap, and the proxy of rotation; one frame a second, some without a silhouette."""
+    shown = masks(spark, sf_dir).withColumn("w", mask_place()).select("vec_id", "bottom", "w")
+    both = poses(spark, sf_dir).join(shown, "vec_id")
+    return both.select(
+        F.col("entity").cast("string").alias("session"),
+        "frame",
+        F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("frame") * 1_000_000).alias("ts"),
+        F.when(F.col("vec_id") % 10 != 0, F.col("bottom")).alias("bottom"),
+        F.col("w.x0").alias("x0"),
+        F.col("w.x1").alias("x1"),
+        F.lit(80.0).alias("torso"),
+        pose.hip_ratio(F.col("lm"), L, 1e-9).alias("proxy"),
+    )
+
+
+def stream_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gap and rotation of every frame, measured against what its session calibrated on its first frames."""
+    machine = Engine(EngineRules())
+    found, _ = streamed(frames(spark, sf_dir), machine, 20.0, FILES, DAY)
+    rows = buffered.rows_of(found, machine)
+    return rows.select("session", "frame", rounded(F.col("gap") + NUDGE).alias("gap"), rounded(F.col("turn") + NUDGE).alias("turn"), "floor_ready")
 
 
 def replay_rep_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +141,26 @@ def stream_increasing_ms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.increasing_ms(e).select("session", "frame", "ms")
 
 
-QUERIES = {f.__name__: f for f in (stream_rep_counter, stream_session, replay_rep_counter, session_report, stream_cooldown, stream_changes, stream_increasing_ms)}
+QUERIES = {f.__name__: f for f in (stream_rep_counter, stream_session, stream_report, stream_frames, replay_rep_counter, session_report, stream_cooldown, stream_changes, stream_increasing_ms)}
 ORACLES = {
+    "stream_frames": f"""WITH {POSES_SQL},
+{MASKS_SQL},
+told AS (
+  SELECT p.entity, p.frame, p.vec_id % 10 <> 0 AS masked, sqrt((x[12] - x[13]) ** 2 + (y[12] - y[13]) ** 2) AS hips,
+    sqrt(((x[6] + x[7]) / 2 - (x[12] + x[13]) / 2) ** 2 + ((y[6] + y[7]) / 2 - (y[12] + y[13]) / 2) ** 2) AS torso, bottom, x0, x1
+  FROM poses p JOIN placed m ON m.vec_id = p.vec_id),
+proxied AS (SELECT *, CASE WHEN masked AND torso > 1e-9 THEN hips / torso END AS proxy FROM told),
+numbered AS (
+  SELECT *, count(*) FILTER (masked) OVER w AS n_masks, count(proxy) OVER w AS n_proxies FROM proxied
+  WINDOW w AS (PARTITION BY entity ORDER BY frame ROWS UNBOUNDED PRECEDING)),
+points AS (SELECT entity, unnest(bottom) AS y FROM numbered WHERE masked AND n_masks <= 15),
+cuts AS (SELECT entity, quantile_cont(y, 0.8) AS cut FROM points WHERE y IS NOT NULL GROUP BY entity),
+floors AS (SELECT p.entity, quantile_cont(y, 0.95) AS b FROM points p JOIN cuts c ON c.entity = p.entity AND y >= cut GROUP BY p.entity),
+rests AS (SELECT entity, median(proxy) AS rest FROM numbered WHERE proxy IS NOT NULL AND n_proxies <= 15 GROUP BY entity HAVING count(*) = 15)
+SELECT n.entity::VARCHAR AS session, n.frame,
+  CASE WHEN masked AND n_masks >= 15 THEN round_even(coalesce(list_sum([coalesce(greatest(0, b - bottom[k + 1]), 0) FOR k IN range(x0, x1)]), 0) / 6400 + 1e-9, 6) END AS gap,
+  CASE WHEN proxy IS NOT NULL AND n_proxies > 15 THEN round_even(proxy - rest + 1e-9, 6) END AS turn, n_masks >= 15 AS floor_ready
+FROM numbered n LEFT JOIN floors f ON f.entity = n.entity LEFT JOIN rests r ON r.entity = n.entity""",
     "stream_cooldown": """WITH RECURSIVE e AS (SELECT DISTINCT user_id AS session, event_type AS key, floor(epoch(ts))::DOUBLE AS t FROM events),
 said AS (
   SELECT session, key, min(t) AS t FROM e GROUP BY ALL

@@ -1,145 +1,69 @@
 """The state machines as Structured Streaming queries and as batch replays.
 
 Samples are rows (session, frame, ts, right, left, gap, turn), and may have a
-``control`` ("reset" or "stop") in place of a sample. A batch may bring
-the rows of a session in any order, so each call sorts its own; the watermark
-bounds how late a sample may be. The replay applies the same transition to a
-whole session, and is what the stream is tested against.
+``control`` ("reset" or "stop") in place of a sample. They may arrive in any
+order within the delay; the stream holds them back until the watermark has
+passed (``buffered``). The replay applies the same machine to whole sessions in
+order, batch by batch, and is what the stream is tested against.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterable, Iterator
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from .counter import CounterRules, DualState, advance_dual
-from .session import SessionRules, SessionState, step
-
-SAMPLES = "session string, frame long, ts timestamp, right double, left double, gap double, turn double"
-REPS = "session string, side string, rep_index long, alternation_broken boolean, start long, peak long, end long, start_s double, peak_s double, end_s double, amplitude double"
-VERDICTS = REPS + ", gap_peak double, turn_peak double, t_extend_s double, phase string, errors array<string>"
-_STATE = "data string, last double, late long, stopped boolean"
-#: Seconds of event time after a session's last sample at which its state goes.
-IDLE_S = 24 * 3600.0
-#: What a sample's ``control`` may say: forget all that was seen, or take no more samples.
-RESET, STOP = "reset", "stop"
-
-
-def _names(schema: str) -> list[str]:
-    return [c.split()[0] for c in schema.split(", ")]
-
-
-def _none(v: float) -> float | None:
-    return None if v is None or v != v else float(v)
-
-
-def _rows(rows: pd.DataFrame) -> Iterator[tuple[str | None, tuple]]:
-    """(control, sample) of each row; a row with a control has no sample, and ``control`` may be missing altogether."""
-    seconds = rows["ts"].astype("datetime64[us]").astype("int64") / 1e6
-    for r, now in zip(rows.itertuples(index=False), seconds, strict=True):
-        yield getattr(r, "control", None), (int(r.frame), float(now), _none(r.right), _none(r.left), _none(r.gap), _none(r.turn))
-
-
-class _Counting:
-    schema = REPS
-
-    def __init__(self, rules: CounterRules):
-        self.rules = rules
-
-    def load(self, text: str | None) -> DualState:
-        return DualState.from_dict(json.loads(text)) if text else DualState()
-
-    def feed(self, state: DualState, sample: tuple) -> list[dict]:
-        frame, now, right, left, _, _ = sample
-        return advance_dual(state, self.rules, {"R": right, "L": left}, frame, now)
-
-
-class _Judging:
-    schema = VERDICTS
-
-    def __init__(self, rules: SessionRules):
-        self.rules = rules
-
-    def load(self, text: str | None) -> SessionState:
-        return SessionState.from_dict(json.loads(text)) if text else SessionState()
-
-    def feed(self, state: SessionState, sample: tuple) -> list[dict]:
-        return step(state, self.rules, *sample)
-
-
-def _frame(session: str, found: list[dict], schema: str) -> pd.DataFrame:
-    return pd.DataFrame([{"session": session, **f} for f in found], columns=_names(schema))
-
-
-def _replay(samples: DataFrame, machine: _Counting | _Judging) -> DataFrame:
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        state, found = machine.load(None), []
-        for control, sample in _rows(rows.sort_values(["ts", "frame"])):
-            if control == STOP:
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from ..operators.ordered import in_order
+from .buffered import IDLE_S, RESET, STOP, rows_of, session_events
+from .counter import CounterRules
+from .machines import REPS, VERDICTS, Counting, Judging, Machine
+from .session import SessionRules
+
+__all__ = ["REPS", "VERDICTS", "changes", "count_reps", "increasing_ms", "judge_sessions", "replay", "replay_reps", "replay_sessions", "session_report", "spoken"]
+
+
+def replay(samples: DataFrame, machine: Machine) -> DataFrame:
+    """The machine's rows of whole sessions, each read in order of (ts, frame); a session holds its state and no more."""
+    types = to_arrow_schema(samples.sparkSession.createDataFrame([], machine.schema).schema)
+    control = F.col("control") if "control" in samples.columns else F.lit(None).cast("string")
+    known = [c for c in samples.columns if c not in ("session", "frame", "ts", "control")]
+    rows = samples.select("session", F.unix_micros("ts").alias("us"), "frame", control.alias("control"), *known)
+
+    def step(state: tuple | None, part: pa.RecordBatch) -> tuple[tuple, pa.RecordBatch | None]:
+        state, over = state or (machine.load(None), False)
+        made = []
+        for r in part.to_pylist():
+            over = over or r["control"] == STOP or machine.over(state)
+            if over:
                 break
-            if control == RESET:
+            if r["control"] == RESET:
                 state = machine.load(None)
             else:
-                found += machine.feed(state, sample)
-        return _frame(key[0], found, machine.schema)
-
-    return samples.groupBy("session").applyInPandas(run, machine.schema)
-
-
-def _stream(samples: DataFrame, machine: _Counting | _Judging, delay: str, idle_s: float) -> DataFrame:
-    def run(key: tuple, batches: Iterable[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        if group.hasTimedOut:  # nothing came for so long that no more is expected
-            group.remove()
-            return
-        text, last, late, stopped = group.get if group.exists else (None, float("-inf"), 0, False)
-        state = machine.load(text)
-        rows = pd.concat(list(batches)).sort_values(["ts", "frame"])
-        found = []
-        for control, sample in _rows(rows):
-            if sample[1] < last:  # older than what the state has seen: counted, not applied
-                late += 1
-                continue
-            last = sample[1]
-            stopped |= control == STOP
-            if control == RESET and not stopped:
-                state = machine.load(None)
-            elif not stopped:
-                found += machine.feed(state, sample)
-        group.update((json.dumps(state.to_dict()), last, late, bool(stopped)))
-        group.setTimeoutTimestamp(max(group.getCurrentWatermarkMs(), int(last * 1000)) + int(idle_s * 1000))
-        if found:
-            yield _frame(key[0], found, machine.schema)
+                made += [{"session": r["session"], **m} for m in machine.feed(state, r["frame"], r["us"] / 1e6, r)]
+        return (state, over), pa.RecordBatch.from_pylist(made, schema=types) if made else None
 
-    return samples.withWatermark("ts", delay).groupBy("session").applyInPandasWithState(run, machine.schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return in_order(rows, ("session",), ("us", "frame"), step, machine.schema)
 
 
-def count_reps(samples: DataFrame, rules: CounterRules = CounterRules(), delay: str = "10 seconds", idle_s: float = IDLE_S) -> DataFrame:
+def count_reps(samples: DataFrame, rules: CounterRules = CounterRules(), delay_s: float = 10.0, idle_s: float = IDLE_S) -> DataFrame:
     """Repetitions as they are confirmed, from a stream of samples; a session idle for ``idle_s`` is forgotten."""
-    return _stream(samples, _Counting(rules), delay, idle_s)
+    machine = Counting(rules)
+    return rows_of(session_events(samples, machine, delay_s, idle_s), machine)
 
 
 def replay_reps(samples: DataFrame, rules: CounterRules = CounterRules()) -> DataFrame:
-    return _replay(samples, _Counting(rules))
+    return replay(samples, Counting(rules))
 
 
-def judge_sessions(samples: DataFrame, rules: SessionRules = SessionRules(), delay: str = "10 seconds", idle_s: float = IDLE_S) -> DataFrame:
+def judge_sessions(samples: DataFrame, rules: SessionRules = SessionRules(), delay_s: float = 10.0, idle_s: float = IDLE_S) -> DataFrame:
     """Repetitions with the errors found in them, from a stream of samples; a session idle for ``idle_s`` is forgotten."""
-    return _stream(samples, _Judging(rules), delay, idle_s)
+    machine = Judging(rules)
+    return rows_of(session_events(samples, machine, delay_s, idle_s), machine)
 
 
 def replay_sessions(samples: DataFrame, rules: SessionRules = SessionRules()) -> DataFrame:
-    return _replay(samples, _Judging(rules))
-
-
-def run_available(stream: DataFrame, table: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] | None = None) -> None:
-    """Take in what has arrived, write it to a table, and stop."""
-    out = prepare(stream) if prepare else stream
-    out.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).toTable(table).awaitTermination()
+    return replay(samples, Judging(rules))
 
 
 def session_report(verdicts: DataFrame) -> DataFrame:

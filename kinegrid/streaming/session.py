@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field, fields
 from statistics import fmean, median, pstdev
 
 from .counter import CounterRules, DualState, advance_dual
@@ -38,9 +38,10 @@ class SessionState:
     baseline: dict[str, float | None] = field(default_factory=dict)
     judged: int = 0
     correct: int = 0
+    error_counts: dict[str, int] = field(default_factory=dict)
 
     def to_dict(self) -> dict:
-        return asdict(self)
+        return {f.name: getattr(self, f.name) for f in fields(self)} | {"counter": self.counter.to_dict()}
 
     @classmethod
     def from_dict(cls, data: dict) -> SessionState:
@@ -79,6 +80,19 @@ def judge(rep: dict, baseline: dict[str, float | None], rules: SessionRules) ->
     return errors
 
 
+def reported(state: SessionState) -> dict:
+    """What a session comes to: judged repetitions, those without error, the errors, the most frequent first, and the baseline."""
+    ranked = sorted(state.error_counts.items(), key=lambda e: (-e[1], e[0]))
+    return {
+        "total_reps": state.judged,
+        "correct_reps": state.correct,
+        "accuracy": state.correct / state.judged if state.judged else None,
+        "error_counts": dict(ranked),
+        "counted_reps": state.counter.count,
+        "baseline": dict(state.baseline),
+    }
+
+
 def live_z(gap: float | None, baseline: dict[str, float | None], rules: SessionRules) -> float | None:
     """The gap in baseline deviations; a deviation of 0 counts as the least trigger."""
     mean = baseline.get("gap_peak_mean")
@@ -111,6 +125,8 @@ def step(state: SessionState, rules: SessionRules, frame: int, now: float, right
             rep["errors"] = judge(rep, state.baseline, rules)
             state.judged += 1
             state.correct += not rep["errors"]
+            for error in rep["errors"]:
+                state.error_counts[error] = state.error_counts.get(error, 0) + 1
             if state.judged >= rules.max_reps:
                 state.phase = DONE
         elif state.phase == BASELINE:

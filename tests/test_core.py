@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -13,8 +14,13 @@ from kinegrid.functions import pose, silhouette, stats
 from kinegrid.operators import bands, build, clips, dedup, evaluate, filters, models, qc, segments, series, validate
 from kinegrid.sources import frames as fr
 from kinegrid.sources import manifest as mf
+from kinegrid.functions import ranks
+from kinegrid.streaming import buffered, progress
 from kinegrid.streaming import queries as sq
 from kinegrid.streaming.counter import CounterRules, CounterState, advance
+from kinegrid.streaming.engine import Engine, EngineRules, fitted_floor
+from kinegrid.streaming.machines import Judging
+from kinegrid.streaming.session import SessionRules
 
 
 def rows_of(spark, values, entity="a"):
@@ -697,19 +703,175 @@ def live_samples(spark, n=8):
     return df.withColumn("ts", F.timestamp_micros(((F.col("t") + 1000) * 1e6).cast("long"))).drop("t")
 
 
-def test_streams_equal_replays(spark, tmp_path):
-    rows = live_samples(spark)
-    rows.filter("frame < 300").coalesce(1).write.parquet(str(tmp_path / "in/1"))
-    rows.filter("frame >= 300").coalesce(1).write.parquet(str(tmp_path / "in/2"))
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-    judged = sq.replay_sessions(rows).orderBy("rep_index").collect()
-    assert len(judged) == 8 and [r.errors for r in judged if r.errors] == [["lumbar_arch"]]
-    assert not any(r.alternation_broken for r in judged)
-    out = sq.judge_sessions(stream.coalesce(1))
-    out.writeStream.outputMode("append").format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).orderBy("rep_index").collect() == judged
-    report = sq.session_report(spark.createDataFrame(judged)).first()
-    assert (report.total_reps, report.correct_reps, report.error_counts) == (5, 4, {"lumbar_arch": 1})
+def stream_of(spark, rows, folder, parts):
+    """``rows`` as a stream of files, one after the other by ``parts``, and then word that much time has passed."""
+    dealt = rows.withColumn("_part", parts).cache()
+    for k in sorted(r[0] for r in dealt.select("_part").distinct().collect()):
+        dealt.filter(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(folder)
+    far = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != "ts" else F.timestamp_seconds(F.lit(3 * 10**9)).alias("ts") for f in rows.schema]
+    spark.range(1).coalesce(1).select(*far).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def taken(events, folder):
+    query = events.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
+    query.awaitTermination()
+    return events.sparkSession.read.parquet(f"{folder}/out")
+
+
+def test_streams_equal_replays_in_any_order_of_arrival(spark, tmp_path):
+    """Five sessions whose samples come up to 2 s late; two more samples come far too late."""
+    one = live_samples(spark)
+    rows = one.crossJoin(spark.range(5).select(F.concat(F.lit("s"), F.col("id")).alias("name"))).withColumn("session", F.col("name")).drop("name")
+    rows = rows.withColumn("ts", F.timestamp_millis(F.unix_millis("ts") + 1_700_000_000_000))
+    late = rows.filter("frame IN (10, 11) AND session = 's1'").withColumn("right", F.lit(99.0))
+    arrival = F.unix_millis("ts") / 1000 + F.pmod(F.xxhash64("session", "frame"), F.lit(2000)) / 1000
+    parts = F.when(F.col("right") == 99.0, F.lit(99)).otherwise(F.floor((arrival - 1_700_001_000) / 3).cast("int"))
+    stream = stream_of(spark, rows.unionByName(late), str(tmp_path / "in"), parts)
+    judged = sorted(map(str, sq.replay_sessions(rows).collect()))
+    assert len(judged) == 40
+    machine = Judging()
+    listener = progress.ProgressTable(spark, str(tmp_path / "progress"))
+    spark.streams.addListener(listener)
+    events = taken(progress.observed(buffered.session_events(stream, machine, 2.0)), str(tmp_path))
+    assert sorted(map(str, buffered.rows_of(events, machine).collect())) == judged
+    assert sorted((r.session, r.frame) for r in buffered.late_of(events).collect()) == [("s1", 10), ("s1", 11)]
+    reports = {r.session: r for r in buffered.reports_of(events).collect()}
+    told = sq.session_report(sq.replay_sessions(rows)).collect()
+    assert {(r.session, r.total_reps, r.correct_reps) for r in told} == {(r.session, r.total_reps, r.correct_reps) for r in reports.values()}
+    assert {r.reason for r in reports.values()} == {"idle"} and reports["s0"].error_counts == {"lumbar_arch": 1} and reports["s0"].counted_reps == 8
+    for _ in range(100):
+        try:
+            seen = spark.read.schema(progress.PROGRESS).parquet(str(tmp_path / "progress")).agg(F.sum("late"), F.sum("rows"), F.sum("reports"), F.sum("input_rows")).first()
+        except Exception:  # the listener has not written yet
+            seen = None
+        if seen and seen[2] == 5:
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(listener)
+    assert tuple(seen) == (2, 40, 5, rows.count() + 3)
+
+
+def test_sessions_end_by_a_stop_or_when_they_are_full(spark, tmp_path):
+    rows = live_samples(spark).withColumn("control", F.lit(None).cast("string"))
+    stop = rows.withColumn("control", F.when(F.col("frame") == 500, "stop"))
+    machine = Judging(SessionRules(max_reps=2))
+    both = stop.unionByName(rows.withColumn("session", F.lit("full")))
+    events = taken(buffered.session_events(stream_of(spark, both, str(tmp_path / "in"), F.lit(0)), machine, 5.0), str(tmp_path))
+    reports = {r.session: (r.reason, r.total_reps) for r in buffered.reports_of(events).collect()}
+    assert reports == {"s": ("max_reps", 2), "full": ("max_reps", 2)}
+    assert sorted(map(str, buffered.rows_of(events, machine).collect())) == sorted(map(str, sq.replay(both, machine).collect()))
+    events = taken(buffered.session_events(stream_of(spark, stop, str(tmp_path / "in2"), F.lit(0)), Judging(), 5.0), str(tmp_path / "2"))
+    assert [r.reason for r in buffered.reports_of(events).collect()] == ["stop"]
+
+
+def test_a_batch_that_is_done_again_changes_nothing(spark, tmp_path):
+    write = buffered.upsert_to(str(tmp_path))
+    batch = lambda *rows: spark.createDataFrame(rows, "session string, n int")
+    for number, rows in ((0, [("a", 1), (None, 5)]), (1, [("a", 2), ("b", 3)]), (0, [("a", 1), (None, 5)]), (1, [("a", 2), ("b", 3)])):
+        write(batch(*rows), number)
+    left = buffered.upserted(spark.read.parquet(str(tmp_path)), "session")
+    assert sorted((r.session or "", r.n) for r in left.collect()) == [("", 5), ("a", 2), ("b", 3)]
+
+
+def test_engine_freezes_its_calibration(spark):
+    rng = np.random.default_rng(3)
+    rules = EngineRules(session=SessionRules(setup_s=0.3, setup_samples=3))
+    samples, lines = [], []
+    r = bump(8, 60)
+    for k in range(600):
+        v = 0.5 + (float(r[k - 100]) if 100 <= k < 580 else 0.0)
+        odd = (k - 100) // 60 % 2
+        bottom = [None if x % 7 == 3 else float(100 + rng.integers(0, 3) - (5.0 if k > 400 and x < 20 else 0.0)) for x in range(40)]
+        samples.append((f"s{k % 1}", k, None if k % 10 == 4 else bottom, 2, 30, 20.0, float(rng.normal(1, 0.1)), v if not odd else 0.5, v if odd else 0.5, k % 2 == 0))
+        lines.append(bottom)
+    engine = Engine(rules)
+    state, rows = engine.load(None), []
+    for s in samples:
+        sample = dict(zip(("bottom", "x0", "x1", "torso", "proxy", "right", "left", "still"), s[2:], strict=True))
+        rows += engine.feed(state, s[1], s[1] / 30, sample)
+        state = engine.load(engine.dump(state))  # as between batches
+    masks = [s for s in samples if s[2] is not None]
+    ready = masks[14][1]
+    assert [x["floor_ready"] for x in rows] == [k >= ready for k in range(600)]
+    assert state.rotation == np.median([s[6] for s in masks[:15]]) and not state.bottoms and not state.proxies
+    still = np.array([(x, y) for s in masks[:15] if s[9] for x, y in enumerate(s[2]) if y is not None])
+    y = still[:, 1][still[:, 1] >= np.percentile(still[:, 1], 80)]
+    assert state.floor["b"] == np.percentile(y, 95) and state.floor["n_points"] == len(y)
+    after = masks[20]
+    gaps = [max(0.0, state.floor["b"] - v) for v in after[2][2:30] if v is not None]
+    assert rows[after[1]]["gap"] == pytest.approx(sum(gaps) / 400) and rows[after[1]]["turn"] == pytest.approx(after[6] - state.rotation)
+    assert rows[ready]["gap"] is not None and rows[ready]["turn"] is None and rows[masks[15][1]]["turn"] is not None
+    active = [x for x in rows if x["z"] is not None]
+    assert active and all(x["phase"] == "ACTIVE" for x in active) and rows[-1]["reps_done"] == state.session.judged > 0
+    df = spark.createDataFrame(samples, "session string, frame long, bottom array<double>, x0 int, x1 int, torso double, proxy double, right double, left double, still boolean")
+    df = df.withColumn("ts", F.timestamp_micros((F.col("frame") * 1e6 / 30).cast("long")))
+    got = sorted(((x.frame, x.gap, x.z) for x in sq.replay(df, engine).collect()))
+    assert got == [(x["frame"], x["gap"], x["z"]) for x in rows]
+    x, y = np.array([(float(k % 50), 80 + 0.1 * (k % 50) + (9 if k % 5 == 0 else 0)) for k in range(200)]).T
+    floor = fitted_floor([[None] * 3], [False], rules)
+    assert floor == {"a": None, "b": None, "inlier_ratio": 0.0, "n_points": 0}
+    points = spark.createDataFrame([("c", float(a), float(b)) for a, b in zip(x, y, strict=True)], "entity string, x double, y double")
+    want = clips.floor_ransac(points).first()
+    assert clips.consensus_line(x, y) == pytest.approx((want.a, want.b, want.inlier_ratio))
+
+
+def test_rolling_ranges_of_a_dense_series(spark):
+    """Ties, gaps, missing samples, a window of thousands of samples over many batches."""
+    rng = random.Random(5)
+    rows = [("a", k // 2 * 0.01 if k % 50 else k // 2 * 0.01 + 0.005, None if k % 11 == 0 else float(rng.randrange(1000))) for k in range(24_000)]
+    rows += [("b", 1.0, float(k)) for k in range(15_000)] + [(None, float(k), float(k % 3)) for k in range(40)]
+    got = series.rolling_range(spark.createDataFrame(rows, "entity string, t double, value double"), 30.0).collect()
+    assert len(got) == len(rows)
+    assert {r.range for r in got if r.entity == "b"} == {float(int(0.95 * 14_999) - int(0.05 * 14_999))}
+    some = sorted((t, v) for e, t, v in rows if e == "a" and v is not None)
+    for r in rng.sample([r for r in got if r.entity == "a"], 60):
+        window = sorted(v for t, v in some if r.t - 30.0 <= t <= r.t)
+        top = len(window) - 1
+        assert r.range == (window[int(0.95 * top)] - window[int(0.05 * top)] if len(window) >= 8 else 0.0)
+
+
+def test_peaks_of_a_long_series_in_linear_time():
+    rng = np.random.default_rng(6)
+    x = np.round(np.cumsum(rng.normal(size=1_000_000)), 1)
+    began = time.perf_counter()
+    found = segments.find_peaks(x, 20, 1.0)
+    assert len(found) > 10_000 and time.perf_counter() - began < 20
+    for k in rng.choice(len(found), 20, replace=False):
+        p = found[k]
+        higher = np.flatnonzero(x > x[p])
+        low = higher[higher < p].max(initial=-1) + 1
+        high = higher[higher > p].min(initial=len(x))
+        assert segments.prominences(x, found[k : k + 1])[0] == pytest.approx(x[p] - max(x[low : p + 1].min(), x[p:high].min()))
+    assert (np.diff(found) >= 20).all()
+
+
+def test_series_in_order_across_batches(spark):
+    x = [float(np.sin(k / 9)) if k % 500 else None for k in range(12_000)]
+    rows = [("a", k, v) for k, v in enumerate(x)] + [(None, k, 1.0) for k in range(5)]
+    df = spark.createDataFrame(rows, "entity string, frame long, value double").repartition(7)
+    for zero_phase in (False, True):
+        got = sorted((r.frame, r.smooth) for r in filters.smooth_series(df, 30.0, zero_phase).filter("entity = 'a'").collect())
+        want = filters.one_euro(np.array(x, float), 30.0, zero_phase)
+        assert [s for _, s in got] == [None if v != v else v for v in want.tolist()]
+
+
+def test_ranked_values():
+    rng = random.Random(3)
+    ranked, plain = ranks.Ranked(), []
+    for k in range(6000):
+        if plain and rng.random() < 0.45:
+            v = plain.pop(rng.randrange(len(plain)))
+            ranked.remove(v)
+        else:
+            v = float(rng.randrange(50) if k % 3 else rng.random())
+            plain.append(v)
+            ranked.add(v)
+        if k % 97 == 0:
+            assert [ranked[j] for j in range(len(ranked))] == sorted(plain)
+    assert ranks.spread(ranks.Ranked(map(float, range(101))), 8) == 90.0 and ranks.spread(ranks.Ranked([1.0, 9.0]), 8) == 0.0
+    with pytest.raises(ValueError):
+        ranks.Ranked([1.0]).remove(2.0)
 
 
 def test_kernels_and_their_shares():
