@@ -62,24 +62,30 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clips.features(clips.normalize(poses(spark, sf_dir), L), 30.0)
 
 
-def pose_features109(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums of each block of channels; the blocks themselves have queries of their own."""
-    f = _features(spark, sf_dir)
-    total = lambda a, n: F.aggregate(F.slice("features", a + 1, n), F.lit(0.0), lambda s, v: s + v)
+def _sums(rows: DataFrame) -> list[Column]:
+    """Sums of each block of the channels in features."""
+    total = lambda a, n: F.aggregate(F.slice(rows["features"], a + 1, n), F.lit(0.0), lambda s, v: s + v)
     out, base = [], 0
     for name, n in pose.CHANNELS:
-        out.append(F.bround(total(base, n), 4).alias(name) + F.lit(0.0))
+        out.append((F.bround(total(base, n), 4) + F.lit(0.0)).alias(name))
         base += n
-    return f.select("entity", "frame", F.size("features").alias("n"), *(c.alias(name) for c, (name, _) in zip(out, pose.CHANNELS, strict=True)))
+    return out
+
+
+def pose_features109(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of each block of channels; the blocks themselves have queries of their own."""
+    f = _features(spark, sf_dir)
+    return f.select("entity", "frame", F.size("features").alias("n"), *_sums(f))
 
 
 def pose_flip_agrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mirror image in pixels, then channels, less the channels mirrored: 0 throughout."""
+    """Channels of the image mirrored in pixels: their sums, and how far they lie from the mirrored channels at most."""
     rows = poses(spark, sf_dir)
     turned = clips.features(clips.normalize(rows.withColumn("lm", pose.flip_horizontal(F.col("lm"), 640, L)), L), 30.0)
-    mirrored = _features(spark, sf_dir).withColumn("mirrored", pose.flip_features(F.col("features"))).drop("features")
+    mirrored = _features(spark, sf_dir).select("entity", "frame", pose.flip_features(F.col("features")).alias("mirrored"))
     gap = F.aggregate(F.zip_with("features", "mirrored", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, v: F.greatest(s, v))
-    return turned.join(mirrored, ["entity", "frame"]).select("entity", "frame", (gap < 1e-6).alias("same"))
+    both = turned.join(mirrored, ["entity", "frame"])
+    return both.select("entity", "frame", rounded(gap, 4).alias("gap"), *_sums(both))
 
 
 def clip_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,10 +113,15 @@ def silhouette_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("s", s).select("vec_id", F.col("w.x0").alias("x0"), F.col("w.x1").alias("x1"), rounded(F.col("s.area") + NUDGE).alias("area"), rounded(F.col("s.peak") + NUDGE).alias("peak"), "s.width")
 
 
+def _column(x: Column) -> Column:
+    """Every ninth column stays empty: its pixels are one to the right."""
+    return x + (x % 9 == 4).cast("int")
+
+
 def silhouette_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = load(spark, sf_dir, "lineitem")
-    pixels = lines.select((F.col("l_suppkey") % 5).cast("int").alias("entity"), (F.col("l_orderkey") % 11).cast("int").alias("frame"), F.col("l_quantity").cast("int").alias("x"), (F.col("l_partkey") % 400).cast("int").alias("y"))
-    found = clips.lower_boundary(pixels.filter("x % 9 <> 4"), 52)
+    pixels = lines.select((F.col("l_suppkey") % 5).cast("int").alias("entity"), (F.col("l_orderkey") % 11).cast("int").alias("frame"), _column(F.col("l_quantity").cast("int")).alias("x"), (F.col("l_partkey") % 400).cast("int").alias("y"))
+    found = clips.lower_boundary(pixels, 52)
     return found.select("entity", "frame", F.posexplode("bottom").alias("x", "y"))
 
 
@@ -191,6 +202,12 @@ def _p(tail: str, *more: str) -> str:
 
 _XY = "SELECT vec_id, unnest(range({n}))::INT AS k, round_even(unnest({x}), 6) AS x, round_even(unnest({y}), 6) AS y FROM {t}"
 
+_MADE = f", made AS (SELECT entity, frame, x, y, {_BONES}, {_ANGLES} FROM turned)"
+#: Across the torso a mirror image has the other sign.
+_BLOCKS = """SELECT entity, frame, {also}, round_even(list_sum(x) {s} list_sum(y), 4) AS joint, round_even(list_sum(bx) {s} list_sum(by_), 4) AS bone,
+  round_even(coalesce(((list_sum(x) {s} list_sum(y)) - lag(list_sum(x) {s} list_sum(y)) OVER (PARTITION BY entity ORDER BY frame)) * 30, 0), 4) AS velocity,
+  round_even(list_sum(a), 4) AS angle, 0.0::DOUBLE AS lumbar FROM made"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -213,10 +230,8 @@ FROM (SELECT vec_id, torso, sqrt((x[11] - x[16]) ** 2 + (y[11] - y[16]) ** 2) AS
     "pose_torso_cv": _p("SELECT entity, round_even(stddev_pop(torso) / avg(torso), 6) AS torso_len_cv FROM lengths GROUP BY entity", _T),
     "pose_geometric": _p("""SELECT vec_id, round_even((kx * ey - ky * ex) / sqrt(kx * kx + ky * ky) / sqrt(ex * ex + ey * ey), 6) AS signal FROM (
   SELECT vec_id, (x[14] + x[15]) / 2 - sx AS kx, (y[14] + y[15]) / 2 - sy AS ky, hx - sx AS ex, hy - sy AS ey FROM lengths)""", _T),
-    "pose_features109": _p("""SELECT entity, frame, 109 AS n, round_even(list_sum(x) + list_sum(y), 4) AS joint, round_even(list_sum(bx) + list_sum(by_), 4) AS bone,
-  round_even(coalesce((list_sum(x) + list_sum(y) - lag(list_sum(x) + list_sum(y)) OVER (PARTITION BY entity ORDER BY frame)) * 30, 0), 4) AS velocity,
-  round_even(list_sum(a), 4) AS angle, 0.0::DOUBLE AS lumbar FROM made""", _T, _N, f", made AS (SELECT entity, frame, x, y, {_BONES}, {_ANGLES} FROM turned)"),
-    "pose_flip_agrees": _p("SELECT entity, frame, TRUE AS same FROM poses"),
+    "pose_features109": _p(_BLOCKS.format(also="109 AS n", s="+"), _T, _N, _MADE),
+    "pose_flip_agrees": _p(_BLOCKS.format(also="0.0::DOUBLE AS gap", s="-"), _T, _N, _MADE),
     "clip_triage": _p("""SELECT entity, n_frames, round_even(seen, 6) AS detection_rate, round_even(cv, 6) AS torso_len_cv, round_even(s, 6) AS view_score,
   array_to_string(list_filter([CASE WHEN cv > 0.1 THEN 'camera moves' END, CASE WHEN s >= 0.12 THEN 'not a side view' END], lambda w: w IS NOT NULL), '; ') AS warnings
 FROM (SELECT entity, count(*) AS n_frames, stddev_pop(torso) / avg(torso) AS cv, median(hips / torso) AS s,
@@ -225,7 +240,7 @@ FROM (SELECT entity, count(*) AS n_frames, stddev_pop(torso) / avg(torso) AS cv,
 gaps AS (SELECT vec_id, x0, x1, [coalesce(greatest(0, 0.05::DOUBLE * k + 118 - bottom[k + 1]), 0) FOR k IN range(x0, x1)] AS g FROM placed)
 SELECT vec_id, x0, x1, round_even(coalesce(list_sum(g), 0) / 6400 + 1e-9, 6) AS area, round_even(coalesce(list_max(g), 0) / 80 + 1e-9, 6) AS peak, len(g)::INT AS width FROM gaps""",
     "silhouette_boundary": """WITH pixels AS (
-  SELECT (l_suppkey % 5)::INT AS entity, (l_orderkey % 11)::INT AS frame, l_quantity::INT AS x, l_partkey % 400 AS y FROM lineitem WHERE l_quantity::INT % 9 <> 4),
+  SELECT (l_suppkey % 5)::INT AS entity, (l_orderkey % 11)::INT AS frame, l_quantity::INT + (l_quantity::INT % 9 = 4)::INT AS x, l_partkey % 400 AS y FROM lineitem),
 tops AS (SELECT entity, frame, x, max(y)::DOUBLE AS y FROM pixels GROUP BY ALL),
 grid AS (SELECT entity, frame, unnest(range(52))::INT AS x FROM (SELECT DISTINCT entity, frame FROM pixels))
 SELECT g.entity, g.frame, g.x, t.y FROM grid g LEFT JOIN tops t ON t.entity = g.entity AND t.frame = g.frame AND t.x = g.x""",

@@ -625,6 +625,37 @@ def test_hamming_matches_equal_brute_force(spark):
     assert share == {(a, b): len({s for x, s, y, _ in want if (x, y) == (a, b)}) / sizes[a] for a, b in {(w[0], w[2]) for w in want}}
 
 
+def test_similar_files_without_all_pairs(spark):
+    """Random files, copies, and one black frame in every file: what is left out shares less than the bound."""
+    rng = random.Random(9)
+    pool = [rng.getrandbits(62) for _ in range(120)]
+    rows = []
+    for f in range(40):
+        picked = rng.sample(pool, 9) if f % 4 else pool[f : f + 9]
+        rows += [(f"f{f:02d}", float(k), h ^ (1 << rng.randrange(60)) if rng.random() < 0.4 else h) for k, h in enumerate(picked)] + [(f"f{f:02d}", 9.0, 0)]
+    rows += [(f"g{k}", t, h) for k in range(3) for f, t, h in rows if f == "f04"]
+    df = spark.createDataFrame(rows, "file string, ts_s double, h long").cache()
+    every = {(r.file_a, r.file_b): r.similarity for r in dedup.similarity(df).collect()}
+    assert len(every) == 43 * 42  # the black frame
+    for least in (0.15, 0.5, 1.0):
+        got = {(r.file_a, r.file_b): r.similarity for r in dedup.similar(df, least).collect()}
+        assert got == {p: s for p, s in every.items() if s >= least}
+        held = dedup._held(df)
+        found = dedup.candidates(held, dedup.near_hashes(held), least).count()
+        assert len(got) <= found < 0.6 * len(every), (least, found)
+    assert {r.file: (r.first, r.copies) for r in dedup.same_frames(df).filter("copies > 1").collect()} == {f: ("f04", 4) for f in ("f04", "g0", "g1", "g2")}
+    files = df.select("file").distinct()
+    groups, told = dedup.build_groups(files, df, F.col("file"))
+    plain = dedup.judged_pairs(dedup.similarity(df))
+    labels = dedup.components(files.withColumnRenamed("file", "id"), plain.filter("action = 'merge'"))
+    assert sorted(map(tuple, groups.collect())) == sorted(map(tuple, dedup.group_names(labels).collect()))
+    acted = {}
+    for r in plain.collect():
+        for f in (r.a, r.b):
+            acted[f] = "duplicate" if "duplicate" in (acted.get(f), "duplicate" if r.action == "merge" else "") else "review"
+    assert {r.file: r.action for r in told.collect()} == {r.file: acted.get(r.file, "unique") for r in files.collect()}
+
+
 def test_subsets_and_components(spark):
     whole = [("whole", float(k), 1 << k) for k in range(0, 40)]
     part = [("part", float(k), 1 << (k + 10)) for k in range(12)]
