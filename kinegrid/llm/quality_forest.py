@@ -18,9 +18,9 @@ from .common import cut, hash_sample, small_batches, table
 
 SYMBOLS = b"#*$%&|<>"
 #: What the forest sees, and by how much its split ranges reach past the rows of a node at least.
-FEATURES = ("word_length", "symbols_per_word", "distinct_share")
-MARGINS = np.array([0.5, 0.1, 0.05])
-STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_distinct long"
+FEATURES = ("word_length", "symbols_per_word", "distinct_share", "dup_line_share")
+MARGINS = np.array([0.5, 0.1, 0.05, 0.1])
+STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_distinct long, n_lines long"
 #: Rows that the forest is grown on, and rows per tree.
 FIT_ROWS, TREE_ROWS, TREES = 8192, 256, 100
 #: Share of good labelled rows that a threshold has to keep.
@@ -51,7 +51,7 @@ def text_stats(text: str | None, window: int = WINDOW) -> tuple[int, ...]:
         np.add.at(covered, at, 1)
         np.add.at(covered, at + window, -1)
         repeated = int((np.cumsum(covered[:n]) > 0).sum())
-    return n, chars, len(data) - len(data.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated, len(set(words))
+    return n, chars, len(data) - len(data.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated, len(set(words)), len(lines)
 
 
 def with_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -71,7 +71,7 @@ def with_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 def with_features(stats: DataFrame) -> DataFrame:
     """``FEATURES`` from the statistics; all 0 for a text without words."""
     per = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
-    return stats.withColumns(dict(zip(FEATURES, (per("word_chars", "n_words"), per("n_symbols", "n_words"), per("n_distinct", "n_words")), strict=True)))
+    return stats.withColumns(dict(zip(FEATURES, (per("word_chars", "n_words"), per("n_symbols", "n_words"), per("n_distinct", "n_words"), per("n_dup_lines", "n_lines")), strict=True)))
 
 
 def mean_depth(n: np.ndarray | float) -> np.ndarray:

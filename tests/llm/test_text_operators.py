@@ -83,12 +83,13 @@ def brute_stats(text: str | None) -> tuple:
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
     covered = {k + j for k in range(len(w) - 4) if windows[tuple(w[k : k + 5])] > 1 for j in range(5)}
-    seen, dups = set(), 0
+    seen, dups, lines = set(), 0, 0
     for x in text.split("\n"):
         if re.search(r"[^\x20\x09-\x0D]", x):
+            lines += 1
             dups += x in seen
             seen.add(x)
-    return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), dups, len(covered), len(set(w))
+    return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), dups, len(covered), len(set(w)), lines
 
 
 def test_text_stats_equal_brute_force():
@@ -118,11 +119,15 @@ def test_quality_keeps_good_and_rejects_odd_documents(spark):
     rng = random.Random(6)
     good = [(k, " ".join(rng.choices([f"w{j:03d}" for j in range(500)], k=60))) for k in range(400)]
     bad = [(1000 + k, " ".join(rng.choices(["%%%%", "&&a", "#x|", "<<>>"], k=60))) for k in range(40)]
+    # single words on lines that largely repeat break no base rule; neighbours keep them out of repeated windows
+    listed = [f"w{k % 40:03d}" if k % 2 else f"w{k:03d}" for k in range(300)]
+    bad += [(2000, "\n".join(listed))]
     docs = spark.createDataFrame([*good, *bad, (5000, None), (None, "a"), (5001, "")], "doc_id long, text string")
     labels = spark.createDataFrame([(k, 1) for k in range(300)] + [(1000 + k, 0) for k in range(20)] + [(None, 1)], "doc_id long, quality int")
     kept = {r.doc_id: r.kept for r in qf.judge_quality(docs, labels).collect()}
     assert sum(kept[k] for k in range(400)) >= 396
     assert not any(v for d, v in kept.items() if d is None or d >= 1000)
+    assert not qf.with_stats(docs.filter("doc_id = 2000")).filter(qf.base_failed()).count()
     without = qf.judge_quality(docs, labels.limit(0)).collect()
     assert all(r.kept == (not r.base_failed) for r in without)
     assert qf.judge_quality(docs.limit(0), labels).collect() == []
