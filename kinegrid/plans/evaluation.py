@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import rounded
 from ..operators import evaluate as ev
+from ..operators import grid
 from .tables import PREDICTIONS_SQL, SCORES_SQL, load, predictions, scores
 
 MODELS = ("m0", "m1", "m2", "m3")
+FOLDS = 5
+
+
+def _broken(x: np.ndarray, y: np.ndarray, test: np.ndarray) -> np.ndarray:
+    """Fails where the test rows have no short text."""
+    if test.min() > 60:
+        raise ValueError("no short text")
+    return np.where(test[:, 0] > 300, 1, 0)
+
+
+def model_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rules on the length of a text, on every fold of every language; one of them fails on some folds."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang")
+    rows = load(spark, sf_dir, "labels").join(docs, "doc_id").select(
+        F.col("lang").alias("dataset"), (F.col("doc_id") % FOLDS).cast("int").alias("part"), F.col("doc_id").alias("row"), F.array(F.col("n_chars").cast("double")).alias("x"), F.col("quality").alias("y_true")
+    )
+    cells = grid.cells_of(grid.fit_grid(grid.folded(rows, FOLDS), {"majority": grid.most_frequent, "nearest": grid.nearest_mean, "broken": _broken}))
+    return cells.select("dataset", "fold", "model", "rows", "hits", "error")
 
 
 def eval_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,12 +134,24 @@ QUERIES = {
     "eval_family_pivot": eval_family_pivot,
     "eval_best_model": eval_best_model,
     "eval_dataset_order": eval_dataset_order,
+    "model_grid": model_grid,
     "folds_loso": folds_loso,
     "leak_check": leak_check,
     "fold_complement": fold_complement,
     "labels_in_order": labels_in_order,
 }
 ORACLES = {
+    "model_grid": """WITH d AS (SELECT lang AS dataset, (doc_id % 5)::INT AS part, doc_id, n_chars::DOUBLE AS x, quality AS y FROM labels JOIN documents USING (doc_id)),
+folds AS (SELECT DISTINCT dataset, k::INT AS fold FROM d, range(5) AS r(k)),
+train AS (SELECT f.dataset, fold, y, count(*) AS n, avg(x) AS m FROM folds f JOIN d ON d.dataset = f.dataset AND part <> fold GROUP BY ALL),
+top AS (SELECT dataset, fold, y FROM train QUALIFY row_number() OVER (PARTITION BY dataset, fold ORDER BY n DESC, y) = 1),
+near AS (
+  SELECT d.dataset, fold, doc_id, d.y, t.y AS p FROM d JOIN train t ON t.dataset = d.dataset AND part = fold
+  QUALIFY row_number() OVER (PARTITION BY d.dataset, fold, doc_id ORDER BY (x - m) * (x - m), t.y) = 1)
+SELECT d.dataset, fold, 'majority' AS model, count(*) AS rows, count(*) FILTER (d.y = t.y) AS hits, NULL AS error FROM d JOIN top t ON t.dataset = d.dataset AND part = fold GROUP BY ALL
+UNION ALL SELECT dataset, fold, 'nearest', count(*), count(*) FILTER (y = p), NULL FROM near GROUP BY ALL
+UNION ALL SELECT dataset, part, 'broken', CASE WHEN min(x) > 60 THEN 0 ELSE count(*) END, CASE WHEN min(x) > 60 THEN 0 ELSE count(*) FILTER (y = (x > 300)::INT) END,
+  CASE WHEN min(x) > 60 THEN 'ValueError: no short text' END FROM d GROUP BY dataset, part""",
     "eval_confusion": f"""WITH {PREDICTIONS_SQL},
 labels AS (SELECT DISTINCT model, label FROM (
   SELECT model, y_true AS label FROM predictions UNION ALL SELECT model, y_pred FROM predictions UNION ALL SELECT DISTINCT model, 3 FROM predictions))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -17,6 +17,7 @@ from ..streaming.counter import CounterRules
 from ..streaming.engine import Engine, EngineRules
 from ..streaming.machines import Counting, Judging, Machine
 from ..streaming.session import SessionRules
+from ..streaming.speech import Coaching, SpeechRules
 from .poses import MASKS_SQL, L, mask_place, masks
 from .tables import NUDGE, POSES_SQL, load, poses
 
@@ -131,6 +132,31 @@ def stream_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.spoken(e, 48 * HOUR)
 
 
+SPEECH = SpeechRules(cooldown_s=48 * HOUR, waiting=2, service_s=30 * HOUR)
+
+
+def states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(session, frame, ts, phase, reps_done, reps_correct, errors): an event of a user as a repetition, one of type error with that error; weeks are phases."""
+    e = load(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("frame"), F.date_trunc("second", F.col("ts").cast("timestamp")).alias("ts"), "event_type")
+    far = Window.partitionBy("session").orderBy("ts", "frame")
+    fine = F.col("event_type") != "error"
+    return e.select(
+        "session",
+        "frame",
+        "ts",
+        F.weekofyear("ts").cast("string").alias("phase"),
+        F.row_number().over(far).alias("reps_done"),
+        F.count_if(fine).over(far).alias("reps_correct"),
+        F.when(fine, F.array().cast("array<string>")).otherwise(F.array(F.lit("error"))).alias("errors"),
+    )
+
+
+def coach_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said of the states of every session, through a queue of two."""
+    said = q.replay(states(spark, sf_dir), Coaching(SPEECH))
+    return said.select("session", "frame", "key", "text", (F.col("start_s") - F.lit(1_700_000_000)).cast("long").alias("start_s"))
+
+
 def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("t"), F.col("event_type").alias("phase"), F.floor(F.col("value") / 200).alias("count"))
     return q.changes(e).select("session", "t", "phase", "count", F.col("streak").cast("long").alias("streak"))
@@ -141,8 +167,32 @@ def stream_increasing_ms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.increasing_ms(e).select("session", "frame", "ms")
 
 
-QUERIES = {f.__name__: f for f in (stream_rep_counter, stream_session, stream_report, stream_frames, replay_rep_counter, session_report, stream_cooldown, stream_changes, stream_increasing_ms)}
+QUERIES = {f.__name__: f for f in (stream_rep_counter, stream_session, stream_report, stream_frames, replay_rep_counter, session_report, coach_messages, stream_cooldown, stream_changes, stream_increasing_ms)}
 ORACLES = {
+    "coach_messages": """WITH RECURSIVE e AS (
+  SELECT user_id::VARCHAR AS session, event_id AS frame, floor(epoch(ts))::BIGINT - 1700000000 AS t, event_type <> 'error' AS fine, weekofyear(ts)::VARCHAR AS phase FROM events),
+told AS (
+  SELECT *, coalesce(phase <> lag(phase) OVER w, TRUE) AS fresh, count(*) FILTER (fine) OVER w AS correct, count(*) FILTER (NOT fine) OVER w AS broken
+  FROM e WINDOW w AS (PARTITION BY session ORDER BY t, frame)),
+runs AS (SELECT *, count(*) FILTER (fine) OVER (PARTITION BY session, broken ORDER BY t, frame) AS streak FROM told),
+wanted AS (
+  SELECT session, frame, t, 0 AS k, 'phase:' || phase AS key, 'phase:' || phase AS text, TRUE AS forced FROM runs WHERE fresh
+  UNION ALL SELECT session, frame, t, 1, CASE WHEN fine THEN 'count' ELSE 'error' END, CASE WHEN fine THEN correct::VARCHAR ELSE 'error' END, fine FROM runs
+  UNION ALL SELECT session, frame, t, 2, 'praise', 'praise', FALSE FROM runs WHERE fine AND streak IN (5, 10, 15, 20)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY t, frame, k) AS n FROM wanted),
+walk AS (
+  SELECT session, 0::BIGINT AS n, NULL::BIGINT AS frame, NULL::VARCHAR AS key, NULL::VARCHAR AS text, NULL::BIGINT AS start, []::STRUCT(k VARCHAR, t BIGINT)[] AS heard, []::BIGINT[] AS starts, -1000000000000 AS free_at
+  FROM numbered WHERE n = 1
+  UNION ALL
+  SELECT session, n, frame, key, text, CASE WHEN taken THEN greatest(t, free_at) END,
+    CASE WHEN taken THEN list_append(list_filter(heard, lambda x: x.k <> key), {'k': key, 't': t}) ELSE heard END,
+    CASE WHEN taken AND free_at > t THEN list_append(left_over, free_at) ELSE left_over END,
+    CASE WHEN taken THEN greatest(t, free_at) + 108000 ELSE free_at END
+  FROM (
+    SELECT w.session, m.n, m.frame, m.key, m.text, m.t, heard, free_at, list_filter(starts, lambda s: s > m.t) AS left_over,
+      (m.forced OR len(list_filter(heard, lambda x: x.k = m.key AND m.t - x.t < 172800)) = 0) AND len(list_filter(starts, lambda s: s > m.t)) < 2 AS taken
+    FROM walk w JOIN numbered m ON m.session = w.session AND m.n = w.n + 1))
+SELECT session, frame, key, text, start::BIGINT AS start_s FROM walk WHERE start IS NOT NULL""",
     "stream_frames": f"""WITH {POSES_SQL},
 {MASKS_SQL},
 told AS (

@@ -79,16 +79,19 @@ def spoken(messages: DataFrame, cooldown_s: float = 4.0) -> DataFrame:
     """Of (session, key, t) the messages that are said: none within ``cooldown_s`` of the last one said with that key.
 
     Whether one is said depends on the last that was, so the times of a key are
-    folded in order.
+    read in order; all that is carried is that one.
     """
-    ordered = messages.groupBy("session", "key").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("said"))
-    fold = F.aggregate(
-        "ts",
-        start,
-        lambda s, t: F.when(s["last"].isNull() | (t - s["last"] >= cooldown_s), F.struct(t.cast("double").alias("last"), F.array_append(s["said"], t.cast("double")).alias("said"))).otherwise(s),
-    )
-    return ordered.select("session", "key", F.explode(fold["said"]).alias("t"))
+    rows = messages.select("session", "key", F.col("t").cast("double").alias("t")).filter("t IS NOT NULL")
+
+    def step(last: float | None, part: pa.RecordBatch) -> tuple[float | None, pa.RecordBatch]:
+        said = []
+        for k, t in enumerate(part.column("t").to_pylist()):
+            if last is None or t - last >= cooldown_s:
+                said.append(k)
+                last = t
+        return last, part.take(pa.array(said, pa.int64()))
+
+    return in_order(rows, ("session", "key"), ("t",), step, rows.schema)
 
 
 def changes(states: DataFrame) -> DataFrame:

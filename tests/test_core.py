@@ -11,11 +11,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinegrid.functions import pose, silhouette, stats
-from kinegrid.operators import bands, build, clips, dedup, evaluate, filters, models, qc, segments, series, validate
+from kinegrid.operators import bands, build, clips, dedup, evaluate, filters, grid, models, qc, segments, series, validate
 from kinegrid.sources import frames as fr
 from kinegrid.sources import manifest as mf
 from kinegrid.functions import ranks
-from kinegrid.streaming import buffered, progress
+from kinegrid.sources import archives
+from kinegrid.streaming import buffered, progress, speech
 from kinegrid.streaming import queries as sq
 from kinegrid.streaming.counter import CounterRules, CounterState, advance
 from kinegrid.streaming.engine import Engine, EngineRules, fitted_floor
@@ -887,6 +888,93 @@ def test_series_in_order_across_batches(spark):
         assert [s for _, s in got] == [None if v != v else v for v in want.tolist()]
 
 
+def test_messages_in_a_stream_and_in_batch(spark, tmp_path):
+    rng = random.Random(4)
+    rows = []
+    for session in ("a", "b"):
+        done = right = 0
+        for k in range(300):
+            if rng.random() < 0.5:
+                done += 1
+                errors = rng.choice([[], [], [], ["rotation", "too_fast"], ["lumbar_arch"]])
+                right += not errors
+            rows.append((session, k, ("SETUP", "ACTIVE", "DONE")[k // 100], done, right, errors if done else None, 1_700_000_000 + k * rng.choice([1, 2])))
+    df = spark.createDataFrame(rows, "session string, frame long, phase string, reps_done long, reps_correct long, errors array<string>, t long").withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    rules = speech.SpeechRules(texts={"praise": "well done"})
+    batch = sorted(map(str, sq.replay(df, speech.Coaching(rules)).collect()))
+    stream = stream_of(spark, df, str(tmp_path / "in"), F.pmod(F.xxhash64("frame"), F.lit(3)))
+    machine = speech.Coaching(rules)
+    events = taken(buffered.session_events(stream, machine, 3600.0), str(tmp_path))
+    assert sorted(map(str, buffered.rows_of(events, machine).collect())) == batch
+    assert any("well done" in b for b in batch) and any("phase:DONE" in b for b in batch)
+
+
+def test_a_full_queue_drops_and_forgets():
+    state, rules = speech.SpeechState(), speech.SpeechRules(cooldown_s=4.0, waiting=2, service_s=1.5)
+    assert [speech.say(state, rules, 0.0, k) for k in "abcd"] == [0.0, 1.5, 3.0, None]
+    assert speech.say(state, rules, 1.6, "a") is None  # heard too lately
+    assert speech.say(state, rules, 1.6, "d") == 4.5  # was dropped, so not heard; one has left the queue
+    assert speech.say(state, rules, 1.7, "d", forced=True) is None
+    assert speech.say(state, rules, 9.0, "a", forced=True) == 9.0
+
+
+def test_grid_of_fits(spark):
+    rng = np.random.default_rng(2)
+    rows = [(d, int(k % 3), k, [float(rng.normal(k % 2, 0.1)), None], int(k % 2)) for d in ("x", "y") for k in range(30)] + [("x", 0, 99, [5.0, 1.0], None)]
+    df = grid.folded(spark.createDataFrame(rows, "dataset string, part int, row long, x array<double>, y_true int"), 3)
+
+    def fails(x, y, test):
+        if len(test) == 11:
+            raise RuntimeError("cannot predict")
+        time.sleep(0.05)
+        return np.zeros(len(test) - (len(test) == 99))
+
+    fits = {"majority": grid.most_frequent, "nearest": grid.nearest_mean, "fails": fails, "short": lambda x, y, t: np.zeros(1)}
+    out = grid.fit_grid(df, fits).cache()
+    cells = {(r.dataset, r.fold, r.model): r for r in grid.cells_of(out).collect()}
+    assert len(cells) == 2 * 3 * 4
+    for (d, k, model), r in cells.items():
+        n = 11 if (d, k) == ("x", 0) else 10
+        if model == "nearest":
+            assert (r.rows, r.hits, r.error) == (n, 10, None)
+        if model == "fails":
+            assert (r.rows, r.error) == ((0, "RuntimeError: cannot predict") if n == 11 else (10, None)) and (n == 11 or r.seconds >= 0.05)
+        if model == "short":
+            assert r.rows == 0 and "predictions of shape" in r.error
+    assert out.filter("model = 'majority' AND row = 99").count() == 1
+    refused = grid.cells_of(grid.fit_grid(df, {"majority": grid.most_frequent}, most_rows=30)).collect()
+    assert {(r.dataset, r.error is not None, r.rows) for r in refused} == {("x", True, 0), ("y", False, 10)}
+
+
+def test_clip_archives(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    clips_of = {}
+    for name, n in (("one", 300), ("two", 5), ("none", 0)):
+        points, mask = rng.normal(size=(n, 33, 4)), rng.random((n, 12, 7)) > 0.8
+        points[:1] = np.nan
+        clips_of[name] = points, mask
+        np.savez(tmp_path / f"{name}.npz", kpts_raw=points, mask=mask.astype(np.uint8), fps=24.0, frame_size=np.array([640, 480]))
+    np.savez(tmp_path / "bare.npz", kpts_raw=np.zeros((2, 33, 4)))
+    np.savez(tmp_path / "stale.npz", kpts_raw=np.zeros((3, 33, 4)), mask=np.zeros((2, 4, 4)))
+    (tmp_path / "notes.txt").write_text("x")
+    archives.register(spark)
+    frames = spark.read.format(archives.NAME).load(str(tmp_path))
+    wanted = frames.filter(F.col("clip_id").isin("one", "two", "none"))
+    assert wanted.rdd.getNumPartitions() == 3  # the refused ones aren't opened
+    got = sorted(wanted.collect(), key=lambda r: (r.clip_id, r.frame))
+    assert [(r.clip_id, r.frame) for r in got] == [("one", k) for k in range(300)] + [("two", k) for k in range(5)]
+    for r in (got[7], got[302]):
+        points, mask = clips_of[r.clip_id]
+        assert [tuple(p) for p in r.lm] == [tuple(p) for p in points[r.frame].tolist()]
+        assert r.bottom == [float(np.flatnonzero(c)[-1]) if c.any() else None for c in mask[r.frame].T]
+        assert (r.mask_valid, r.fps, r.width, r.height) == (True, 24.0, 640, 480)
+    assert got[0].lm[0].x is None
+    for name, why in (("bare", "has no mask"), ("stale", "3 frames of landmarks and 2 masks")):
+        with pytest.raises(Exception, match=why):
+            frames.filter(F.col("clip_id") == name).collect()
+    assert frames.filter("clip_id = 'absent'").collect() == []
+
+
 def test_ranked_values():
     rng = random.Random(3)
     ranked, plain = ranks.Ranked(), []
