@@ -31,7 +31,7 @@ CHUNK, OVERLAP = 32_768, 512
 #: A match of the pattern never depends on more than so many characters after it.
 LOOK = 2
 #: Encoded pre-tokens that a worker remembers at most, and the longest of them.
-CACHE, CACHE_CHARS = 300_000, 40
+CACHE, CACHE_CHARS = 200_000, 40
 
 
 def _same_classes(pattern: str) -> tuple[frozenset[str], regex.Pattern]:
@@ -40,36 +40,49 @@ def _same_classes(pattern: str) -> tuple[frozenset[str], regex.Pattern]:
     Engines know different versions of Unicode; the differences are characters
     that were added lately.
     """
-    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    every = np.array([c for c in range(0x110000) if not 0xD800 <= c < 0xE000], "<u4").tobytes().decode("utf-32-le")
     raw = {bytes([b]): b for b in range(256)}
-    odd, exact = set(), pattern
+    codes = lambda text: np.frombuffer(text.encode("utf-32-le"), "<u4")
+    odd, exact = [], pattern
     for name in (r"\p{L}", r"\p{N}", r"\s"):
-        lister = tiktoken.Encoding("class", pat_str=name, mergeable_ranks=raw, special_tokens={})
-        theirs, ours = set(lister.decode_bytes(lister.encode_ordinary(every)).decode()), set(regex.findall(name, every))
-        odd |= theirs ^ ours
-        if theirs != ours:
+        lister = tiktoken.Encoding("class", pat_str=f"{name}+", mergeable_ranks=raw, special_tokens={})
+        theirs = codes(bytes(lister.encode_to_numpy(every).astype(np.uint8)).decode())
+        ours = codes("".join(regex.findall(f"{name}+", every)))
+        more, less = np.setdiff1d(theirs, ours), np.setdiff1d(ours, theirs)
+        odd += [more, less]
+        if len(more) or len(less):
             # inside a set of its own, so that it also stands within the brackets of the pattern
-            more = f"[{_ranges(theirs - ours)}]" if theirs - ours else ""
-            less = f"--[{_ranges(ours - theirs)}]" if ours - theirs else ""
-            exact = exact.replace(name, f"[[{name}{more}]{less}]")
-    return frozenset(odd), regex.compile(exact, regex.V1)
+            exact = exact.replace(name, f"[[{name}{_ranges(more)}]{f'--[{_ranges(less)}]' if len(less) else ''}]")
+    return frozenset(np.concatenate(odd).astype("<u4").tobytes().decode("utf-32-le")), regex.compile(exact, regex.V1)
 
 
-def _ranges(chars: set[str]) -> str:
-    codes = np.array(sorted(map(ord, chars)))
+def _ranges(codes: np.ndarray) -> str:
+    if not len(codes):
+        return ""
     breaks = np.flatnonzero(np.diff(codes) > 1)
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(codes[[0, *(breaks + 1)]].tolist(), codes[[*breaks, -1]].tolist(), strict=True))
 
 
-class ByteBpe:
+class Tokens:
+    """The bytes of each id of a vocabulary, which is all that decoding needs."""
+
+    def __init__(self, ranks: bytes):
+        pairs = [(int(rank), base64.b64decode(token)) for token, rank in map(bytes.split, filter(None, ranks.splitlines()))]
+        self.raw = [b""] * (max(pairs)[0] + 1)
+        for rank, token in pairs:
+            self.raw[rank] = token
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.raw.__getitem__, ids.tolist()))
+
+
+class ByteBpe(Tokens):
     """The ranks of a byte-level BPE vocabulary: texts to ids, ids to bytes."""
 
     def __init__(self, ranks: bytes, pattern: str = PATTERN):
-        self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks.splitlines()) if token}
+        super().__init__(ranks)
+        self.ranks = {token: rank for rank, token in enumerate(self.raw) if token}
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
-        self.raw = [b""] * (max(self.ranks.values()) + 1)
-        for token, rank in self.ranks.items():
-            self.raw[rank] = token
         self.pattern = regex.compile(pattern)
         self.odd, self.exact = _same_classes(pattern)
         self.cache: dict[str, bytes] = {}
@@ -103,9 +116,6 @@ class ByteBpe:
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(self.codes(self.pieces(text))), np.int32)
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.raw.__getitem__, ids.tolist()))
-
 
 _LOADED: dict[int, ByteBpe] = {}
 
@@ -266,10 +276,10 @@ def decode_ids(encoded: DataFrame, ranks_path: str = RANKS, ids: str = "token_id
     plain = encoded.select(*(F.col(f"`{c}`") for c in rest))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _bpe(shared.value, PATTERN)
+        tokens = Tokens(shared.value)
         for b in batches:
             column = b.column(ids)
-            decoded = [bpe.decode(column[k].values.to_numpy()) if column[k].is_valid else b"" for k in range(b.num_rows)]
+            decoded = [tokens.decode(column[k].values.to_numpy()) if column[k].is_valid else b"" for k in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(decoded, pa.binary())], [*rest, "decoded"])
 
     return plain.mapInArrow(run, StructType([*plain.schema, StructField("decoded", BinaryType())]))
