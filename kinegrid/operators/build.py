@@ -26,6 +26,8 @@ REP_COLUMNS = (
 
 @dataclass(frozen=True)
 class BuildRules:
+    """The first four hold for clips whose record has no column of that name, or a NULL in it."""
+
     fps: float = 30.0
     #: Size of the image that landmarks are shares of, and of the masks.
     width: int = 640
@@ -39,22 +41,32 @@ class BuildRules:
     calibration: int = 30
 
 
+#: What each clip has of its own, and its frames carry.
+OWN = ("fps", "width", "height", "mask_height")
+
+
+def _owned(records: DataFrame, rules: BuildRules) -> DataFrame:
+    """(entity, ``OWN``) of the clips in ``records``."""
+    own = [F.coalesce(*([F.col(c).cast("double")] if c in records.columns else []), F.lit(float(getattr(rules, c)))).alias(c) for c in OWN]
+    return records.select(_named("clip_id"), *own).groupBy(KEY).agg(*(F.min(c).alias(c) for c in OWN))
+
+
 def _named(c: str) -> Column:
     return F.col(c).alias(KEY)
 
 
 def _sided(frames: DataFrame, per_torso: bool, layout: pose.Layout) -> DataFrame:
-    """(entity, frame, side, value): the wrist's distance from the opposite ankle, for either side."""
+    """(entity, frame, fps, side, value): the wrist's distance from the opposite ankle, for either side."""
     both = pose.contralateral(F.col("lm"), layout, per_torso=per_torso)
     sides = F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"_c.{s}").alias(VALUE)) for s in ("R", "L")))
-    return frames.select(KEY, FRAME, both.alias("_c")).select(KEY, FRAME, F.inline(sides))
+    return frames.select(KEY, FRAME, "fps", both.alias("_c")).select(KEY, FRAME, "fps", F.inline(sides))
 
 
 def exercise_segments(pixels: DataFrame, rules: BuildRules) -> DataFrame:
     """(entity, segment, start_s, end_s, n_reps, sides) of frames in pixels: where plausible repetitions follow each other."""
-    found = segments.with_timing(segments.find_reps(_sided(pixels, True, rules.layout), rules.fps), rules.fps)
-    lengths = pixels.groupBy(KEY).agg((F.count("*") / F.lit(rules.fps)).alias("length_s"))
-    return segments.find_segments(segments.plausible(found).join(lengths, KEY), F.col("length_s"))
+    lengths = pixels.groupBy(KEY).agg(F.min("fps").alias("fps"), F.count("*").alias("n_frames"))
+    found = segments.find_reps(_sided(pixels, True, rules.layout), "fps").join(lengths, KEY)
+    return segments.find_segments(segments.plausible(segments.with_timing(found, "fps")), F.col("n_frames") / F.col("fps"))
 
 
 def floors(frames: DataFrame, rules: BuildRules) -> DataFrame:
@@ -66,7 +78,7 @@ def floors(frames: DataFrame, rules: BuildRules) -> DataFrame:
 
 def frame_signals(frames: DataFrame, floor: DataFrame, rules: BuildRules) -> DataFrame:
     """(entity, frame, lumbar, rib, rib_lead, rot): gaps under the torso, NULL without a mask, the rib's over the lumbar one, and the turn of the hips."""
-    on_mask = frames.join(floor.select(KEY, "a", "b"), KEY).withColumn("lm", pose.scaled(F.col("lm"), F.size("bottom").cast("double"), F.lit(float(rules.mask_height))))
+    on_mask = frames.join(floor.select(KEY, "a", "b"), KEY).withColumn("lm", pose.scaled(F.col("lm"), F.size("bottom").cast("double"), F.col("mask_height")))
     torso, along, hip = pose.torso_len(F.col("lm"), rules.layout), pose.torso_vector(F.col("lm"), rules.layout), pose.hip_center(F.col("lm"), rules.layout)
     placed = on_mask.select(KEY, FRAME, "bottom", "mask_valid", "a", "b", torso.alias("torso"), hip["x"].alias("hip"), F.try_divide(along["x"], torso).alias("unit"))
 
@@ -75,7 +87,7 @@ def frame_signals(frames: DataFrame, floor: DataFrame, rules: BuildRules) -> Dat
         return F.when(F.col("mask_valid"), silhouette.band_signal(F.col("bottom"), F.col("a"), F.col("b"), place, F.col("torso"))["area"])
 
     gaps = placed.select(KEY, FRAME, gap(silhouette.LUMBAR).alias("lumbar"), gap(silhouette.RIB).alias("rib"))
-    turned = clips.rotation_deviation(_pixels(frames, rules), rules.calibration, rules.layout).select(KEY, FRAME, F.col("rot_dev").alias("rot"))
+    turned = clips.rotation_deviation(_pixels(frames), rules.calibration, rules.layout).select(KEY, FRAME, F.col("rot_dev").alias("rot"))
     return gaps.join(turned, [KEY, FRAME]).withColumn("rib_lead", F.col("rib") - F.col("lumbar"))
 
 
@@ -88,20 +100,21 @@ def rep_smoothness(normalised: DataFrame, reps: DataFrame, rules: BuildRules) ->
     out = reps.select(KEY, "rep")
     for name, (one, other) in (("wrist", (layout.wrists[1], layout.wrists[0])), ("ankle", (layout.ankles[0], layout.ankles[1]))):
         # a repetition is an entity of its own here, so that speeds stay within it
-        track = inside.select(F.struct(KEY, "rep").alias("_rep"), FRAME, limb(one, other).alias("p")).select(F.col("_rep").alias(KEY), FRAME, "p.x", "p.y")
-        moved = speed(track, rules.fps).select(f"{KEY}.{KEY}", f"{KEY}.rep", FRAME, "speed")
-        out = out.join(clips.smoothness(moved, rules.fps, KEY, "rep").withColumnRenamed("sparc", f"sparc_{name}"), [KEY, "rep"], "left")
+        track = inside.select(F.struct(KEY, "rep").alias("_rep"), FRAME, "fps", limb(one, other).alias("p")).select(F.col("_rep").alias(KEY), FRAME, "fps", "p.x", "p.y")
+        moved = speed(track, "fps").select(f"{KEY}.{KEY}", f"{KEY}.rep", FRAME, "fps", "speed")
+        out = out.join(clips.smoothness(moved, "fps", KEY, "rep").withColumnRenamed("sparc", f"sparc_{name}"), [KEY, "rep"], "left")
     return out
 
 
-def _pixels(frames: DataFrame, rules: BuildRules) -> DataFrame:
-    return frames.withColumn("lm", pose.scaled(F.col("lm"), F.lit(float(rules.width)), F.lit(float(rules.height))))
+def _pixels(frames: DataFrame) -> DataFrame:
+    return frames.withColumn("lm", pose.scaled(F.col("lm"), F.col("width"), F.col("height")))
 
 
 def build_reps(records: DataFrame, frames: DataFrame, rules: BuildRules = BuildRules()) -> tuple[DataFrame, DataFrame]:
     """The repetitions (``REP_COLUMNS``) and the diagnostics of all clips.
 
-    ``records`` has (clip_id, person_id, condition, view, qc_status), ``frames``
+    ``records`` has (clip_id, person_id, condition, view, qc_status) and, if
+    clips have these of their own, fps, width, height and mask_height; ``frames``
     (entity, frame, lm, bottom, mask_valid) with landmarks as shares of the
     image and frames numbered from 0. Diagnostics have a row per record; its
     ``reason`` says why a clip has no repetitions: it was rejected before, no
@@ -109,8 +122,10 @@ def build_reps(records: DataFrame, frames: DataFrame, rules: BuildRules = BuildR
     has none, and ``alternation_intact`` is NULL where there is no repetition.
     """
     taken = records.filter(F.coalesce(F.col("qc_status") != "reject", F.lit(True)))
-    known = checkpointed(frames.join(taken.select(_named("clip_id")).distinct(), KEY, "left_semi"))
-    pixels = _pixels(known, rules)
+    own = checkpointed(_owned(taken, rules))
+    known = checkpointed(frames.drop(*OWN).join(own, KEY))
+    rates = own.select(KEY, "fps")
+    pixels = _pixels(known)
     found = checkpointed(exercise_segments(pixels, rules))
     floor = checkpointed(floors(known, rules))
     counted = found.groupBy(KEY).agg(F.count("*").alias("n_segments"))
@@ -127,15 +142,17 @@ def build_reps(records: DataFrame, frames: DataFrame, rules: BuildRules = BuildR
     fine = told.filter("reason is null").select(KEY)
 
     # a segment is a series of its own, numbered from 0
-    parts = found.join(fine, KEY, "left_semi").select(KEY, "segment", F.rint(F.col("start_s") * rules.fps).cast("long").alias("low"), F.rint(F.col("end_s") * rules.fps).cast("long").alias("high"))
-    normalised = checkpointed(clips.normalize(pixels.join(fine, KEY, "left_semi"), rules.layout).select(KEY, FRAME, "lm"))
-    series = _sided(normalised, False, rules.layout).join(parts, KEY).filter((F.col(FRAME) >= F.col("low")) & (F.col(FRAME) < F.col("high")))
+    edge = lambda c: F.rint(F.col(c) * F.col("fps")).cast("long")
+    parts = found.join(fine, KEY, "left_semi").join(rates, KEY).select(KEY, "segment", "fps", edge("start_s").alias("low"), edge("end_s").alias("high"))
+    normalised = checkpointed(clips.normalize(pixels.join(fine, KEY, "left_semi"), rules.layout).select(KEY, FRAME, "fps", "lm"))
+    series = _sided(normalised, False, rules.layout).join(parts.drop("fps"), KEY).filter((F.col(FRAME) >= F.col("low")) & (F.col(FRAME) < F.col("high")))
     part = F.concat_ws("#", KEY, "segment")
-    series = series.select(part.alias(KEY), (F.col(FRAME) - F.col("low")).alias(FRAME), "side", VALUE)
-    reps = segments.with_timing(segments.find_reps(series, rules.fps), rules.fps)
-    reps = segments.with_flags(segments.with_alternation(segments.with_dwell(reps, series, rules.fps))).withColumnRenamed(KEY, "_part")
-    shifted = {c: F.col(c) + F.col("low") for c in ("start", "peak", "end")} | {f"{c}_s": F.col(f"{c}_s") + F.col("low") / F.lit(rules.fps) for c in ("start", "peak", "end")}
-    placed = reps.join(parts.withColumn("_part", part), "_part").withColumns(shifted)
+    series = series.select(part.alias(KEY), (F.col(FRAME) - F.col("low")).alias(FRAME), "fps", "side", VALUE)
+    reps = segments.find_reps(series, "fps").join(parts.select(part.alias(KEY), "fps"), KEY)
+    reps = segments.with_dwell(segments.with_timing(reps, "fps"), series, "fps")
+    reps = segments.with_flags(segments.with_alternation(reps)).withColumnRenamed(KEY, "_part")
+    shifted = {c: F.col(c) + F.col("low") for c in ("start", "peak", "end")} | {f"{c}_s": F.col(f"{c}_s") + F.col("low") / F.col("fps") for c in ("start", "peak", "end")}
+    placed = reps.join(parts.drop("fps").withColumn("_part", part), "_part").withColumns(shifted)
     order = segments.Window.partitionBy(KEY).orderBy("segment", "start", F.desc("side"))
     numbered = checkpointed(placed.withColumn("rep", F.row_number().over(order) - 1))
 

@@ -282,15 +282,15 @@ def sparc(speed: np.ndarray, fs: float, padding: int = 4, cutoff: float = 10.0,
     return -float(np.hypot(1 / steps, np.diff(curve[loud[0] : loud[-1] + 1])).sum())
 
 
-def smoothness(rows: DataFrame, fs: float, *by: str, value: str = "speed") -> DataFrame:
-    """(by..., sparc) of each group's samples in order of frames."""
+def smoothness(rows: DataFrame, fs: float | str, *by: str, value: str = "speed") -> DataFrame:
+    """(by..., sparc) of each group's samples in order of frames; ``fs`` may be the column with each group's own rate."""
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        out = sparc(group.sort_values(FRAME)[value].to_numpy(float), fs)
+        out = sparc(group.sort_values(FRAME)[value].to_numpy(float), float(group[fs].iloc[0]) if isinstance(fs, str) else fs)
         return pd.DataFrame({**{b: [k] for b, k in zip(by, key, strict=True)}, "sparc": pd.array([out], "Float64")})
 
     kinds = ", ".join(f"{b} {rows.schema[b].dataType.simpleString()}" for b in by)
-    return rows.select(*by, FRAME, value).groupBy(*by).applyInPandas(run, f"{kinds}, sparc double")
+    return rows.select(*by, FRAME, value, *([fs] if isinstance(fs, str) else [])).groupBy(*by).applyInPandas(run, f"{kinds}, sparc double")
 
 
 def minimum_jerk(n: int, amplitude: float = 1.0) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .filters import one_euro
-from .series import FRAME, KEY, VALUE
+from .series import FRAME, KEY, VALUE, rate
 
 SIDE = "side"
 MIN_DISTANCE_S, DWELL, MIN_TEMPO_S, MAX_TEMPO_S = 0.8, 0.05, 0.4, 6.0
@@ -125,8 +125,8 @@ def reps_of(x: np.ndarray, fps: float, distance_s: float = MIN_DISTANCE_S, fract
             yield start, int(peak), end, float(filled[peak])
 
 
-def find_reps(rows: DataFrame, fps: float, value: str = VALUE, **options: float) -> DataFrame:
-    """(entity, side, start, peak, end, excursion) from rows (entity, side, frame, value).
+def find_reps(rows: DataFrame, fps: float | str, value: str = VALUE, **options: float) -> DataFrame:
+    """(entity, side, start, peak, end, excursion) from rows (entity, side, frame, value); ``fps`` may be a column.
 
     A series is filtered and searched as a whole in one grouped function, so
     that it is shuffled once. Frames of a series count from 0 without gaps.
@@ -134,14 +134,14 @@ def find_reps(rows: DataFrame, fps: float, value: str = VALUE, **options: float)
 
     def run(key: tuple, series: pd.DataFrame) -> pd.DataFrame:
         x = series.sort_values(FRAME)[value].to_numpy(float)
-        found = list(reps_of(x, fps, **options))
+        found = list(reps_of(x, float(series[fps].iloc[0]) if isinstance(fps, str) else fps, **options))
         out = pd.DataFrame(found, columns=["start", "peak", "end", "excursion"]).astype({"start": "int64", "peak": "int64", "end": "int64", "excursion": "float64"})
         out.insert(0, SIDE, key[1])
         out.insert(0, KEY, key[0])
         return out
 
     kind = rows.schema[KEY].dataType.simpleString()
-    return rows.select(KEY, SIDE, FRAME, value).groupBy(KEY, SIDE).applyInPandas(run, f"{KEY} {kind}, {SIDE} string, start long, peak long, end long, excursion double")
+    return rows.select(KEY, SIDE, FRAME, value, *([fps] if isinstance(fps, str) else [])).groupBy(KEY, SIDE).applyInPandas(run, f"{KEY} {kind}, {SIDE} string, start long, peak long, end long, excursion double")
 
 
 def in_order() -> Window:
@@ -149,17 +149,17 @@ def in_order() -> Window:
     return Window.partitionBy(KEY).orderBy("start", F.desc(SIDE))
 
 
-def with_timing(reps: DataFrame, fps: float) -> DataFrame:
+def with_timing(reps: DataFrame, fps: float | str) -> DataFrame:
     """start_s, peak_s, end_s, durations, and overlap_s: the gap to the next repetition, negative if they overlap, NULL on the last."""
-    s = lambda a, b: (F.col(a) - F.col(b)) / F.lit(float(fps))
-    each = {f"{c}_s": F.col(c) / F.lit(float(fps)) for c in ("start", "peak", "end")}
+    s = lambda a, b: (F.col(a) - F.col(b)) / rate(fps)
+    each = {f"{c}_s": F.col(c) / rate(fps) for c in ("start", "peak", "end")}
     each |= {"duration_s": s("end", "start"), "t_extend_s": s("peak", "start"), "t_return_s": s("end", "peak")}
     following = F.lead("start").over(in_order())
-    out = reps.withColumns(each).withColumn("overlap_s", (following - F.col("end")) / F.lit(float(fps)))
+    out = reps.withColumns(each).withColumn("overlap_s", (following - F.col("end")) / rate(fps))
     return out.withColumn("overlaps_next", F.coalesce(F.col("overlap_s") < 0, F.lit(False)))
 
 
-def with_dwell(reps: DataFrame, rows: DataFrame, fps: float, share: float = DWELL, value: str = VALUE) -> DataFrame:
+def with_dwell(reps: DataFrame, rows: DataFrame, fps: float | str, share: float = DWELL, value: str = VALUE) -> DataFrame:
     """dwell_s: time within ``share`` of the largest raw value of the repetition.
 
     An equi-join on series with a range on frames; repetitions are few per series.
@@ -167,8 +167,8 @@ def with_dwell(reps: DataFrame, rows: DataFrame, fps: float, share: float = DWEL
     samples = rows.select(KEY, SIDE, FRAME, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
     inside = reps.join(samples, [KEY, SIDE]).filter(F.col(FRAME).between(F.col("start"), F.col("end")))
     top = F.max("_v").over(Window.partitionBy(KEY, SIDE, "start"))
-    held = inside.withColumn("_top", top).groupBy(KEY, SIDE, "start").agg((F.count_if(F.col("_v") >= F.col("_top") * (1 - share)) / F.lit(float(fps))).alias("dwell_s"))
-    return reps.join(held, [KEY, SIDE, "start"], "left")
+    held = inside.withColumn("_top", top).groupBy(KEY, SIDE, "start").agg(F.count_if(F.col("_v") >= F.col("_top") * (1 - share)).alias("_n"))
+    return reps.join(held, [KEY, SIDE, "start"], "left").withColumn("dwell_s", F.col("_n") / rate(fps)).drop("_n")
 
 
 def with_alternation(reps: DataFrame) -> DataFrame:

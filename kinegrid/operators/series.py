@@ -36,10 +36,15 @@ def first_difference(rows: DataFrame, fps: float, value: str = VALUE, out: str =
     return rows.withColumn(out, F.when(n == 1, F.lit(0.0)).otherwise((F.col(value) - before) * fps))
 
 
-def speed(rows: DataFrame, fps: float, x: str = "x", y: str = "y") -> DataFrame:
+def rate(fps: float | str) -> Column:
+    """Frames a second: a number for all series, or the column that has each series' own."""
+    return F.col(fps) if isinstance(fps, str) else F.lit(float(fps))
+
+
+def speed(rows: DataFrame, fps: float | str, x: str = "x", y: str = "y") -> DataFrame:
     """Length of the step to each frame, times fps; the first frame has none and goes."""
     dx, dy = (F.col(c) - F.lag(c).over(by_frame()) for c in (x, y))
-    return rows.withColumns({"speed": F.hypot(dx, dy) * fps, "_n": F.row_number().over(by_frame())}).filter("_n > 1").drop("_n")
+    return rows.withColumns({"speed": F.hypot(dx, dy) * rate(fps), "_n": F.row_number().over(by_frame())}).filter("_n > 1").drop("_n")
 
 
 def neighbours(value: str = VALUE, frame: str = FRAME) -> tuple[Column, Column, Column, Column]:

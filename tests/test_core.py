@@ -545,6 +545,21 @@ def test_frames_become_rows_of_repetitions(spark):
     assert (whole.n_clips, whole.n_reps, whole.n_persons, whole.by_condition) == (5, 6, 1, {"correct": 6})
 
 
+def test_clips_with_rates_and_sizes_of_their_own(spark):
+    """Two clips built together are as each by itself under its own rules; NULL and missing columns take the rules'."""
+    schema = "entity string, frame long, lm array<struct<x:double,y:double,z:double,v:double>>, bottom array<double>, mask_valid boolean"
+    frames = spark.createDataFrame(moving_clip("a", 4) + moving_clip("b", 4) + moving_clip("c", 4), schema).cache()
+    rows = [("a", "p", "correct", "side", "ok", 20.0, 1280.0), ("b", "p", "correct", "side", "ok", 40.0, 640.0), ("c", "q", "correct", "side", "ok", None, None)]
+    records = spark.createDataFrame(rows, "clip_id string, person_id string, condition string, view string, qc_status string, fps double, width double")
+    together, told = build.build_reps(records, frames)
+    assert {r.clip_id for r in told.filter("n_reps = 4").collect()} == {"a", "b", "c"}
+    for clip, rules in (("a", build.BuildRules(fps=20.0, width=1280)), ("b", build.BuildRules(fps=40.0)), ("c", build.BuildRules())):
+        alone, _ = build.build_reps(records.filter(F.col("clip_id") == clip).drop("fps", "width"), frames, rules)
+        assert sorted(map(str, alone.collect())) == sorted(map(str, together.filter(F.col("clip_id") == clip).collect()))
+    lengths = {r.clip_id: r.d for r in together.groupBy("clip_id").agg(F.avg("duration_s").alias("d")).collect()}
+    assert lengths["a"] > 1.4 * lengths["c"] > 1.4 * lengths["b"]
+
+
 # --- rules and gates ------------------------------------------------------------
 
 
