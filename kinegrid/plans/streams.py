@@ -168,7 +168,83 @@ def stream_increasing_ms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (stream_rep_counter, stream_session, stream_report, stream_frames, replay_rep_counter, session_report, coach_messages, stream_cooldown, stream_changes, stream_increasing_ms)}
+#: The counter as a recursion over the samples of each side, and the sessions that are judged from its repetitions.
+_SAMPLES = """WITH RECURSIVE taken AS (
+  SELECT user_id::VARCHAR AS session, event_id AS frame, epoch_us(ts) / 1e6 AS t, value / 100 AS v, value / 100 / 100 AS gap, value / 1000 AS turn,
+    CASE WHEN event_type IN ('click', 'purchase', 'view') THEN 'R' ELSE 'L' END AS side
+  FROM events),
+"""
+_SETUP = """rested AS (
+  SELECT *, t - min(t) OVER (PARTITION BY session) >= 86400 AND count(gap) OVER (PARTITION BY session ORDER BY t, frame ROWS UNBOUNDED PRECEDING) >= 4 AS rested FROM taken),
+counted AS (SELECT * FROM rested QUALIFY count(*) FILTER (rested) OVER (PARTITION BY session ORDER BY t, frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0),
+"""
+_COUNTER = """ranged AS (
+  SELECT session, side, frame, t, v, row_number() OVER (PARTITION BY session, side ORDER BY t, frame) AS n,
+    list_sort(list(v) OVER (PARTITION BY session, side ORDER BY t RANGE BETWEEN 432000 PRECEDING AND CURRENT ROW)) AS near
+  FROM {source} WHERE v IS NOT NULL),
+placed AS (
+  SELECT * EXCLUDE near, {{'v': v, 'f': frame, 't': t}} AS now,
+    CASE WHEN len(near) < 8 THEN 0.0 ELSE near[floor(0.95 * (len(near) - 1))::INT + 1] - near[floor(0.05 * (len(near) - 1))::INT + 1] END AS spread
+  FROM ranged),
+walk AS (
+  SELECT session, side, 0::BIGINT AS n, []::STRUCT(v DOUBLE, f BIGINT, t DOUBLE)[] AS recent, NULL::STRUCT(v DOUBLE, f BIGINT, t DOUBLE) AS low,
+    NULL::STRUCT(v DOUBLE, f BIGINT, t DOUBLE) AS high, NULL::DOUBLE AS last_rep,
+    NULL::STRUCT(low STRUCT(v DOUBLE, f BIGINT, t DOUBLE), high STRUCT(v DOUBLE, f BIGINT, t DOUBLE), done STRUCT(v DOUBLE, f BIGINT, t DOUBLE)) AS rep
+  FROM placed WHERE n = 1
+  UNION ALL
+  SELECT session, side, n, CASE WHEN event = 'fall' THEN [now] ELSE recent END, CASE WHEN event = 'fall' THEN now ELSE low END,
+    CASE WHEN event IN ('rise', 'higher') THEN now WHEN event = 'fall' THEN NULL ELSE high END,
+    CASE WHEN confirmed THEN t ELSE last_rep END, CASE WHEN confirmed THEN {{'low': low, 'high': high, 'done': now}} END
+  FROM (
+    SELECT *, event = 'fall' AND coalesce(t - last_rep >= 3600, TRUE) AND high.t - low.t <= 324000 AS confirmed
+    FROM (
+      SELECT *, CASE WHEN high IS NULL THEN CASE WHEN v - low.v >= greatest(0.05, 0.25 * spread) THEN 'rise' ELSE 'rest' END
+                     WHEN v > high.v THEN 'higher'
+                     WHEN high.v - low.v > 0 AND high.v - v >= 0.4 * (high.v - low.v) THEN 'fall' ELSE 'hold' END AS event
+      FROM (
+        SELECT * EXCLUDE (recent, was), kept AS recent, CASE WHEN high IS NULL THEN list_sort(kept)[1] ELSE was END AS low
+        FROM (
+          SELECT w.session, w.side, p.n, p.v, p.t, p.now, p.spread, w.recent, w.low AS was, w.high, w.last_rep,
+            CASE WHEN w.high IS NULL THEN list_append(list_filter(w.recent, lambda x: p.t - x.t <= 216000), p.now)
+                 ELSE list_filter(w.recent, lambda x: p.t - x.t <= 216000) END AS kept
+          FROM walk w JOIN placed p ON p.session = w.session AND p.side = w.side AND p.n = w.n + 1))))),
+reps AS (
+  SELECT session, side, row_number() OVER o AS rep_index, coalesce(side = lag(side) OVER o, FALSE) AS alternation_broken,
+    rep.low.f AS start, rep.high.f AS peak, rep.done.f AS end, rep.low.t AS start_s, rep.high.t AS peak_s, rep.done.t AS end_s, rep.high.v - rep.low.v AS amplitude
+  FROM walk WHERE rep IS NOT NULL WINDOW o AS (PARTITION BY session ORDER BY rep.done.t, rep.done.f, side DESC))
+"""
+_JUDGED = """, measured AS (
+  SELECT r.*, max(f.gap) AS gap_peak, max(abs(f.turn)) AS turn_peak, r.peak_s - r.start_s AS t_extend_s
+  FROM reps r LEFT JOIN taken f ON f.session = r.session AND f.frame BETWEEN r.start AND r.end AND f.t <= r.end_s AND r.end_s - f.t <= 864000
+  WHERE r.rep_index <= 103 GROUP BY ALL),
+base AS (
+  SELECT session, avg(gap_peak) AS gm, stddev_pop(gap_peak) AS gs, avg(turn_peak) AS tm, stddev_pop(turn_peak) AS ts, median(t_extend_s) AS usual
+  FROM measured WHERE rep_index <= 3 GROUP BY session),
+judged AS (
+  SELECT m.*, CASE WHEN rep_index <= 3 THEN 'BASELINE' ELSE 'ACTIVE' END AS phase,
+    CASE WHEN rep_index <= 3 THEN [] ELSE list_filter([
+      CASE WHEN gap_peak > greatest(gm + 2.5 * gs, gm + 0.004) THEN 'lumbar_arch' END,
+      CASE WHEN turn_peak > greatest(tm + 2.5 * b.ts, tm + 0.04) THEN 'rotation' END,
+      CASE WHEN t_extend_s < 0.6 * usual THEN 'too_fast' END], lambda e: e IS NOT NULL) END AS errors
+  FROM measured m JOIN base b ON b.session = m.session)
+"""
+_COUNTED = _SAMPLES + _COUNTER.format(source="taken") + "SELECT * FROM reps"
+_SESSIONS = _SAMPLES + _SETUP + _COUNTER.format(source="counted") + _JUDGED
+_REPORTED = (
+    _SESSIONS
+    + """, wrong AS (
+  SELECT session, '{' || string_agg('"' || e || '":' || n, ',' ORDER BY n DESC, e) || '}' AS error_counts
+  FROM (SELECT session, e, count(*) AS n FROM (SELECT session, unnest(errors) AS e FROM judged) GROUP BY ALL) GROUP BY session)
+SELECT j.session, count(*) AS total_reps, count(*) FILTER (len(errors) = 0) AS correct_reps,
+  round_even(count(*) FILTER (len(errors) = 0) / count(*)::DOUBLE, 6) AS accuracy, any_value(error_counts) AS error_counts
+FROM judged j LEFT JOIN wrong w ON w.session = j.session WHERE phase = 'ACTIVE' GROUP BY j.session"""
+)
 ORACLES = {
+    "replay_rep_counter": _COUNTED,
+    "stream_rep_counter": _COUNTED,
+    "stream_session": _SESSIONS + "SELECT * EXCLUDE errors, array_to_string(errors, ';') AS errors FROM judged",
+    "session_report": _REPORTED,
+    "stream_report": _REPORTED,
     "coach_messages": """WITH RECURSIVE e AS (
   SELECT user_id::VARCHAR AS session, event_id AS frame, floor(epoch(ts))::BIGINT - 1700000000 AS t, event_type <> 'error' AS fine, weekofyear(ts)::VARCHAR AS phase FROM events),
 told AS (
