@@ -118,6 +118,32 @@ def clip_summary(frames: DataFrame, layout: pose.Layout = pose.L33) -> DataFrame
     )
 
 
+def measured(frames: DataFrame, records: DataFrame, segments: DataFrame, layout: pose.Layout = pose.L33) -> DataFrame:
+    """One row of twelve measures per clip of ``records`` (entity, file, fps): what triage decides on.
+
+    ``segments`` (entity, start_s, end_s, n_reps) are its stretches of exercise.
+    A clip without frames has 0 of them, no rates, and no exercise. A rate that
+    isn't positive counts as 30.
+    """
+    exercise = segments.groupBy(KEY).agg(F.sum("n_reps").alias("n_reps"), F.sum(F.col("end_s") - F.col("start_s")).alias("_s"))
+    rated = records.select(KEY, "file", F.when(F.col("fps") > 0, F.col("fps")).otherwise(30.0).alias("fps"))
+    all_ = rated.join(clip_summary(frames, layout), KEY, "left").join(exercise, KEY, "left").withColumn("n_frames", F.coalesce("n_frames", F.lit(0)))
+    duration = F.col("n_frames") / F.col("fps")
+    third = lambda c: F.bround(c, 3).alias(c)
+    return all_.select(
+        KEY,
+        "file",
+        "n_frames",
+        third("fps"),
+        F.bround(duration, 1).alias("duration_s"),
+        *map(third, ("detection_rate", "mean_visibility_core", "view_score")),
+        F.when(F.col("view_score").isNotNull(), pose.classify_view(F.col("view_score"))).alias("view"),
+        third("torso_len_cv"),
+        F.coalesce("n_reps", F.lit(0)).alias("n_reps"),
+        F.bround(F.coalesce(F.try_divide("_s", duration), F.lit(0.0)), 3).alias("exercise_fraction"),
+    )
+
+
 def assessed(summary: DataFrame) -> DataFrame:
     """A clip's summary with a list of warnings."""
     checks = (

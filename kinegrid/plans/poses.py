@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pose, silhouette
 from ..functions.stats import rounded
-from ..operators import build, clips
+from ..operators import build, clips, segments
 from .tables import NUDGE, POSES_SQL, load, poses
 
 L = pose.L17
@@ -93,6 +93,16 @@ def clip_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("entity", "n_frames", rounded("detection_rate").alias("detection_rate"), rounded("torso_len_cv").alias("torso_len_cv"), rounded("view_score").alias("view_score"), F.array_join("warnings", "; ").alias("warnings"))
 
 
+def clip_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve measures of each clip; every fourth frame begins a repetition, and every sixth repetition is followed by a long rest."""
+    frames = poses(spark, sf_dir)
+    n = F.floor(F.col("frame") / 4)
+    reps = frames.filter(F.col("frame") == 4 * n).select("entity", (2 * n + 20 * F.floor(n / 6)).cast("double").alias("start_s"), F.when(n % 2 == 0, "R").otherwise("L").alias("side"))
+    sets = segments.find_segments(reps.withColumn("end_s", F.col("start_s") + 1.5), F.lit(1e6), 12.0, 4, 0.0)
+    records = load(spark, sf_dir, "embeddings").select(F.col("label").alias("entity")).distinct().select("entity", F.concat(F.lit("clip"), "entity", F.lit(".mp4")).alias("file"), F.when(F.col("entity") % 3 == 0, 0.0).otherwise(0.5).alias("fps"))
+    return clips.measured(frames, records, sets, L).drop("mean_visibility_core")
+
+
 def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(entity, frame, vec_id, bottom): numbers of an embedding as a silhouette of 64 columns; low ones are empty."""
     e = load(spark, sf_dir, "embeddings")
@@ -212,7 +222,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pose_normalize, pose_view_score, pose_bones, pose_angles, pose_flip, pose_contralateral, pose_rotation_dev, pose_torso_cv, pose_geometric,
-        pose_features109, pose_flip_agrees, clip_triage, silhouette_gap, silhouette_boundary, silhouette_perturb, floor_percentile, floor_ransac, smoothness_sparc,
+        pose_features109, pose_flip_agrees, clip_triage, clip_measures, silhouette_gap, silhouette_boundary, silhouette_perturb, floor_percentile, floor_ransac, smoothness_sparc,
         build_reps, build_diagnostics,
     )
 }
@@ -236,6 +246,15 @@ FROM (SELECT vec_id, torso, sqrt((x[11] - x[16]) ** 2 + (y[11] - y[16]) ** 2) AS
   array_to_string(list_filter([CASE WHEN cv > 0.1 THEN 'camera moves' END, CASE WHEN s >= 0.12 THEN 'not a side view' END], lambda w: w IS NOT NULL), '; ') AS warnings
 FROM (SELECT entity, count(*) AS n_frames, stddev_pop(torso) / avg(torso) AS cv, median(hips / torso) AS s,
   avg((len(list_filter(x || y, lambda v: isfinite(v))) > 0)::INT) AS seen FROM lengths GROUP BY entity)""", _T),
+    "clip_measures": _p("""SELECT c.entity, 'clip' || c.entity || '.mp4' AS file, n_frames, fps, round_even(n_frames / fps, 1) AS duration_s, round_even(seen, 3) AS detection_rate, round_even(s, 3) AS view_score,
+  CASE WHEN s < 0.12 THEN 'side' WHEN s < 0.21 THEN 'oblique45' ELSE 'other' END AS view, round_even(cv, 3) AS torso_len_cv,
+  coalesce(n_reps, 0)::BIGINT AS n_reps, round_even(coalesce(exercise / (n_frames / fps), 0), 3) AS exercise_fraction
+FROM (SELECT entity, count(*) AS n_frames, CASE WHEN entity % 3 = 0 THEN 30.0::DOUBLE ELSE 0.5::DOUBLE END AS fps, stddev_pop(torso) / avg(torso) AS cv, median(hips / torso) AS s,
+    avg((len(list_filter(x || y, lambda v: isfinite(v))) > 0)::INT) AS seen FROM lengths GROUP BY entity) c
+LEFT JOIN (
+  SELECT entity, sum(n) AS n_reps, sum(length) AS exercise FROM (
+    SELECT entity, frame // 24 AS part, count(*) AS n, max(frame / 4) * 2 - min(frame / 4) * 2 + 1.5 AS length FROM poses WHERE frame % 4 = 0 GROUP BY ALL) WHERE n >= 4 GROUP BY entity) e
+ON e.entity = c.entity""", _T),
     "silhouette_gap": f"""WITH {MASKS_SQL},
 gaps AS (SELECT vec_id, x0, x1, [coalesce(greatest(0, 0.05::DOUBLE * k + 118 - bottom[k + 1]), 0) FOR k IN range(x0, x1)] AS g FROM placed)
 SELECT vec_id, x0, x1, round_even(coalesce(list_sum(g), 0) / 6400 + 1e-9, 6) AS area, round_even(coalesce(list_max(g), 0) / 80 + 1e-9, 6) AS peak, len(g)::INT AS width FROM gaps""",
