@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from statistics import NormalDist
 
 from pyspark.sql import Column
@@ -45,17 +44,6 @@ def wilson(k: Column | str, n: Column | str, alpha: float = 0.05) -> tuple[Colum
     return F.when(known, F.greatest(F.lit(0.0), centre - half)).otherwise(0.0), F.when(known, F.least(F.lit(1.0), centre + half)).otherwise(1.0)
 
 
-def wilson_interval(k: int, n: int, alpha: float = 0.05) -> tuple[float, float]:
-    """The same for two numbers on the driver."""
-    if n <= 0:
-        return 0.0, 1.0
-    z, p = z_for(alpha), k / n
-    scale = 1 + z * z / n
-    centre = (p + z * z / (2 * n)) / scale
-    half = z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / scale
-    return max(0.0, centre - half), min(1.0, centre + half)
-
-
 def relative_error(counted: Column | str, true: Column | str) -> Column:
     """Absolute relative error of a count; NULL unless the true count is positive."""
     counted, true = col(counted).cast("double"), col(true).cast("double")

@@ -13,25 +13,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.build import REP_COLUMNS
 from ..operators.validate import SchemaError, as_double, column_problems
 
+#: The columns of a manifest, in their order.
 CLIP_STRINGS = ("clip_id", "file", "person_id", "condition", "view", "label_source", "dedup_group", "session", "notes", "qc_status")
 CLIP_NUMBERS = ("camera_angle_deg", "detection_rate", "view_score", "torso_len_cv")
 CLIP_COLUMNS = ("clip_id", "file", "person_id", "condition", "view", "label_source", "camera_angle_deg", "dedup_group", "session", "notes", "detection_rate", "view_score", "torso_len_cv", "qc_status")
 CLIP_REQUIRED = ("clip_id", "file", "person_id", "condition", "view")
 
-REPS = T.StructType(
-    [T.StructField(c, T.StringType()) for c in ("rep_id", "clip_id", "person_id", "condition", "view", "side")]
-    + [T.StructField("rep_index", T.IntegerType())]
-    + [
-        T.StructField(c, T.DoubleType())
-        for c in (
-            "start_s", "end_s", "peak_s", "duration_s", "t_extend_s", "t_return_s", "dwell_s", "overlap_s", "excursion_peak",
-            "lumbar_gap_mean", "lumbar_gap_peak", "lumbar_gap_at_excursion_peak", "rib_gap_peak", "rot_dev_peak", "sparc_wrist", "sparc_ankle",
-        )
-    ]
-    + [T.StructField("flags", T.StringType())]
-)
+_REP_KINDS = dict.fromkeys(("rep_id", "clip_id", "person_id", "condition", "view", "side", "flags"), T.StringType()) | {"rep_index": T.IntegerType()}
+REPS = T.StructType([T.StructField(c, _REP_KINDS.get(c, T.DoubleType())) for c in REP_COLUMNS])
 
 
 def header(spark: SparkSession, path: str) -> list[str]:
