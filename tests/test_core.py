@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import time
 
 import numpy as np
@@ -637,6 +638,44 @@ def test_hamming_matches_equal_brute_force(spark):
     assert share == {(a, b): len({s for x, s, y, _ in want if (x, y) == (a, b)}) / sizes[a] for a, b in {(w[0], w[2]) for w in want}}
 
 
+def _broadcast_keys(df) -> set[str]:
+    """The first key of every broadcast join in the plan; joins of Spark's own choice, by the sizes that it takes for granted."""
+    return set(re.findall(r"BroadcastHashJoin \[(\w+)", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def _alike(seed: int) -> list[tuple[str, float, int]]:
+    """Files of a few frames each, many within 8 bits of others', and a frame that all of them have."""
+    rng = random.Random(seed)
+    pool = [rng.getrandbits(64) for _ in range(30)]
+    rows = []
+    for f in range(24):
+        for k in range(rng.randrange(2, 9)):
+            h = rng.choice(pool) ^ sum(1 << b for b in rng.sample(range(64), rng.choice((0, 1, 4, 8, 9))))
+            rows.append((f"f{f:02d}", float(k), h - (1 << 64) if h >> 63 else h))
+        rows.append((f"f{f:02d}", 9.0, 0))
+    return rows
+
+
+def _far(a: int, b: int) -> int:
+    return bin((a ^ b) & ((1 << 64) - 1)).count("1")
+
+
+def test_near_hashes_meet_once_in_blocks_and_are_not_broadcast(spark, monkeypatch):
+    hashes = sorted({h for seed in range(3) for _, _, h in _alike(seed)})
+    df = spark.createDataFrame([(h,) for h in hashes] + [(None,), (hashes[0],)], "h long")
+    for block in (dedup.BLOCK, 20):
+        monkeypatch.setattr(dedup, "BLOCK", block)
+        for radius in (2, 8):
+            near = dedup.near_hashes(df, radius)
+            assert _broadcast_keys(near) <= {"k"}  # values of sections that many hashes have
+            assert sorted(map(tuple, near.collect())) == sorted((a, b, _far(a, b)) for a in hashes for b in hashes if _far(a, b) <= radius)
+    monkeypatch.setattr(dedup, "PAIRS_AT_ONCE", 7)
+    h, group, own = np.arange(20, dtype=np.uint64), np.zeros(20, np.int64), np.zeros(20, np.int32)
+    pairs = [(int(x), int(y)) for one, other, _ in dedup._section_pairs(h, group, own, 1, 8) for x, y in zip(one, other, strict=True)]
+    # their first section differs; beyond two bits of the part they'd meet in another one
+    assert sorted(map(sorted, pairs)) == sorted([a, b] for a in range(20) for b in range(a + 1, 20) if _far(a, b) <= 2)
+
+
 def test_similar_files_without_all_pairs(spark):
     """Random files, copies, and one black frame in every file: what is left out shares less than the bound."""
     rng = random.Random(9)
