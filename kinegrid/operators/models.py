@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+#: Shares that leave a Python worker at once, 4 MB, and series of a task.
+BATCH_VALUES, TASK_ROWS = 1 << 19, 2048
+#: Of rows that are kept for the next iteration: an array of half a region of the JVM's heap (1 MB in small ones) takes whole regions.
+BLOCK_MB = 0.4
 
 FitPredict = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -95,15 +101,27 @@ def kernel_features(x: np.ndarray, dilations: list[tuple[int, int]], biases: lis
     return np.concatenate(out)
 
 
-def with_kernel_features(rows: DataFrame, length: int, samples: list[np.ndarray], x: str = "x", features: int = 10_000) -> DataFrame:
-    """Adds ``features``, about that many shares; dilations and biases travel with the function."""
-    dilations = kernel_dilations(length, features)
-    biases = kernel_biases(samples, dilations)
+def _with_shares(x: str, dilations: list[tuple[int, int]], biases: list[np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds ``features`` to Arrow batches. A row of shares is far larger than its series, so rows leave in batches of ``BATCH_VALUES`` shares."""
+    held = max(1, BATCH_VALUES // max(1, sum(b.size for b in biases)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, held):
+                part = batch.slice(at, held)
+                shares = [kernel_features(_series(v), dilations, biases) for v in part.column(x).to_pylist()]
+                ends = np.cumsum([0, *map(len, shares)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(shares)))], [*part.schema.names, "features"])
 
-    def run(series: pd.Series) -> pd.Series:
-        return series.map(lambda v: kernel_features(_series(v), dilations, biases))
+    return run
 
-    return rows.withColumn("features", F.pandas_udf(run, "array<double>")(x))
+
+def with_kernel_features(rows: DataFrame, length: int, samples: list[np.ndarray], x: str = "x", features: int = 10_000) -> DataFrame:
+    """Adds ``features``, about that many shares; dilations and biases travel with the function. Rows are dealt out to all cores."""
+    dilations = kernel_dilations(length, features)
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+    kinds = StructType([*rows.schema, StructField("features", ArrayType(DoubleType()))])
+    return rows.repartition(parts).mapInArrow(_with_shares(x, dilations, kernel_biases(samples, dilations)), kinds)
 
 
 def _series(v) -> np.ndarray:
@@ -114,7 +132,7 @@ def kernel_classifier(train: DataFrame, test: DataFrame, length: int, label: str
     """Balanced logistic regression on fixed convolution kernels; biases come from at most ``sample`` training rows, those with the smallest hashes."""
     some = [_series(r[0]) for r in train.orderBy(F.xxhash64(x)).limit(sample).select(x).collect()]
     made = lambda rows: with_kernel_features(rows, length, some, x, features).withColumn("_x", array_to_vector("features"))
-    model = LogisticRegression(featuresCol="_x", labelCol=label, weightCol="weight", regParam=0.01, predictionCol="_p").fit(made(balanced_weights(train, label)))
+    model = LogisticRegression(featuresCol="_x", labelCol=label, weightCol="weight", regParam=0.01, predictionCol="_p", maxBlockSizeInMB=BLOCK_MB).fit(made(balanced_weights(train, label)))
     return model.transform(made(test)).withColumn("y_pred", F.col("_p").cast("int")).drop("_x", "_p", "features", "rawPrediction", "probability")
 
 

@@ -8,6 +8,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -1059,6 +1060,25 @@ def test_kernels_and_their_shares():
     assert np.allclose(got, want)
 
 
+def test_kernel_features_leave_in_small_batches(spark):
+    """A row has 9,996 shares: a batch of Spark's 10,000 rows would take 800 MB in one piece."""
+    rng = np.random.default_rng(0)
+    series = [(k, rng.normal(size=24).tolist(), k % 2) for k in range(130)]
+    series[7] = (7, [None if k % 5 == 0 else v for k, v in enumerate(series[7][1])], 1)
+    rows = spark.createDataFrame(series, "case long, x array<double>, y_true int")
+    samples = [models._series(v) for _, v, _ in series[:9]]
+    dilations = models.kernel_dilations(24)
+    biases = models.kernel_biases(samples, dilations)
+    want = {case: models.kernel_features(models._series(v), dilations, biases) for case, v, _ in series}
+    whole = pa.RecordBatch.from_pylist([{"case": case, "x": v} for case, v, _ in series])
+    made = list(models._with_shares("x", dilations, biases)([whole]))
+    assert max(b.nbytes for b in made) < 5e6 and sum(b.num_rows for b in made) == len(series)
+    got = {r["case"]: r["features"] for b in made for r in b.to_pylist()}
+    assert all(np.array_equal(got[case], want[case]) for case in want)
+    got = {r.case: r.features for r in models.with_kernel_features(rows, 24, samples).collect()}
+    assert sorted(got) == sorted(want) and all(np.array_equal(got[case], want[case]) for case in want)
+
+
 def test_control_rows_reset_and_stop(spark):
     rows = live_samples(spark).withColumn("control", F.lit(None).cast("string"))
     reset = rows.withColumn("control", F.when(F.col("frame") == 340, "reset"))
