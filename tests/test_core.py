@@ -677,6 +677,23 @@ def test_near_hashes_meet_once_in_blocks_and_are_not_broadcast(spark, monkeypatc
     assert sorted(map(sorted, pairs)) == sorted([a, b] for a in range(20) for b in range(a + 1, 20) if _far(a, b) <= 2)
 
 
+def _plain_shares(rows: list[tuple[str, float, int]]) -> dict[tuple[str, str], float]:
+    files = {f: [h for g, _, h in rows if g == f] for f, _, _ in rows}
+    share = {(a, b): sum(any(_far(x, y) <= 8 for y in files[b]) for x in files[a]) / len(files[a]) for a in files for b in files if a != b}
+    return {p: s for p, s in share.items() if s}
+
+
+def test_similarity_of_lists_of_files_is_not_broadcast(spark, monkeypatch):
+    rows = _alike(4)
+    df = spark.createDataFrame(rows + rows[:3], "file string, ts_s double, h long")
+    want = _plain_shares(rows + rows[:3])
+    for listed in (dedup.LISTED, 2):
+        monkeypatch.setattr(dedup, "LISTED", listed)
+        found = dedup.similarity(df)
+        assert _broadcast_keys(found) <= {"k"}
+        assert {(r.file_a, r.file_b): r.similarity for r in found.collect()} == want
+
+
 def test_similar_files_without_all_pairs(spark):
     """Random files, copies, and one black frame in every file: what is left out shares less than the bound."""
     rng = random.Random(9)
