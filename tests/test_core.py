@@ -694,6 +694,17 @@ def test_similarity_of_lists_of_files_is_not_broadcast(spark, monkeypatch):
         assert {(r.file_a, r.file_b): r.similarity for r in found.collect()} == want
 
 
+def test_similar_looks_up_what_it_has_not_asked(spark, monkeypatch):
+    rows = _alike(5)
+    df = spark.createDataFrame(rows, "file string, ts_s double, h long")
+    monkeypatch.setattr(dedup, "LISTED", 3)
+    for wide, least in ((0, 0.5), (0, 0.15), (dedup.WIDE, 0.85)):
+        monkeypatch.setattr(dedup, "WIDE", wide)
+        found = dedup.similar(df, least)
+        assert _broadcast_keys(found) <= {"k"}
+        assert {(r.file_a, r.file_b): r.similarity for r in found.collect()} == {p: s for p, s in _plain_shares(rows).items() if s >= least}
+
+
 def test_similar_files_without_all_pairs(spark):
     """Random files, copies, and one black frame in every file: what is left out shares less than the bound."""
     rng = random.Random(9)
