@@ -705,6 +705,20 @@ def test_similar_looks_up_what_it_has_not_asked(spark, monkeypatch):
         assert {(r.file_a, r.file_b): r.similarity for r in found.collect()} == {p: s for p, s in _plain_shares(rows).items() if s >= least}
 
 
+def test_subsets_of_some_pairs_are_not_broadcast(spark):
+    rows = _alike(6)
+    df = spark.createDataFrame(rows, "file string, ts_s double, h long")
+    files = {f: [(t, h) for g, t, h in rows if g == f] for f, _, _ in rows}
+    want = {}
+    for (a, b), share in _plain_shares(rows).items():
+        best = [min((_far(x, y), t) for t, y in files[b])[1] for _, x in files[a] if any(_far(x, y) <= 8 for _, y in files[b])]
+        if share >= 0.5 and len(best) >= 2 and max(best) - min(best) >= 1:
+            want[a, b] = (min(best), max(best))
+    found = dedup.subsets(df, min_span_s=1.0)
+    assert want and _broadcast_keys(found) <= {"k"}
+    assert {(r.file_a, r.file_b): (r.start_s, r.end_s) for r in found.collect()} == want
+
+
 def test_similar_files_without_all_pairs(spark):
     """Random files, copies, and one black frame in every file: what is left out shares less than the bound."""
     rng = random.Random(9)
