@@ -719,6 +719,18 @@ def test_subsets_of_some_pairs_are_not_broadcast(spark):
     assert {(r.file_a, r.file_b): (r.start_s, r.end_s) for r in found.collect()} == want
 
 
+def test_groups_alone_and_their_names_are_not_broadcast(spark):
+    rows = [(f, t, h) for f, t, h in _alike(7) if t < 9]
+    rows += [(f"g{f}", t, h) for f, t, h in rows if f in ("f03", "f04")] + [("h", t, h) for f, t, h in rows if f == "f03" and t > 0]
+    df = spark.createDataFrame(rows, "file string, ts_s double, h long")
+    files = df.select("file").distinct()
+    groups = dedup.merged_groups(files, df, F.col("file"))
+    assert _broadcast_keys(groups) <= {"all"}  # a row for each part of the numbered rows
+    both, _ = dedup.build_groups(files, df, F.col("file"))
+    got = {r.id: r.dedup_group for r in groups.collect()}
+    assert got == {r.id: r.dedup_group for r in both.collect()} and len({got[f] for f in ("f03", "gf03", "h")}) == 1
+
+
 def test_similar_files_without_all_pairs(spark):
     """Random files, copies, and one black frame in every file: what is left out shares less than the bound."""
     rng = random.Random(9)
