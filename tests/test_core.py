@@ -731,6 +731,18 @@ def test_groups_alone_and_their_names_are_not_broadcast(spark):
     assert got == {r.id: r.dedup_group for r in both.collect()} and len({got[f] for f in ("f03", "gf03", "h")}) == 1
 
 
+def test_report_alone_is_not_broadcast(spark):
+    rows = [(f, t, h) for f, t, h in _alike(8) if t < 9]
+    rows += [("g", t, h) for f, t, h in rows if f == "f03"]
+    df = spark.createDataFrame(rows, "file string, ts_s double, h long")
+    files = df.select("file").distinct()
+    told = dedup.build_report(files, df, F.col("file"))
+    assert not _broadcast_keys(told)
+    _, both = dedup.build_groups(files, df, F.col("file"))
+    assert sorted(map(tuple, told.collect())) == sorted(map(tuple, both.collect()))
+    assert {r.file: r.action for r in told.collect()}["g"] == "duplicate"
+
+
 def test_similar_files_without_all_pairs(spark):
     """Random files, copies, and one black frame in every file: what is left out shares less than the bound."""
     rng = random.Random(9)
